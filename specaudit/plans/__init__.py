@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["evaluation"]
+AREAS = ["evaluation", "relational", "scalars", "audits"]
 
 
 def _load():

@@ -268,11 +268,11 @@ FROM {customer} WHERE c_nationkey <> 13"""
 VIEWS["a_requirement_link"] = """
 SELECT o_orderkey + 1 AS link_id, o_custkey + 1 AS requirement_id,
        CASE o_orderstatus WHEN 'F' THEN 'served_by' WHEN 'O' THEN 'Consumes' ELSE
-            CASE WHEN o_totalprice > 400000 THEN 'mentions' ELSE 'produces' END END AS kind,
+            CASE WHEN o_totalprice > 490000 THEN 'mentions' ELSE 'produces' END END AS kind,
        CASE WHEN o_orderpriority = '5-LOW' THEN 'Supplier#missing'
             ELSE 'Supplier#' || lpad(CAST(CAST(FLOOR(o_custkey / 15) AS BIGINT) AS STRING), 9, '0') END AS table_name,
        CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'Nowhere' ELSE 'BUILDING' END AS section
-FROM {orders} WHERE o_orderpriority <> '1-URGENT'"""
+FROM {orders} WHERE o_orderpriority <> '1-URGENT' AND o_totalprice > 480000"""
 
 VIEWS["a_event"] = """
 SELECT event_id, event_type AS entity_type, user_id AS entity_id,
@@ -349,7 +349,7 @@ SELECT s_suppkey + 1, {edition}, CAST(k AS BIGINT), is_heading, line FROM {front
 VIEWS["a_block"] = f"{_edition(1, False)}\nUNION ALL\n{_edition(2, False)}"
 SPARK_VIEWS["a_block"] = f"{_edition(1, True)}\nUNION ALL\n{_edition(2, True)}"
 
-_NAME = re.compile(r"\{(\w+)\}")
+_NAME = re.compile(r"\{([a-z]\w*)\}")
 
 
 SQL_VIEWS: dict[str, str] = {}  # shared fragments of the plain-SQL equivalents; Spark never reads them
