@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["evaluation", "relational", "scalars", "audits"]
+AREAS = ["evaluation", "relational", "scalars", "audits", "graphs", "linting"]
 
 
 def _load():

@@ -23,7 +23,7 @@ VIEWS: dict[str, str] = {}
 VIEWS["a_matter"] = """
 SELECT CAST(FLOOR(s_suppkey / 4) AS BIGINT) + 1 AS matter_id,
        'Matter ' || min(s_name) AS name,
-       CASE WHEN min(s_nationkey) < 20 THEN 'src' || CAST(min(s_nationkey) AS STRING) END AS project
+       CASE WHEN min(s_nationkey) < 3 THEN 'src' || CAST(min(s_nationkey) AS STRING) END AS project
 FROM {supplier} GROUP BY 1"""
 
 VIEWS["a_table"] = """
@@ -32,7 +32,7 @@ SELECT s_suppkey + 1 AS table_id,
        s_name AS name,
        CASE WHEN s_acctbal >= 0 THEN CAST(s_suppkey % 7 AS INT) END AS position,
        s_suppkey % 3 = 0 AS grouping_enabled,
-       CASE WHEN s_acctbal > 5000 THEN 'src' || CAST(s_suppkey % 20 AS STRING) END AS project
+       CASE WHEN s_acctbal > 2000 THEN 'src' || CAST(s_nationkey AS STRING) END AS project
 FROM {supplier}"""
 
 VIEWS["a_column"] = """
@@ -240,7 +240,7 @@ _OBSERVED = [
     ["CAST(2 AS BIGINT)", "DATE '1997-06-01'"],
     ["CAST(3 AS BIGINT)", "DATE '1999-01-01'"],
     ["CAST(4 AS BIGINT)", "DATE '2000-01-01'"],
-    ["CAST(5 AS BIGINT)", "DATE '2000-02-01'"],
+    ["CAST(5 AS BIGINT)", "DATE '2001-07-20'"],
 ]
 
 
