@@ -1,19 +1,388 @@
-"""Rule documents: parsing, audit and comparison of two editions."""
+"""Rule documents: parsing, audit and comparison of two editions.
+
+A document is identified by (playbook_id, edition). Rules are rows; a document is never held whole.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specaudit.functions.text import lines
+from specaudit import vocab
+from specaudit.functions import text as T
+from specaudit.functions.normalise import literal_map
+from specaudit.operators.similarity import similar_sets
+from specaudit.session import cut
+
+DOC = ["playbook_id", "edition"]
+_CHUNK = 4096  # blocks of one document that one window task orders
+_GRAM = 6
 
 
 def parse_rule_blocks(documents: DataFrame) -> DataFrame:
     """Markdown texts to ordered blocks; a line is a heading when it starts with hash marks."""
     heading = r"(?U)^#{1,6}\s+(.*)$"
-    found = documents.select("playbook_id", F.posexplode(lines(F.col("text"))).alias("at", "line"))
+    found = documents.select("playbook_id", F.posexplode(T.lines(F.col("text"))).alias("at", "line"))
     is_heading = F.col("line").rlike(r"(?U)^#{1,6}\s+")
     return found.select(
         "playbook_id", (F.col("at") + 1).cast("bigint").alias("seq"), is_heading.alias("is_heading"),
         F.when(is_heading, F.regexp_extract("line", heading, 1)).otherwise(F.col("line")).alias("text"),
     )
+
+
+def heading_fill(blocks: DataFrame) -> DataFrame:
+    """Each block with the heading that owns it and the field it belongs to.
+
+    The last heading before a block is found in two steps: inside runs of a few thousand blocks, then
+    across runs, so a very long document is spread over many tasks.
+    """
+    title = T.strip(F.col("text"))
+    key = F.regexp_replace(F.lower(title), ":+$", "")
+    slot = literal_map(vocab.FIELD_HEADINGS)[key]
+    kind = (
+        F.when(~F.col("is_heading"), "text").when(key.isin(vocab.PREAMBLE_HEADINGS), "preamble")
+        .when(slot.isNotNull(), "field").otherwise("rule"))
+    marked = blocks.select(
+        *DOC, "seq", "text", "is_heading", kind.alias("kind"), F.floor(F.col("seq") / _CHUNK).alias("run"),
+        F.when(kind.isin("rule", "preamble"), F.struct("seq", kind.alias("kind"), title.alias("title"))).alias("own"),
+        F.when(kind == "field", F.struct("seq", slot.alias("slot"))).alias("fld"),
+    )
+    inside = Window.partitionBy(*DOC, "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    local = marked.select(
+        *DOC, "seq", "text", "kind", "run",
+        F.last("own", ignorenulls=True).over(inside).alias("own"), F.last("fld", ignorenulls=True).over(inside).alias("fld"))
+    runs = marked.groupBy(*DOC, "run").agg(
+        F.max_by("own", F.when(F.col("own").isNotNull(), F.col("seq"))).alias("r_own"),
+        F.max_by("fld", F.when(F.col("fld").isNotNull(), F.col("seq"))).alias("r_fld"))
+    before = Window.partitionBy(*DOC).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    carried = runs.select(
+        *DOC, "run", F.last("r_own", ignorenulls=True).over(before).alias("c_own"), F.last("r_fld", ignorenulls=True).over(before).alias("c_fld"))
+    row = local.join(carried, [*DOC, "run"]).select(
+        *DOC, "seq", "text", "kind", F.coalesce("own", "c_own").alias("own"), F.coalesce("fld", "c_fld").alias("fld"))
+    in_field = F.col("fld.seq") > F.coalesce(F.col("own.seq"), F.lit(-1))
+    return row.where("kind = 'text'").select(
+        *DOC, "seq", F.col("own.seq").alias("owner_seq"), F.col("own.kind").alias("owner_kind"), F.col("own.title").alias("heading"),
+        F.when(in_field & (F.col("own.kind") == "rule"), F.col("fld.slot")).alias("slot"),
+        F.when(in_field, F.col("fld.seq")).alias("slot_seq"), T.strip(F.col("text")).alias("text"),
+    )
+
+
+def parse_rules(filled: DataFrame) -> DataFrame:
+    """One row per rule. A heading without any field is a section and is left out here."""
+    body = filled.where("owner_kind = 'rule' and text <> ''")
+    item = F.struct("seq", "slot_seq", "slot", "text")
+    rules = body.groupBy(*DOC, "owner_seq").agg(F.first("heading").alias("name"), F.sort_array(F.collect_list(item)).alias("items"))
+
+    def texts(slot: str) -> Column:
+        return F.transform(F.filter("items", lambda i: i["slot"] == slot), lambda i: i["text"])
+
+    def last_part(*slots: str) -> Column:
+        """The items of the last non-empty occurrence of a field, which replaces earlier ones."""
+        mine = F.filter("items", lambda i: i["slot"].isin(*slots))
+        return F.filter(mine, lambda i: i["slot_seq"] == F.array_max(F.transform(mine, lambda j: j["slot_seq"])))
+
+    def joined(slot: str) -> Column:
+        return F.array_join(F.transform(last_part(slot), lambda i: i["text"]), "\n")
+
+    flag = F.get(last_part("required", "optional"), F.lit(0))
+    yes = F.startswith(F.lower(flag["text"]), F.lit("y"))
+    required = F.when(flag["slot"] == "required", yes).when(flag["slot"] == "optional", ~yes)
+    wide = rules.select(
+        *DOC, "owner_seq", "name", joined("standard").alias("standard"), texts("acceptable").alias("acceptable"),
+        texts("unacceptable").alias("unacceptable"), joined("guidance").alias("guidance"), texts("workflow").alias("workflow"),
+        required.alias("required"), F.exists("items", lambda i: i["slot"].isNotNull()).alias("is_rule"),
+    ).where("is_rule").drop("is_rule")
+    w = Window.partitionBy(*DOC).orderBy("owner_seq")
+    g = T.guidance_fields(F.col("guidance"))
+    return wide.withColumn("position", F.row_number().over(w)).withColumn("g", g).select(
+        *DOC, "position", "name", "standard", "acceptable", "unacceptable", "guidance", "workflow", "required",
+        "g.rule_id", "g.depends_on", "g.precedence", "g.on_exhaustion", "g.source", "g.reviewed",
+    )
+
+
+def _rule(df: DataFrame, code: Column | str, when: Column, evidence: Column | None = None) -> DataFrame:
+    code = F.lit(code) if isinstance(code, str) else code
+    evidence = F.lit("") if evidence is None else evidence
+    return df.where(when).select(*DOC, "position", F.col("name").alias("rule"), code.alias("code"), evidence.alias("evidence"))
+
+
+def rule_id_missing(rules: DataFrame) -> DataFrame:
+    return _rule(rules, "RULE_ID_MISSING", F.col("rule_id").isNull())
+
+
+def duplicate_rule_ids(rules: DataFrame) -> DataFrame:
+    w = Window.partitionBy(*DOC, "rule_id").orderBy("position")
+    row = rules.where("rule_id is not null").withColumn("other", F.lag("name").over(w))
+    return row.where("other is not null").select(*DOC, "rule_id", "name", "other")
+
+
+def absence_missing(rules: DataFrame) -> DataFrame:
+    return _rule(rules, "ABSENCE_REMEDIATION_MISSING", F.col("required") & ~T.absence_answered(F.col("standard")))
+
+
+def deviation_missing(rules: DataFrame) -> DataFrame:
+    codes = F.array_compact(F.array(
+        F.when(F.size("acceptable") == 0, F.lit("NO_ACCEPTABLE_DEVIATION")),
+        F.when(F.size("unacceptable") == 0, F.lit("UNACCEPTABLE_NOT_STATED"))))
+    return rules.select(*DOC, "position", F.col("name").alias("rule"), F.explode(codes).alias("code")).withColumn("evidence", F.lit(""))
+
+
+def deviation_unspecified(rules: DataFrame) -> DataFrame:
+    row = rules.select(*DOC, "position", "name", F.explode("acceptable").alias("entry"))
+    return _rule(row, "DEVIATION_UNSPECIFIED", T.matches(T.split_label(F.col("entry"))["body"], vocab.ONLY_REASONABLE), F.col("entry"))
+
+
+def prose_gate(rules: DataFrame) -> DataFrame:
+    phrase = F.nullif(F.regexp_extract("guidance", T.pattern(vocab.PROSE_GATE, "i"), 1), F.lit(""))
+    row = rules.withColumn("phrase", phrase)
+    return _rule(row, "PROSE_SUBSTITUTES_FOR_STRUCTURE", F.col("phrase").isNotNull(), F.col("phrase"))
+
+
+def depends_unresolved(rules: DataFrame) -> DataFrame:
+    refs = rules.select(*DOC, "position", "name", F.inline("depends_on"))
+    ids = rules.where("rule_id is not null").select(*DOC, F.col("rule_id").alias("ref")).distinct().withColumn("known", F.lit(True))
+    row = refs.join(ids, [*DOC, "ref"], "left")
+    return _rule(row, "DEPENDS_ON_UNRESOLVED", F.col("known").isNull(), F.col("ref")).unionByName(
+        _rule(row, "DEPENDENCY_REASON_MISSING", F.col("reason").isNull(), F.col("ref")))
+
+
+def ladder_gap(rules: DataFrame) -> DataFrame:
+    """A finite ceiling accepted, and only an unbounded floor refused."""
+    acc, una = F.array_join("acceptable", " "), F.array_join("unacceptable", " ")
+    ceiling = F.regexp_extract(acc, T.pattern(vocab.BOUNDED_TERM, "i"), 0)
+    floor = F.regexp_extract(una, T.pattern(vocab.UNBOUNDED_TERM, "i"), 0)
+    gap = (ceiling != "") & (floor != "") & ~T.matches(una, vocab.BOUNDED_TERM)
+    return _rule(rules, "LADDER_GAP", gap, F.concat_ws(" / ", T.strip(ceiling), floor))
+
+
+def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(DOC, position, name_key) where a text contains a name, both lower-cased, per document.
+
+    `texts`: DOC, position, low. `names`: DOC, name_key. A text offers each of its short substrings
+    once as a join key, and a name is looked up by its own first characters, so texts and names meet on
+    an equality; the few names shorter than a key are compared inside their document.
+    """
+    long, short = names.where(F.length("name_key") >= _GRAM), names.where((F.length("name_key") < _GRAM) & (F.length("name_key") > 0))
+    grams = F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length("low") - (_GRAM - 1), F.lit(1))), lambda i: F.substring(F.col("low"), i, F.lit(_GRAM))))
+    keyed = texts.where(F.length("low") >= _GRAM).select(*DOC, "position", "low", F.explode(grams).alias("gram"))
+    by_gram = keyed.join(long.withColumn("gram", F.substring("name_key", 1, _GRAM)), [*DOC, "gram"])
+    near = texts.join(short, DOC)
+    cols = [*DOC, "position", "low", "name_key"]
+    return by_gram.select(*cols).unionByName(near.select(*cols)).where(F.contains("low", "name_key")).select(*DOC, "position", "name_key").distinct()
+
+
+def rule_name_mentions(rules: DataFrame) -> DataFrame:
+    """(DOC, rule_a, rule_b): the precedence text of rule a contains the name of rule b."""
+    texts = rules.where("precedence is not null").select(*DOC, "position", F.lower("precedence").alias("low"))
+    names = rules.select(*DOC, F.lower("name").alias("name_key")).distinct()
+    hit = mentions(texts, names)
+    a = rules.select(*DOC, "position", F.col("name").alias("rule_a"))
+    b = rules.select(*DOC, F.col("position").alias("position_b"), F.col("name").alias("rule_b"), F.lower("name").alias("name_key"))
+    return hit.join(a, [*DOC, "position"]).join(b, [*DOC, "name_key"]).where("position <> position_b").select(
+        *DOC, "position", "position_b", "rule_a", "rule_b")
+
+
+def precedence_one_sided(rules: DataFrame) -> DataFrame:
+    said = cut(rule_name_mentions(rules))
+    back = said.select(*DOC, F.col("position").alias("position_b"), F.col("position_b").alias("position"))
+    return said.join(back, [*DOC, "position", "position_b"], "left_anti").select(*DOC, "position", F.col("rule_a").alias("rule"), F.lit("PRECEDENCE_ONE_SIDED").alias("code"), F.col("rule_b").alias("evidence"))
+
+
+def rule_name_prefix_pairs(rules: DataFrame) -> DataFrame:
+    """(DOC, rule_a, rule_b): the name of b starts with the name of a and a blank.
+
+    Each name offers its own starts that end before a blank, so parent and child meet on an equality.
+    """
+    low = F.lower("name")
+    ends = F.filter(F.sequence(F.lit(1), F.length(low)), lambda i: F.substring(low, i + 1, F.lit(1)) == " ")
+    child = rules.select(*DOC, F.col("position").alias("position_b"), F.col("name").alias("rule_b"), F.explode(F.transform(ends, lambda i: F.substring(low, F.lit(1), i))).alias("key"))
+    parent = rules.select(*DOC, "position", F.col("name").alias("rule_a"), low.alias("key"))
+    return child.join(parent, [*DOC, "key"]).where("position <> position_b").select(*DOC, "position", "position_b", "rule_a", "rule_b")
+
+
+def parent_child_duplication(rules: DataFrame) -> DataFrame:
+    pairs = rule_name_prefix_pairs(rules)
+    blob = F.array_join(F.concat("acceptable", F.array("standard")), " ")
+    up = rules.select(*DOC, "position", T.content_tokens(blob).alias("up"))
+    down = rules.where("standard <> ''").select(*DOC, F.col("position").alias("position_b"), T.content_tokens(F.col("standard")).alias("down"))
+    row = pairs.join(up, [*DOC, "position"]).join(down, [*DOC, "position_b"]).withColumn("overlap", T.token_containment(F.col("down"), F.col("up")))
+    return row.where(F.col("overlap") >= vocab.CHILD_CONTAINMENT).select(
+        *DOC, F.col("position_b").alias("position"), F.col("rule_b").alias("rule"), F.col("rule_a").alias("parent"), F.round("overlap", 2).alias("overlap"))
+
+
+def preambles(filled: DataFrame) -> DataFrame:
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda r: r["text"])
+    return filled.where("owner_kind = 'preamble' and text <> ''").groupBy(*DOC).agg(F.array_join(lines, "\n").alias("preamble"))
+
+
+def preamble_restates(rules: DataFrame, filled: DataFrame) -> DataFrame:
+    """Rules whose position the preamble repeats near the first mention of their name."""
+    name = T.strip(F.substring_index(F.lower("name"), " / ", 1))
+    row = rules.join(preambles(filled), DOC).withColumns({"low": F.lower("preamble"), "short": name})
+    row = row.where((F.length("short") >= vocab.PREAMBLE_NAME_MIN) & F.contains("low", "short"))
+    at = F.expr("locate(short, low)")
+    window = F.substring(F.col("low"), at, F.lit(vocab.PREAMBLE_WINDOW))
+    body = F.array_join(F.concat(F.array("standard"), "acceptable"), " ")
+    overlap = T.token_containment(T.content_tokens(window), T.content_tokens(body))
+    return _rule(row, "PREAMBLE_RESTATES_RULE", overlap >= vocab.PREAMBLE_CONTAINMENT, F.col("short"))
+
+
+def document_level(rules: DataFrame, filled: DataFrame) -> DataFrame:
+    """Document control, exhaustion default and rule count, from per-block tests folded per document."""
+    own = rules.select(*DOC, "name", "position")
+    front = filled.where("text <> ''").where(
+        (F.col("owner_kind") == "preamble") | ((F.col("owner_kind") == "rule") & F.col("slot").isNull()))
+    in_rule = filled.where("owner_kind = 'rule' and slot is not null and text <> ''").select(*DOC, "owner_seq").distinct()
+    outside = front.join(in_rule, [*DOC, "owner_seq"], "left_anti")
+    seen = outside.groupBy(*DOC).agg(
+        F.bool_or(T.matches(F.col("text"), vocab.DOCUMENT_CONTROL)).alias("control"),
+        F.bool_or(T.matches(F.col("text"), "exhaustion")).alias("default_path"))
+    per = own.groupBy(*DOC).agg(F.count("*").alias("rules"))
+    paths = rules.groupBy(*DOC).agg(F.bool_or(F.col("on_exhaustion").isNotNull()).alias("rule_path"))
+    row = per.join(paths, DOC).join(seen, DOC, "left").fillna(False, ["control", "default_path"])
+    codes = F.array_compact(F.array(
+        F.when(~F.col("control"), F.lit("DOCUMENT_CONTROL_MISSING")),
+        F.when(~F.col("default_path") & ~F.col("rule_path"), F.lit("EXHAUSTION_DEFAULT_MISSING")),
+        F.when(F.col("rules") > vocab.RULE_COUNT_LIMIT, F.lit("RULE_COUNT_HIGH"))))
+    return row.select(*DOC, "rules", F.explode(codes).alias("code"))
+
+
+def rule_counts(rules: DataFrame) -> DataFrame:
+    return rules.groupBy(*DOC).agg(
+        F.count("*").alias("rules"), F.count_if(F.size("acceptable") > 0).alias("with_acceptable"),
+        F.count_if(F.size("unacceptable") > 0).alias("with_unacceptable"), F.count_if(F.col("rule_id").isNotNull()).alias("with_rule_id"),
+        F.count_if(F.size("depends_on") > 0).alias("with_dependencies"), F.count_if(F.size("workflow") > 0).alias("with_workflow"),
+        F.count_if(F.coalesce("required", F.lit(False))).alias("required"))
+
+
+def document_findings(rules: DataFrame, filled: DataFrame) -> DataFrame:
+    """Every check of the document audit in one table."""
+    dup = duplicate_rule_ids(rules).select(*DOC, F.lit(0).alias("position"), F.col("name").alias("rule"), F.lit("RULE_ID_DUPLICATE").alias("code"), F.col("other").alias("evidence"))
+    kids = parent_child_duplication(rules).select(*DOC, "position", "rule", F.lit("PARENT_CHILD_DUPLICATION").alias("code"), F.col("parent").alias("evidence"))
+    whole = document_level(rules, filled).select(*DOC, F.lit(0).alias("position"), F.lit("").alias("rule"), "code", F.lit("").alias("evidence"))
+    parts = [
+        dup, rule_id_missing(rules), absence_missing(rules), deviation_missing(rules), deviation_unspecified(rules), prose_gate(rules),
+        depends_unresolved(rules), ladder_gap(rules), precedence_one_sided(rules), kids, preamble_restates(rules, filled), whole,
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def remedy_lookup(findings: DataFrame) -> DataFrame:
+    return findings.withColumn("remedy", literal_map(vocab.REMEDIES)[F.col("code")])
+
+
+# --- comparison of two editions ------------------------------------------------------
+
+
+def _body(df: DataFrame) -> Column:
+    return F.array_join(F.concat(F.array("standard"), "acceptable", "unacceptable"), " ")
+
+
+def pair_rules(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(playbook_id, before, after, matched_by, score): rules of two editions matched one to one.
+
+    First by identity, then by folded name, then by content. Content matching takes rules in their
+    order, each its best remaining partner. Rounds settle, all documents together, every rule whose
+    choice no earlier rule could still claim; the result is that of going one by one.
+    """
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select("playbook_id", F.col("position").alias(name), "rule_id", T.norm_rule_name(F.col("name")).alias("name_key"), T.content_tokens(_body(df)).alias("tokens"))
+
+    b, a = cut(side(before, "before")), cut(side(after, "after"))
+
+    def match(b: DataFrame, a: DataFrame, key: str, how: str) -> DataFrame:
+        first = b.where(F.col(key).isNotNull()).groupBy("playbook_id", key).agg(F.min("before").alias("before"))
+        last = a.where(F.col(key).isNotNull()).groupBy("playbook_id", key).agg(F.max("after").alias("after"))
+        return first.join(last, ["playbook_id", key]).select("playbook_id", "before", "after", F.lit(how).alias("matched_by"), F.lit(1.0).alias("score"))
+
+    by_id = cut(match(b, a, "rule_id", "rule_id"))
+    b1 = b.join(by_id, ["playbook_id", "before"], "left_anti")
+    a1 = a.join(by_id, ["playbook_id", "after"], "left_anti")
+    by_name = cut(match(b1, a1, "name_key", "name"))
+    b2 = b1.join(by_name, ["playbook_id", "before"], "left_anti").select("playbook_id", F.concat(F.lit("b"), "before").alias("id"), "tokens")
+    a2 = a1.join(by_name, ["playbook_id", "after"], "left_anti").select("playbook_id", F.concat(F.lit("a"), "after").alias("id"), "tokens")
+    both = cut(b2.unionByName(a2).where(F.size("tokens") > 0))
+    links = similar_sets(both, ["playbook_id"], vocab.RENAME_SIMILARITY).where("a like 'a%' and b like 'b%'")
+    left = cut(links.select(
+        "playbook_id", F.expr("cast(substring(b, 2) as int)").alias("before"), F.expr("cast(substring(a, 2) as int)").alias("after"), "score"))
+    settled: list[DataFrame] = [by_id, by_name]
+    while not left.isEmpty():
+        best = left.groupBy("playbook_id", "before").agg(F.max_by(F.struct("after", "score"), F.struct("score", -F.col("after"))).alias("p"))
+        earliest = left.groupBy("playbook_id", "after").agg(F.min("before").alias("earliest"))
+        sure = cut(
+            best.select("playbook_id", "before", "p.after", "p.score").join(earliest, ["playbook_id", "after"]).where("before = earliest")
+            .select("playbook_id", "before", "after", F.lit("content").alias("matched_by"), "score"))
+        settled.append(sure)
+        left = cut(left.join(sure, ["playbook_id", "before"], "left_anti").join(sure, ["playbook_id", "after"], "left_anti"))
+    return reduce(DataFrame.unionByName, settled)
+
+
+def _sides(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    b = before.select("playbook_id", F.col("position").alias("before"), F.struct("name", "rule_id", "guidance", "required", _body(before).alias("body"), T.norm_rule_name(F.col("name")).alias("key")).alias("b"))
+    a = after.select("playbook_id", F.col("position").alias("after"), F.struct("name", "rule_id", "guidance", "required", _body(after).alias("body"), T.norm_rule_name(F.col("name")).alias("key")).alias("a"))
+    return b.join(pairs, ["playbook_id", "before"], "left").join(a, ["playbook_id", "after"], "full")
+
+
+def diff_counts(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    row = _sides(pairs, before, after)
+    c = F.col
+    matched = c("a").isNotNull() & c("b").isNotNull()
+    exact = matched & (c("matched_by") != "content")
+    renamed = matched & ((c("matched_by") == "content") | (c("b.key") != c("a.key")))
+    changed = exact & ((c("b.body") != c("a.body")) | (c("b.guidance") != c("a.guidance")) | ~c("b.required").eqNullSafe(c("a.required")))
+    return row.groupBy("playbook_id").agg(
+        F.count_if(c("b").isNull()).alias("added"), F.count_if(c("a").isNull()).alias("removed"), F.count_if(renamed).alias("renamed"),
+        F.count_if(changed).alias("changed"), F.count_if(exact & ~changed).alias("unchanged"))
+
+
+def rename_findings(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    row = _sides(pairs, before, after).where("a is not null and b is not null")
+    c = F.col
+    by_content = c("matched_by") == "content"
+    renamed = F.when(by_content | (c("b.key") != c("a.key")), F.lit("RULE_RENAMED"))
+    moved = F.when(~by_content & (c("b.rule_id") != c("a.rule_id")), F.lit("RULE_ID_CHANGED"))
+    out = row.select("playbook_id", F.explode(F.array_compact(F.array(renamed, moved))).alias("code"), c("b.name").alias("from_name"), c("a.name").alias("to_name"),
+                     c("b.rule_id").alias("from_id"), c("a.rule_id").alias("to_id"), F.when(by_content, "content").otherwise("rule_id").alias("by"), F.round("score", 2).alias("score"))
+    return out
+
+
+def reference_broken(after: DataFrame) -> DataFrame:
+    refs = after.select("playbook_id", "position", "name", F.inline("depends_on"))
+    ids = after.where("rule_id is not null").select("playbook_id", F.col("rule_id").alias("ref"))
+    return refs.join(ids, ["playbook_id", "ref"], "left_anti").select("playbook_id", "position", "name", F.col("ref").alias("target"))
+
+
+def names_gone(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Folded names of the first edition that the second no longer has."""
+    old = before.select("playbook_id", T.norm_rule_name(F.col("name")).alias("name_key")).distinct()
+    new = after.select("playbook_id", T.norm_rule_name(F.col("name")).alias("name_key"))
+    return old.join(new, ["playbook_id", "name_key"], "left_anti")
+
+
+def former_name_mentions(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rules of the second edition that still use a name which is gone, their own or another's."""
+    edition = after.select("playbook_id", "edition").distinct()
+    gone = names_gone(before, after).join(edition, "playbook_id")
+    texts = after.select(*DOC, "position", F.lower(F.concat_ws(" ", "precedence", "guidance")).alias("low"))
+    hit = mentions(texts, gone).drop("edition")
+    row = _sides(pairs, before, after).where("a is not null and b is not null")
+    renamed = row.where((F.col("matched_by") == "content") | (F.col("b.key") != F.col("a.key")))
+    own = renamed.select("playbook_id", F.col("after").alias("position"), F.col("b.key").alias("name_key"), F.lit(True).alias("own"))
+    now = renamed.groupBy("playbook_id", F.col("b.key").alias("name_key")).agg(F.max_by("a.name", "after").alias("now"))
+    names = after.select("playbook_id", "position", "name")
+    return hit.join(own, ["playbook_id", "position", "name_key"], "left").join(now, ["playbook_id", "name_key"], "left").join(names, ["playbook_id", "position"]).select(
+        "playbook_id", "position", "name", F.col("name_key").alias("former_name"), "now",
+        F.when(F.col("own"), "RENAMED_RULE_SELF_REFERENCE").otherwise("REFERENCE_TO_RENAMED_RULE").alias("code"))
+
+
+def rule_removed(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rules that are gone, with how many rules of the second edition still name them."""
+    gone = before.join(pairs.withColumnRenamed("before", "position"), ["playbook_id", "position"], "left_anti").select(
+        "playbook_id", "position", "name", "rule_id", T.norm_rule_name(F.col("name")).alias("name_key"))
+    edition = after.select("playbook_id", "edition").distinct()
+    texts = after.where("precedence is not null").select(*DOC, "position", T.norm_rule_name(F.col("precedence")).alias("low"))
+    hit = mentions(texts, gone.select("playbook_id", "name_key").distinct().join(edition, "playbook_id")).groupBy("playbook_id", "name_key").agg(F.count("*").alias("referenced_by"))
+    return gone.join(hit, ["playbook_id", "name_key"], "left").fillna(0, ["referenced_by"]).select("playbook_id", "position", "name", "rule_id", "referenced_by")
