@@ -107,7 +107,7 @@ def validate_submission(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         "status": F.nullif(fold_label(F.col("status")), F.lit("")), "role": F.nullif(fold_label(F.col("role")), F.lit("")),
     })
     c, empty = F.col, F.array().cast("array<string>")
-    options = F.transform(F.coalesce("options", empty), F.trim)
+    options = F.transform(F.coalesce("options", empty), lambda o: F.trim(o))
     low = F.transform(options, F.lower)
     classify = F.coalesce(c("native_type") == "Classify", F.lit(False))
     malformed = F.exists(options, lambda o: o == "") | (F.size(F.array_distinct(low)) != F.size(low))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ["evaluation", "relational", "scalars", "audits", "graphs", "linting", "consistency", "documents"]
+AREAS = ["evaluation", "relational", "scalars", "audits", "graphs", "linting", "consistency", "documents", "ingest", "marts", "streams"]
 
 
 def _load():

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specaudit.sources.views import Model, with_views
+from specaudit.sources.views import SQL_VIEWS, VIEWS, Model, with_views
 
 _BUILDERS: dict[str, Callable[[Model], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -33,3 +34,17 @@ def builders() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracles() -> dict[str, str]:
     return {name: with_views(sql) for name, sql in _SQL.items()}
+
+
+def result(name: str, model: Model) -> DataFrame:
+    return _BUILDERS[name](model)
+
+
+def sql(name: str) -> str:
+    return _SQL[name].strip()
+
+
+def braced(text: str) -> str:
+    """Mark the view names in finished SQL, so it can itself become a shared fragment."""
+    known = VIEWS | SQL_VIEWS
+    return re.sub(r"\b[as]_[a-z_]+\b", lambda m: "{" + m.group(0) + "}" if m.group(0) in known else m.group(0), text)

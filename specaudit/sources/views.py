@@ -282,12 +282,9 @@ FROM {events}"""
 
 def _rule_lines(edition: int) -> list[list[str]]:
     """The lines of one rule; the second edition renames, renumbers and drops some rules."""
-    name = "p_name || ' ' || p_brand"
+    name = "CASE WHEN p_size % 10 = 9 THEN p_name ELSE p_name || ' ' || p_brand END"
     if edition == 2:
-        name = (
-            "CASE WHEN p_size % 10 = 3 THEN 'Revised ' || p_name || ' ' || p_brand "
-            "ELSE p_name || ' ' || p_brand END"
-        )
+        name = f"CASE WHEN p_size % 10 = 3 THEN 'Revised ' || p_name || ' ' || p_brand ELSE {name} END"
     keep = "TRUE" if edition == 1 else "p_size <> 44"
     rule_id = "CAST(p_size AS STRING) || '.' || CAST(rule_no AS STRING)"
     if edition == 2:
@@ -312,9 +309,10 @@ def _rule_lines(edition: int) -> list[list[str]]:
         ("FALSE", "'Precedence: prevails over ' || p_name || ' Brand#1 and ' || p_name || ' Brand#2.'", "p_size % 5 = 1"),
         ("FALSE", "'On exhaustion: escalate.'", "p_size = 50"),
         ("FALSE", "'Source: Manual of ' || p_type || ' · Reviewed: 2021-05-0' || CAST(p_size % 9 + 1 AS STRING)", "p_size % 3 = 1"),
+        ("FALSE", "'Note: ' || p_name || ' ' || p_brand || ' was agreed earlier.'", "p_size % 5 = 3"),
         ("FALSE", "'This rule applies only when ' || p_brand || ' is party.'", "p_size % 11 = 4"),
         ("TRUE", "'Required'", "p_size % 3 <> 2"),
-        ("FALSE", "CASE WHEN p_size % 2 = 0 THEN 'Yes' ELSE 'No' END", "p_size % 3 <> 2"),
+        ("FALSE", "CASE WHEN p_size % 3 = 0 THEN 'Yes' ELSE 'No' END", "p_size % 3 <> 2"),
     ]
     return [
         [str(k), heading, f"CASE WHEN {keep} AND {when} THEN {text} END"]
@@ -363,9 +361,9 @@ def needs(name: str) -> list[str]:
 class Model:
     """The model tables of one data folder, built lazily and only once per name."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, given: dict[str, DataFrame] | None = None):
         self.spark, self.folder = spark, folder
-        self._built: dict[str, DataFrame] = {}
+        self._built: dict[str, DataFrame] = dict(given or {})
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
