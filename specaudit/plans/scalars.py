@@ -157,11 +157,11 @@ def _(m):
 
 
 @query("snapshot_age", """
-SELECT event_id, date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-01-31 00:00:00') AS age_seconds,
-       date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-01-31 00:00:00') < 300 AS fresh FROM events""")
+SELECT event_id, CAST(floor(date_diff('microsecond', ts, TIMESTAMP '2024-01-31 00:00:00') / 1000000) AS BIGINT) AS age_seconds,
+       date_diff('microsecond', ts, TIMESTAMP '2024-01-31 00:00:00') < 300000000 AS fresh FROM events""")
 def _(m):
     now = F.to_timestamp_ntz(F.lit("2024-01-31 00:00:00"))
-    age = F.timestamp_diff("SECOND", F.date_trunc("second", F.col("ts")), now)
+    age = F.timestamp_diff("SECOND", F.col("ts"), now)
     return m.events.select("event_id", age.alias("age_seconds"), (age < vocab.OBSERVATION_WINDOW_SECONDS).alias("fresh"))
 
 

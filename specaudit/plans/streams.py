@@ -23,6 +23,10 @@ def replay(m, df, files_per_batch: int):
     return m.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/in")
 
 
+def since_epoch(unit: str):
+    return F.timestamp_diff(unit, F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), F.col("at"))
+
+
 @query("stream_open_failures", "SELECT column_id, document, run_id, failure_class FROM s_latest WHERE NOT passed")
 def _(m):
     rows = J.stream_open_failures(log(live(m, "lineitem")), J.new_folder(m.spark))
@@ -32,8 +36,11 @@ def _(m):
 @query("stream_activity", """
 SELECT CAST(CAST(e."at" AS DATE) AS VARCHAR) AS starts, e.entity_type, e.action, count(*) AS n FROM a_event e GROUP BY 1, 2, 3""")
 def _(m):
-    rows = J.stream_activity(live(m, "events").a_event, J.new_folder(m.spark))
-    return rows.withColumn("starts", F.to_date("starts").cast("string"))
+    # event times carry no zone: they are counted from the epoch, whatever the session's zone is
+    events = live(m, "events").a_event.withColumn("at", F.timestamp_micros(since_epoch("MICROSECOND")))
+    rows = J.stream_activity(events, J.new_folder(m.spark))
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("starts") / 86400).cast("int"))
+    return rows.withColumn("starts", day.cast("string"))
 
 
 @query("stream_docset_moved", """
@@ -47,7 +54,7 @@ def _(m):
 def _(m):
     events = live(m, "events").a_event.select(
         F.concat(F.lit("user"), F.col("entity_id")).alias("project"), "event_id",
-        F.unix_millis(F.col("at").cast("timestamp")).alias("at_ms"))
+        since_epoch("MILLISECOND").alias("at_ms"))
     return J.stream_poll_suppress(events, J.new_folder(m.spark))
 
 
