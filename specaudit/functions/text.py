@@ -31,6 +31,11 @@ def lines(c: Column) -> Column:
     return F.split(c, LINE_BREAK)
 
 
+def let(value: Column, use) -> Column:
+    """Bind an expression to a name inside a larger one, so it is evaluated once per row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def char_count(c: Column) -> Column:
     return F.length(c)
 
@@ -74,17 +79,11 @@ def sections(c: Column) -> Column:
     """Array of (name, body): the preamble under '', then headings; a repeated name keeps its last body."""
     names = F.transform(extract_all(c, vocab.HEADING_LINE, 1, "md"), lambda n: F.lower(strip(n)))
     bodies = F.split(c, pattern(vocab.HEADING_LINE, "md"), -1)
-    all_names = F.concat(F.array(F.lit("")), names)
-    numbered = F.transform(
-        bodies,
-        lambda body, i: F.struct(
-            F.get(all_names, i).alias("name"), body.alias("body"), i.alias("at")
-        ),
-    )
-    return F.filter(
-        numbered,
-        lambda s: ~F.exists(numbered, lambda later: (later["name"] == s["name"]) & (later["at"] > s["at"])),
+    pieces = F.arrays_zip(
+        F.concat(F.array(F.lit("")), names).alias("name"), bodies.alias("body"), F.sequence(F.lit(1), F.size(bodies)).alias("at")
     )
+    return let(pieces, lambda all_: F.filter(
+        all_, lambda s: ~F.exists(all_, lambda later: (later["name"] == s["name"]) & (later["at"] > s["at"]))))
 
 
 def date_pattern_tokens(c: Column) -> Column:

@@ -14,7 +14,7 @@ from specaudit.functions.normalise import failure_class_of, fold_label, norm_nam
 from specaudit.operators.relational import active_columns
 
 _LOG_ORDER = ["started_at", "run_id", "result_id", "result_seq"]
-_PAYLOAD = ["passed", "failure_class", "error_type"]
+_PAYLOAD = ["passed", "raw_class", "raw_error_type"]
 
 
 def normalise_log(log: DataFrame) -> DataFrame:
@@ -25,9 +25,13 @@ def normalise_log(log: DataFrame) -> DataFrame:
 
 
 def _last(log: DataFrame, keys: list[str]) -> DataFrame:
-    """The last row per key as a max aggregate, so rows combine before they are shuffled."""
+    """The last row per key as a max aggregate, so rows combine before they are shuffled.
+
+    Labels are folded afterwards, on the rows that remain.
+    """
     picked = [c for c in _LOG_ORDER + _PAYLOAD if c not in keys]
-    return log.groupBy(*keys).agg(F.max(F.struct(*picked)).alias("r")).select(*keys, "r.*")
+    last = log.groupBy(*keys).agg(F.max(F.struct(*picked)).alias("r")).select(*keys, "r.*")
+    return normalise_log(last).drop("raw_class", "raw_error_type")
 
 
 def latest_results(log: DataFrame) -> DataFrame:

@@ -97,13 +97,18 @@ def impact_totals(closure: DataFrame, vertices: DataFrame) -> DataFrame:
     return sums.join(per, "root")
 
 
+_STEPS = 3  # propagation steps per written round
+
+
 def _trim(steps: DataFrame) -> DataFrame:
     """Drop edges that lie on no cycle because one end has nothing before or after it."""
     n = steps.count()
     while n:
-        src = steps.select(F.col("src").alias("dst")).distinct()
-        dst = steps.select(F.col("dst").alias("src")).distinct()
-        steps = cut(steps.join(dst, "src", "left_semi").join(src, "dst", "left_semi"))
+        for _ in range(_STEPS):
+            src = steps.select(F.col("src").alias("dst"))
+            dst = steps.select(F.col("dst").alias("src"))
+            steps = steps.join(dst, "src", "left_semi").join(src, "dst", "left_semi")
+        steps = cut(steps)
         left = steps.count()
         if left == n:
             break
@@ -126,14 +131,13 @@ def cycle_components(edges: DataFrame) -> DataFrame:
             steps.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("label", F.col("node"))
         )
         while True:
-            sent = steps.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("got"))
-            merged = colour.join(sent, "node", "left").select(
-                "node", F.least("label", F.coalesce("got", "label")).alias("label"),
-                (F.coalesce("got", "label") < F.col("label")).alias("moved"),
-            )
-            merged = cut(merged)
-            colour = merged.select("node", "label")
-            if merged.where("moved").isEmpty():
+            ahead = colour.withColumnRenamed("label", "start").withColumn("label", F.col("start"))
+            for _ in range(_STEPS):
+                sent = steps.join(ahead.select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("got"))
+                ahead = ahead.join(sent, "node", "left").select("node", "start", F.least("label", "got").alias("label"))
+            ahead = cut(ahead)
+            colour = ahead.select("node", "label")
+            if ahead.where("label < start").isEmpty():
                 break
         src = colour.select(F.col("node").alias("src"), F.col("label").alias("l1"))
         dst = colour.select(F.col("node").alias("dst"), F.col("label").alias("l2"))

@@ -124,20 +124,19 @@ def lint_markdown(df: DataFrame) -> DataFrame:
     def is_output(name: Column) -> Column:
         return T.matches(name, vocab.OUTPUT_SECTION)
 
-    secs = T.sections(F.col("text"))
-    out = F.array_join(F.transform(F.filter(secs, lambda s: is_output(s["name"])), lambda s: s["body"]), "\n")
-    allows = T.matches(out, vocab.MARKDOWN_ALLOW) & ~T.matches(out, vocab.PLAIN_TEXT)
-    body = F.flatten(F.transform(F.filter(secs, lambda s: ~is_output(s["name"])), lambda s: T.lines(s["body"])))
-    permissive = F.transform(
-        F.filter(
+    def permissive(secs: Column) -> Column:
+        out = F.array_join(F.transform(F.filter(secs, lambda s: is_output(s["name"])), lambda s: s["body"]), "\n")
+        allows = T.matches(out, vocab.MARKDOWN_ALLOW) & ~T.matches(out, vocab.PLAIN_TEXT)
+        body = F.flatten(F.transform(F.filter(secs, lambda s: ~is_output(s["name"])), lambda s: T.lines(s["body"])))
+        kept = F.filter(
             body,
-            lambda ln: T.matches(ln, vocab.MARKDOWN_TERMS) & ~T.matches(ln, vocab.NEGATED_LINE)
-            & ~T.matches(ln, vocab.PLAIN_TEXT) & T.matches(ln, vocab.ANSWER_LINE),
-        ),
-        T.strip,
-    )
+            lambda ln: T.matches(ln, vocab.MARKDOWN_TERMS) & T.matches(ln, vocab.ANSWER_LINE)
+            & ~T.matches(ln, vocab.NEGATED_LINE) & ~T.matches(ln, vocab.PLAIN_TEXT),
+        )
+        return F.when(~allows, F.transform(kept, T.strip))
+
     row = df.where(T.matches(F.col("text"), vocab.MARKDOWN_TERMS))
-    return _lines_rule(row, "MARKDOWN_IN_CELL", F.when(~allows, permissive))
+    return _lines_rule(row, "MARKDOWN_IN_CELL", T.let(T.sections(F.col("text")), permissive))
 
 
 def lint_character_rule(df: DataFrame) -> DataFrame:

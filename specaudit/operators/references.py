@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from specaudit import vocab
 from specaudit.functions.normalise import literal_array
+from specaudit.functions.text import let
 
 _AT = r"(?U)(?<![\w@.])@(?=[A-Za-z\[])"
 
@@ -33,11 +34,10 @@ def _guess(text: Column, start: Column) -> Column:
 
 def _prefixes(window: Column) -> Column:
     """Every lower-cased start of the window that ends at a word boundary."""
-    cut_at = F.filter(
-        F.sequence(F.lit(1), F.length(window)),
-        lambda n: ~F.substring(window, n + 1, F.lit(1)).rlike(r"(?U)^\w"),
-    )
-    return F.transform(cut_at, lambda n: F.lower(F.substring(window, F.lit(1), n)))
+    low = F.lower(window)
+    mask = F.regexp_replace(window, r"(?U)\w", "w")
+    ends = let(mask, lambda k: F.filter(F.sequence(F.lit(1), F.length(k)), lambda n: F.substring(k, n + 1, F.lit(1)) != "w"))
+    return let(low, lambda w: F.transform(ends, lambda n: F.substring(w, F.lit(1), n)))
 
 
 def find_refs(texts: DataFrame, names: DataFrame) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specaudit.functions.text import token_jaccard
+from specaudit.session import cut
+
+
+_SHARED = 4
 
 
 def similar_sets(sets: DataFrame, group: list[str], threshold: float) -> DataFrame:
@@ -24,20 +28,28 @@ def similar_sets(sets: DataFrame, group: list[str], threshold: float) -> DataFra
     ranked = flat.join(common, [*group, "token"]).groupBy(*group, "id").agg(
         F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered")
     )
-    # a pair at the threshold shares at least ceil(t * n) of either set, so one of the first
-    # n - ceil(t * n) + 1 tokens; the small offset keeps a product such as 0.6 * 5 from rounding up
-    keep = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    prefix = ranked.select(*keys, "id", "n", F.posexplode(F.slice("ordered", 1, keep)).alias("at", "o")).select(
-        *keys, "id", "n", "at", F.col("o.token").alias("token"))
-    left = prefix.select(*keys, "token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    right = prefix.select(*keys, "token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
-    need = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
-    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    # A pair at the threshold shares at least ceil(t * n) tokens of its larger set, so one of that
+    # set's first n - ceil(t * n) + 1; of its smaller set one of the first n - ceil(2t / (1 + t) * n) + 1,
+    # since the shared part is at least t / (1 + t) of both together. The small offset keeps products
+    # such as 0.6 * 5 from rounding up.
+    # Prefixes longer by k - 1 tokens must share k (or all that is needed, if less), which leaves few
+    # pairs to verify.
+    n = F.col("n")
+    probe = (n - F.ceil(n * threshold - 1e-9) + _SHARED).cast("int")
+    index = (n - F.ceil(n * (2 * threshold / (1 + threshold)) - 1e-9) + _SHARED).cast("int")
+    prefix = cut(ranked.select(*keys, "id", "n", index.alias("index"), F.posexplode(F.slice("ordered", 1, probe)).alias("at", "o")).select(
+        *keys, "id", "n", "index", "at", F.col("o.token").alias("token")))
+    small = prefix.where("at < index").select(*keys, "token", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("at").alias("px"))
+    large = prefix.select(*keys, "token", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("at").alias("py"))
+    need = F.ceil((F.col("nx") + F.col("ny")) * (threshold / (1 + threshold)) - 1e-9)
+    rest = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     pairs = (
-        left.join(right, [*group, "token"])
-        .where("a < b")
-        .where((F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (rest >= need - F.least("pa", "pb")))
-        .select(*keys, "a", "b").distinct()
+        small.join(large, [*group, "token"])
+        .where("nx < ny or (nx = ny and x < y)")
+        .where((F.col("nx") >= F.col("ny") * threshold - 1e-9) & (rest >= need - F.least("px", "py")))
+        .groupBy(*group, "x", "y").agg(F.count("*").alias("shared"), F.first(need).alias("need"))
+        .where(F.col("shared") >= F.least(F.lit(_SHARED), F.col("need")))
+        .select(*keys, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     )
     ta = sets.select(*keys, F.col("id").alias("a"), F.col("tokens").alias("ta"))
     tb = sets.select(*keys, F.col("id").alias("b"), F.col("tokens").alias("tb"))
@@ -52,9 +64,9 @@ def near_duplicate_texts(texts: DataFrame, threshold: float) -> DataFrame:
     then compared with each other. Every text is linked, and copies never multiply into pairs.
     """
     shape = texts.where(F.size("tokens") > 0).select("id", F.sort_array("tokens").alias("tokens"))
-    keyed = shape.withColumn("print", F.sha2(F.array_join("tokens", " "), 256))
+    keyed = cut(shape.withColumn("print", F.sha2(F.array_join("tokens", " "), 256)))
     head = keyed.groupBy("print").agg(F.min("id").alias("head"))
     placed = keyed.join(head, "print")
     copies = placed.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score"))
-    distinct = placed.where("id = head").select("id", "tokens")
+    distinct = cut(placed.where("id = head").select("id", "tokens"))
     return copies.unionByName(similar_sets(distinct, [], threshold))

@@ -77,7 +77,7 @@ def log(m):
 
 
 def latest(m):
-    return E.latest_results(log(m))
+    return E.latest_results(m.a_eval)
 
 
 def failures(m):
@@ -101,7 +101,7 @@ def pairs(m):
 
 
 def compared(m):
-    return E.run_compare(E.run_results_outer(log(m), pairs(m)))
+    return E.run_compare(E.run_results_outer(m.a_eval, pairs(m)))
 
 
 def coverage(m):
@@ -145,7 +145,7 @@ def _(m):
 
 @query("last_result_in_run", f"SELECT {_result} FROM s_last_in_run")
 def _(m):
-    return E.last_result_in_run(log(m)).select("column_id", "document", "run_id", "passed", "failure_class", "error_type")
+    return E.last_result_in_run(m.a_eval).select("column_id", "document", "run_id", "passed", "failure_class", "error_type")
 
 
 @query("latest_run_per_table", "SELECT table_id, run_id, CAST(CAST(started_at AS DATE) AS VARCHAR) AS started_at FROM s_latest_run")
@@ -240,7 +240,7 @@ def _(m):
 
 @query("run_results_outer", "SELECT * FROM s_outer")
 def _(m):
-    return E.run_results_outer(log(m), pairs(m))
+    return E.run_results_outer(m.a_eval, pairs(m))
 
 
 @query("run_compare", "SELECT * FROM s_compare")
