@@ -24,14 +24,12 @@ def _current(carried: DataFrame, scope: str) -> DataFrame:
 
 
 def _both(matters: DataFrame, carried: DataFrame) -> DataFrame:
-    """Each matter with the one baseline row and its own overlay."""
-    firm = _current(carried, "firm").select(
-        F.lit(1).alias("one"), F.col("version").alias("firm_version"), *[F.col(f).alias(f"firm_{f}") for f in _STANDARD_FIELDS])
+    """Each matter with the one baseline row, read as a scalar, and its own overlay."""
+    firm = _current(carried, "firm").select(F.struct("version", *_STANDARD_FIELDS).alias("f"))
     own = _current(carried, "matter").select(
         "matter_id", F.col("version").alias("matter_version"), *[F.col(f).alias(f"own_{f}") for f in _STANDARD_FIELDS])
-    # the baseline is one row by construction (one current row of one scope), so its size is fixed
-    keyed = matters.select("matter_id", F.lit(1).alias("one"))
-    return keyed.join(F.broadcast(firm), "one", "left").join(own, "matter_id", "left")
+    row = matters.select("matter_id").withColumn("f", firm.scalar()).join(own, "matter_id", "left")
+    return row.withColumns({"firm_version": F.col("f.version"), **{f"firm_{f}": F.col(f"f.{f}") for f in _STANDARD_FIELDS}}).drop("f")
 
 
 def effective_standard(matters: DataFrame, carried: DataFrame) -> DataFrame:
