@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from specaudit.llm.ngram_join import jaccard_components
 from specaudit.llm.packing import pack
+from specaudit.llm.secret_scan import secret_spans
 from specaudit.llm.token_counts import token_counts
 
 BPE = "byte_bpe_50k.json"
@@ -17,6 +19,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_components(_table(spark, folder, "documents"))
+
+
 def op7_cost_balanced_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"), public_tokenizers.path(BPE)).drop("ids")
 
@@ -25,7 +31,11 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_table(spark, folder, "documents"), public_tokenizers.path(BPE))
 
 
+def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_spans(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_cost_balanced_packing, op9_token_counts)
+    f.__name__: f for f in (op2_ngram_jaccard_join, op7_cost_balanced_packing, op9_token_counts, op10_secret_scan)
 }
 ORACLES: dict[str, str] = {}
