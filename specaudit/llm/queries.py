@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from specaudit.llm.language_id import identified
 from specaudit.llm.ngram_join import jaccard_components
 from specaudit.llm.packing import pack
 from specaudit.llm.secret_scan import secret_spans
@@ -23,6 +24,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(_table(spark, folder, "documents"))
 
 
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identified(_table(spark, folder, "documents"))
+
+
 def op7_cost_balanced_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"), public_tokenizers.path(BPE)).drop("ids")
 
@@ -36,6 +41,6 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ngram_jaccard_join, op7_cost_balanced_packing, op9_token_counts, op10_secret_scan)
+    f.__name__: f for f in (op2_ngram_jaccard_join, op6_language_id, op7_cost_balanced_packing, op9_token_counts, op10_secret_scan)
 }
 ORACLES: dict[str, str] = {}
