@@ -40,11 +40,16 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[borders[0] : borders[-1]], borders - borders[0]
 
 
-def word_borders(inside: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first): maximal runs of `inside` that cross no text border; text i has words first[i]:first[i + 1]."""
+def word_borders(inside: np.ndarray, borders: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first): maximal runs of `inside` that cross no text border; text i has words first[i]:first[i + 1].
+
+    `cuts`: more places before which a run ends.
+    """
     n = len(inside)
     cut = np.zeros(n + 1, bool)
     cut[borders] = True
+    if cuts is not None:
+        cut[:-1] |= cuts
     before = np.zeros(n + 1, bool)
     before[1:] = inside
     after = np.zeros(n + 1, bool)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from specaudit.llm.decontamination import leaks
 from specaudit.llm.language_id import identified
 from specaudit.llm.ngram_join import jaccard_components
 from specaudit.llm.packing import pack
@@ -20,6 +21,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(_table(spark, folder, "documents"))
 
@@ -41,6 +46,6 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_ngram_jaccard_join, op6_language_id, op7_cost_balanced_packing, op9_token_counts, op10_secret_scan)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op6_language_id, op7_cost_balanced_packing, op9_token_counts, op10_secret_scan)
 }
 ORACLES: dict[str, str] = {}
