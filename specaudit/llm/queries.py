@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from specaudit.llm import toxicity
 from specaudit.llm.decontamination import leaks
 from specaudit.llm.language_id import identified
 from specaudit.llm.ngram_join import jaccard_components
@@ -37,6 +38,11 @@ def op7_cost_balanced_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"), public_tokenizers.path(BPE)).drop("ids")
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return toxicity.scored(docs, toxicity.learnt(docs, _table(spark, folder, "labels")))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_table(spark, folder, "documents"), public_tokenizers.path(BPE))
 
@@ -46,6 +52,6 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op6_language_id, op7_cost_balanced_packing, op9_token_counts, op10_secret_scan)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op6_language_id, op7_cost_balanced_packing, op8_toxicity, op9_token_counts, op10_secret_scan)
 }
 ORACLES: dict[str, str] = {}
