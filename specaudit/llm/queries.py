@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from specaudit.llm import toxicity
 from specaudit.llm.decontamination import leaks
 from specaudit.llm.language_id import identified
+from specaudit.llm.license_scan import license_notices
+from specaudit.llm.license_scan import oracle_sql as license_sql
 from specaudit.llm.ngram_join import jaccard_components
 from specaudit.llm.packing import pack
 from specaudit.llm.secret_scan import secret_spans
@@ -30,6 +32,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(_table(spark, folder, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_notices(_table(spark, folder, "documents"))
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identified(_table(spark, folder, "documents"))
 
@@ -52,6 +58,6 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op6_language_id, op7_cost_balanced_packing, op8_toxicity, op9_token_counts, op10_secret_scan)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_license_scan, op6_language_id, op7_cost_balanced_packing, op8_toxicity, op9_token_counts, op10_secret_scan)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_license_scan": license_sql()}
