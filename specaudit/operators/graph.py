@@ -197,6 +197,16 @@ def topo_wave(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select("node", F.when(F.col("blocked").isNull(), F.coalesce("wave", F.lit(0))).alias("wave"))
 
 
+ROWS_PER_TASK = 50_000
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    """No more tasks than the rows of an iterative round are worth."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = rows // ROWS_PER_TASK + 1
+    return df.coalesce(tasks) if tasks < most else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component, size): connected parts, named by their smallest node.
 
@@ -208,19 +218,20 @@ def components(edges: DataFrame) -> DataFrame:
     ).where("big <> small").distinct())
     loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
     while True:
+        rows = 2 * steps.count()
         both = steps.select(F.col("big").alias("u"), F.col("small").alias("v")).unionByName(
             steps.select(F.col("small").alias("u"), F.col("big").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("big"), F.col("m").alias("small")).where("big <> small").distinct())
+        large = cut(_sized(both.where("v > u").join(low, "u").select(F.col("v").alias("big"), F.col("m").alias("small")).where("big <> small"), rows))
         least = large.groupBy("big").agg(F.min("small").alias("m"))
-        joined = large.join(least, "big")
+        joined = _sized(large.join(least, "big"), rows)
         small = joined.select(F.col("small").alias("big"), F.col("m").alias("small")).unionByName(
-            least.select("big", F.col("m").alias("small"))).where("big <> small").distinct()
-        steps = cut(small)
+            _sized(least.select("big", F.col("m").alias("small")), rows)).where("big <> small").distinct()
+        steps = cut(_sized(small, rows))
         # Done exactly when every part is a star: no node has two parents, and no parent has one itself.
-        forked = steps.groupBy("big").count().where("count > 1").select("big")
-        chained = steps.select("big").join(steps.select(F.col("small").alias("big")), "big", "left_semi")
-        if forked.unionByName(chained).isEmpty():
+        ends = steps.select(F.explode(F.array(F.struct(F.col("big").alias("node"), F.lit(1).alias("up")), F.struct(F.col("small").alias("node"), F.lit(0).alias("up")))).alias("e"))
+        open_ = ends.groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("least")).where("ups > 1 or (ups = 1 and least = 0)")
+        if _sized(open_, rows).isEmpty():
             break
     member = steps.select(F.col("big").alias("node"), F.col("small").alias("component"))
     own = steps.select(F.col("small").alias("node"), F.col("small").alias("component")).distinct()
