@@ -68,6 +68,27 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+class _Named:
+    """Groups of joined names, kept as parent links towards the smallest."""
+
+    def __init__(self) -> None:
+        self.up: dict[bytes, bytes] = {}
+
+    def find(self, name: bytes) -> bytes:
+        up = self.up
+        while (above := up.get(name, name)) != name:
+            up[name] = name = up.get(above, above)
+        return name
+
+    def join(self, one: bytes, other: bytes) -> None:
+        a, b = self.find(one), self.find(other)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+    def pairs(self) -> list[tuple[bytes, bytes]]:
+        return [(name, self.find(name)) for name in list(self.up)]
+
+
 # --- block keys -----------------------------------------------------------------
 
 
@@ -145,10 +166,12 @@ def sharing(keyed: DataFrame) -> DataFrame:
     """(fp, rep) stars that join all sets with a common key, for (key, fp) rows.
 
     The rows are range-partitioned by key and digest, so a key that many sets have spreads over several tasks. A task
-    links the run of a key to its first set; the runs at its edges are linked across tasks through one row each.
+    joins the sets of each run of a key and gives out one star per group; the runs at its edges are linked across tasks
+    through one row each.
     """
 
     def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = _Named()
         key, head, edges = None, None, {}
         for batch in batches:
             if not batch.num_rows:
@@ -161,16 +184,19 @@ def sharing(keyed: DataFrame) -> DataFrame:
             if key is None:
                 edges[int(keys[0])] = heads[0]
             key, head = keys[-1], heads[-1]
-            pairs = {(a, b) for a, b in zip(fps[heads != fps], heads[heads != fps])}
-            yield pa.RecordBatch.from_pydict({"key": pa.nulls(len(pairs), pa.int64()), "fp": pa.array([a for a, _ in pairs], pa.binary()), "rep": pa.array([b for _, b in pairs], pa.binary())})
+            differ = heads != fps
+            for a, b in zip(fps[differ], heads[differ]):
+                groups.join(a, b)
+        pairs = groups.pairs()
+        yield pa.RecordBatch.from_pydict({"key": pa.nulls(len(pairs), pa.int64()), "fp": pa.array([a for a, _ in pairs], pa.binary()), "rep": pa.array([b for _, b in pairs], pa.binary())})
         if key is not None:
-            edges[int(key)] = edges.get(int(key), head)
+            edges.setdefault(int(key), head)
             yield pa.RecordBatch.from_pydict({"key": pa.array(list(edges), pa.int64()), "fp": pa.array(list(edges.values()), pa.binary()), "rep": pa.nulls(len(edges), pa.binary())})
 
     found = cut(keyed.repartitionByRange("key", "fp").sortWithinPartitions("key", "fp").mapInArrow(runs, "key long, fp binary, rep binary"))
     border = found.where("rep is null").groupBy("key").agg(F.min("fp").alias("rep"))
     across = found.where("rep is null").select("key", "fp").join(border, "key").where("fp <> rep").select("fp", "rep")
-    return found.where("rep is not null").select("fp", "rep").unionByName(across).distinct()
+    return found.where("rep is not null").select("fp", "rep").unionByName(across)
 
 
 _BUCKETS = 1 << 19
@@ -262,18 +288,6 @@ class Index:
                     heapq.heappush(heap, (lists[k][at], k, at))
 
 
-class _Groups:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        a, b = sorted((self.find(i), self.find(j)))
-        self.up[b] = a
 
 
 def _ordered(table: pa.Table) -> tuple[list[bytes], list[np.ndarray]]:
@@ -285,32 +299,44 @@ def _ordered(table: pa.Table) -> tuple[list[bytes], list[np.ndarray]]:
 _MEMBER = "fp binary, rep binary"
 
 
+def _members(pairs: list[tuple[bytes, bytes]]) -> pa.Table:
+    return pa.table({"fp": pa.array([a for a, _ in pairs], pa.binary()), "rep": pa.array([b for _, b in pairs], pa.binary())})
+
+
+def _spread(sets: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by group to a fixed number of tasks: a search takes long for its bytes, so tasks must not be merged by size."""
+    return sets.repartition(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _grouped(sets: DataFrame, percent: int) -> DataFrame:
     """(fp, rep): the groups inside each (block, chunk) of `sets`, named by one member."""
 
     def one(table: pa.Table) -> pa.Table:
         fps, sets_ = _ordered(table)
-        index, groups = Index(sets_, percent), _Groups(len(fps))
+        index, groups = Index(sets_, percent), _Named()
         for q, s in enumerate(sets_):
-            for i in index.search(s, lambda i, q=q: i >= q or groups.find(i) == groups.find(q)):
-                groups.join(i, q)
-        return pa.table({"fp": pa.array(fps, pa.binary()), "rep": pa.array([fps[groups.find(i)] for i in range(len(fps))], pa.binary())})
+            for i in index.search(s, lambda i, q=q: i >= q or groups.find(fps[i]) == groups.find(fps[q])):
+                groups.join(fps[i], fps[q])
+        return _members([(fp, groups.find(fp)) for fp in fps])
 
-    return sets.groupBy("block", "chunk").applyInArrow(one, _MEMBER)
+    return _spread(sets, "block", "chunk").groupBy("block", "chunk").applyInArrow(one, _MEMBER)
 
 
 def _links_to(sets: DataFrame, percent: int) -> DataFrame:
-    """(fp, rep) links between sets asked for and sets indexed, in each (block, chunk, part)."""
+    """(fp, rep) links that join the groups `rep` of sets asked for and sets indexed, in each (block, chunk, part)."""
 
     def one(table: pa.Table) -> pa.Table:
-        asked = table.column("asked")
-        fps, sets_ = _ordered(table.filter(pc.invert(asked)))
-        names, queries = _ordered(table.filter(asked))
+        groups, label = _Named(), dict(zip(table.column("fp").to_pylist(), table.column("rep").to_pylist()))
+        fps, sets_ = _ordered(table.filter(pc.invert(table.column("asked"))))
+        names, queries = _ordered(table.filter(table.column("asked")))
         index = Index(sets_, percent)
-        found = [(a, fps[i]) for a, q in zip(names, queries) for i in index.search(q, lambda i, a=a: fps[i] == a)]
-        return pa.table({"fp": pa.array([a for a, _ in found], pa.binary()), "rep": pa.array([b for _, b in found], pa.binary())})
+        for a, q in zip(names, queries):
+            for i in index.search(q, lambda i, a=a: groups.find(label[fps[i]]) == groups.find(label[a])):
+                groups.join(label[fps[i]], label[a])
+        return _members(groups.pairs())
 
-    return sets.groupBy("block", "chunk", "part").applyInArrow(one, _MEMBER)
+    keys = ["block", "chunk", "part"]
+    return _spread(sets, *keys).groupBy(*keys).applyInArrow(one, _MEMBER)
 
 
 def _dealt(sets: DataFrame, salt: int) -> DataFrame:
@@ -324,14 +350,6 @@ def _named(links: DataFrame) -> DataFrame:
     return found.select(F.col("node").alias("fp"), F.col("component").alias("rep"))
 
 
-def _outside(wide: DataFrame, groups: DataFrame) -> DataFrame:
-    """The sets that are not in the largest group of their block."""
-    labelled = wide.join(groups, "fp", "left").withColumn("rep", F.coalesce("rep", "fp"))
-    sizes = labelled.groupBy("block", "rep").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("block").agg(F.max(F.struct("size", "rep")).alias("most")).select("block", F.col("most.rep").alias("main"))
-    return labelled.join(largest, "block").where("rep <> main").drop("rep", "main")
-
-
 def _wide_groups(wide: DataFrame, percent: int) -> DataFrame:
     """(fp, rep) links of the sets in blocks of several chunks."""
     links, level, salt = [cut(_grouped(wide, percent))], wide, 0
@@ -347,15 +365,19 @@ def _wide_groups(wide: DataFrame, percent: int) -> DataFrame:
     for more in links[1:]:
         found = found.unionByName(more)
     found = found.where("fp <> rep")
-    outside = cut(_outside(wide, cut(_named(found))))
-    if outside.isEmpty():
+    labelled = cut(wide.join(_named(found), "fp", "left").withColumn("rep", F.coalesce("rep", "fp")))
+    sizes = labelled.groupBy("block", "rep").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("block").agg(F.max(F.struct("size", "rep")).alias("most")).select("block", F.col("most.rep").alias("main"))
+    outside = labelled.join(largest, "block").where("rep <> main")
+    parts = cut(outside.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK_SETS).alias("parts")))
+    if parts.isEmpty():
         return found
-    parts = outside.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / CHUNK_SETS).alias("parts"))
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["fp", "rep", "block", "n", "shingles"]
     asked = outside.join(parts, "block").select(
-        "fp", "block", "n", "shingles", numbers("chunks").alias("chunk"), F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")).alias("part"), F.lit(True).alias("asked"))
-    index = wide.join(parts, "block").select("fp", "block", "n", "shingles", "chunk", numbers("parts").alias("part"), F.lit(False).alias("asked"))
-    return found.unionByName(cut(_links_to(asked.unionByName(index), percent)))
+        *columns, numbers("chunks").alias("chunk"), F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")).alias("part"), F.lit(True).alias("asked"))
+    index = labelled.join(parts, "block").select(*columns, "chunk", numbers("parts").alias("part"), F.lit(False).alias("asked"))
+    return found.unionByName(_links_to(asked.unionByName(index), percent))
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -374,3 +396,23 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     lowest = labelled.where("rep is not null").groupBy("rep").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(lowest, "rep", "left").select(
         "doc_id", "n_shingles", F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """The rows of `docs` without near copies: of each group the row with the smallest id, with the same columns.
+
+    Of rows that agree in id and text one stays. Rows with a null doc_id stay only if their group has no other row.
+    """
+    found = jaccard_components(docs, width, percent).where("n_shingles > 0 and (doc_id <> component_id or doc_id is null and component_id is not null)")
+    gone = found.select(F.col("doc_id").alias("__id")).distinct()
+    return _single(docs).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+
+
+def _single(docs: DataFrame) -> DataFrame:
+    """One row of each that repeats, told by id and text; only rows whose id repeats are compared."""
+    key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("__place")]
+    again = docs.select(*key).groupBy("doc_id", "__place").count().where("count > 1")
+    if again.isEmpty():
+        return docs
+    names = docs.columns
+    return docs.withColumn("__place", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "__place"]).select(names)
