@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from specaudit.llm import toxicity
 from specaudit.llm.decontamination import leaks
+from specaudit.llm.embedding_dedup import near_duplicates
 from specaudit.llm.language_id import identified
 from specaudit.llm.license_scan import license_notices
 from specaudit.llm.license_scan import oracle_sql as license_sql
@@ -36,6 +37,10 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_notices(_table(spark, folder, "documents"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return identified(_table(spark, folder, "documents"))
 
@@ -58,6 +63,6 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_license_scan, op6_language_id, op7_cost_balanced_packing, op8_toxicity, op9_token_counts, op10_secret_scan)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_license_scan, op5_embedding_near_dedup, op6_language_id, op7_cost_balanced_packing, op8_toxicity, op9_token_counts, op10_secret_scan)
 }
 ORACLES: dict[str, str] = {"op3_license_scan": license_sql()}
