@@ -17,10 +17,10 @@ from __future__ import annotations
 
 import heapq
 import os
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +40,8 @@ def tokenised(docs: DataFrame, path: str, capacity: int, closing: int) -> DataFr
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        vocabulary = Vocabulary(path, lambda ids: np.array(ids, "<u4").tobytes())
-        end, width = np.array([closing], "<u4").tobytes(), 4 * capacity
+        vocabulary = Vocabulary(path, lambda tokens: struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]))
+        end, width = struct.pack("<I", closing), 4 * capacity
         for part in sliced(batches):
             split = [vocabulary.split(x or "") for x in part.column("text").to_pylist()]
             words = vocabulary.learn({item for items in split for item in items})

@@ -3,46 +3,57 @@
 from __future__ import annotations
 
 import re
+from codecs import charmap_decode
 from collections.abc import Callable, Iterable
 
-import regex
-from tokenizers import Tokenizer
+from tokenizers import Token, Tokenizer
 
-MEMO = 400_000  # pre-tokens remembered by one worker; beyond that it starts anew, with the same results
+MEMO = 1_000_000  # pre-tokens remembered by one worker; beyond that it starts anew, with the same results
 
-# The split rule of the byte-level tokenizer, in the syntax of two regex libraries. The second form is
-# faster and equal for texts without the characters of _ODD, where the two differ on what is a number or a space.
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+# Fixed value: the split rule of the byte-level tokenizer for texts without the characters of _ODD, for which the regex
+# library and the tokenizer may differ on what is a letter, a number or a space. Texts with them are split by the tokenizer.
 _SPLIT_LATIN = re.compile(r"'(?:[stmd]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-_ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeƀ-\U0010ffff]")
+_ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0180-\u200f\u2028-\u202f\u205f-\u20ab\u20ad-\U0010ffff]")
 
 
-def pretokens(text: str) -> list[str]:
-    return (_SPLIT if _ODD.search(text) else _SPLIT_LATIN).findall(text)
+def _byte_characters() -> str:
+    """The printable character by which a byte-level vocabulary writes each byte: itself, or the next free one from 256."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    free = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(free)) for b in range(256))
+
+
+_CHARACTERS = _byte_characters()
 
 
 class Vocabulary:
-    """The tokenizer file, with a memo of `value(ids)` per pre-token."""
+    """The tokenizer file, with a memo of `value(tokens)` per pre-token."""
 
-    def __init__(self, path: str, value: Callable[[list[int]], object]):
+    def __init__(self, path: str, value: Callable[[list], object]):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.value = value
         self.memo: dict[str, object] = {}
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.special = {text: value([i]) for text, i in added.items()}
+        self.special = {text: value([Token(i, text, (0, len(text)))]) for text, i in added.items()}
         self._cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
         self._marks = list(added)
 
+    def _pretokens(self, text: str) -> list[str]:
+        if _ODD.search(text):
+            return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        return _SPLIT_LATIN.findall(text)
+
     def split(self, text: str) -> list[str]:
         """Pre-tokens, with the strings of special tokens as items of their own (they are keys of `special`)."""
         if self._cut is None or not any(m in text for m in self._marks):
-            return pretokens(text)
+            return self._pretokens(text)
         out: list[str] = []
         for part in self._cut.split(text):
             if part in self.special:
                 out.append(part)
             elif part:
-                out.extend(pretokens(part))
+                out.extend(self._pretokens(part))
         return out
 
     def learn(self, items: Iterable[str]) -> dict[str, object]:
@@ -52,9 +63,7 @@ class Vocabulary:
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
             new = list(items)
-        for at in range(0, len(new), 10_000):
-            some = [x for x in new[at : at + 10_000] if x not in self.special]
-            coded = self.tokenizer.encode_batch(some, add_special_tokens=False)
-            self.memo.update(zip(some, (self.value(x.ids) for x in coded)))
-        self.memo.update((x, self.special[x]) for x in new if x in self.special)
-        return self.memo
+        memo, tokenize, value = self.memo, self.model.tokenize, self.value
+        for x in new:
+            memo[x] = self.special[x] if x in self.special else value(tokenize(charmap_decode(x.encode(), "strict", _CHARACTERS)[0]))
+        return memo
