@@ -13,7 +13,7 @@ from specaudit.plans.registry import query
 from specaudit.sources import export as X
 from specaudit.sources.submissions import read_eval_log, read_submission
 from specaudit.sources.views import SQL_VIEWS
-from specaudit.streaming.jobs import new_folder
+from specaudit.session import new_folder
 
 _types = ", ".join(f"('{k}', '{v}')" for k, v in vocab.NATIVE_TYPE_ALIASES.items())
 _all_types = ", ".join(f"'{t}'" for t in vocab.NATIVE_TYPES)

@@ -1,4 +1,4 @@
-"""Session set-up and lineage cutting."""
+"""Session set-up, the shared folder and lineage cutting."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
-    """A session for tests and benches; a cluster brings its own."""
-    return (
+    """A session for tests and benches, with a folder of its own where none is set; a cluster brings its own session."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("specaudit")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -18,20 +18,25 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    spark = builder.getOrCreate()
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return spark
+    spark.stop()  # the setting is fixed once a session has started
+    return builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the one the cluster names, else a local one in tests."""
+    """The folder for intermediate tables, which the driver and every executor can reach."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir, when the session is built, to a folder that every executor can reach")
+    return folder.rstrip("/")
+
+
+def new_folder(spark: SparkSession, kind: str = "table") -> str:
+    """A fresh place in the shared folder, under the application's id."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -41,6 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
     and give the next plan a real size to choose its join strategy from.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of written rounds that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for file in table.inputFiles():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            break

@@ -6,7 +6,6 @@ shared folder, so a restart continues where the last run stopped. Results are wr
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from specaudit import vocab
 from specaudit.operators.versioning import merge_columns
-from specaudit.session import shared_folder
+from specaudit.session import new_folder
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -27,10 +26,6 @@ def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: in
     return reader.parquet(folder)
 
 
-def new_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
-
-
 def _drain(stream: DataFrame, mode: str, folder: str, write: Callable[[DataFrame, int], None]) -> None:
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress")
