@@ -17,6 +17,8 @@ from specaudit.llm.ngram_join import jaccard_components
 from specaudit.llm.packing import pack
 from specaudit.llm.secret_scan import secret_spans
 from specaudit.llm.token_counts import token_counts
+from specaudit.llm.warc import payload_facts, read_chunks, write_archives
+from specaudit.session import new_folder
 
 BPE = "byte_bpe_50k.json"
 
@@ -37,6 +39,11 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_notices(_table(spark, folder, "documents"))
 
 
+def op4_warc_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    archives = write_archives(_table(spark, folder, "pages"), new_folder(spark, "warc"))
+    return payload_facts(read_chunks(archives, payloads=False))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "embeddings"))
 
@@ -63,6 +70,13 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_license_scan, op5_embedding_near_dedup, op6_language_id, op7_cost_balanced_packing, op8_toxicity, op9_token_counts, op10_secret_scan)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_license_scan, op4_warc_chunks, op5_embedding_near_dedup, op6_language_id, op7_cost_balanced_packing, op8_toxicity, op9_token_counts, op10_secret_scan)
 }
-ORACLES: dict[str, str] = {"op3_license_scan": license_sql()}
+WARC_SQL = """
+WITH facts AS (SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS n FROM pages),
+marked AS (SELECT *, sha256(payload) AS digest, min(page_id) OVER (PARTITION BY payload) AS first FROM facts)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to, TRUE AS verified, greatest(1, CASE WHEN n >= 100 AND page_id <> first THEN 1 ELSE CAST(ceil(n / 1048576.0) AS BIGINT) END) AS n_chunks
+FROM marked
+"""
+ORACLES: dict[str, str] = {"op3_license_scan": license_sql(), "op4_warc_chunks": WARC_SQL}
