@@ -34,7 +34,7 @@ from specaudit.llm.batches import sliced, text_bytes, word_borders, word_hashes
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_LENGTH = 2000, 3000, 2048
 MIN_DOCS, MIN_TOXIC = 3, 20
-BEGINNINGS = (7, 9)
+BEGINNINGS = (6, 8)
 SIZE, FILTERS, EPOCHS = 16, 8, 6
 
 _WORD = np.zeros(256, bool)
@@ -76,11 +76,11 @@ def guessed(model: Model, numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (total[first[1:]] - total[first[:-1]]).argmax(1)
 
 
-def _best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """Half way between the two scores around the cut with the best F1."""
+def _best_threshold(scores: np.ndarray, labels: np.ndarray, clean_weight: float) -> float:
+    """Half way between the two scores around the cut with the best F1, where a clean document counts `clean_weight` times."""
     order = np.argsort(-scores, kind="stable")
     hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + labels.sum())
+    f1 = 2 * hits / (hits + clean_weight * np.cumsum(1 - labels[order]) + labels.sum())
     k = int(f1.argmax())
     ranked = scores[order]
     return float((ranked[k] + ranked[k + 1]) / 2) if k + 1 < len(ranked) else float(ranked[k] - 1)
@@ -95,6 +95,7 @@ def learnt(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.join(docs.select(F.col("doc_id").cast("long")), "doc_id", "left_semi")
+    times = {kind: n for kind, n in known.groupBy("toxic").count().collect() if kind in (0, 1)}
     some = [known.where(kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for kind, n in (("toxic = 1", toxic), ("toxic = 0", clean))]
     ids = some[0].unionByName(some[1])
 
@@ -132,8 +133,10 @@ def learnt(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     own = [numbers[i] for i in np.flatnonzero(held)]
     flat, first = np.concatenate([np.zeros((0, 1 + len(BEGINNINGS)), int), *own]), np.concatenate(([0], np.cumsum([len(n) for n in own])))
     scores, tongue, truth = _logits(model, flat, first), guessed(model, flat, first), label[held]
-    common = _best_threshold(scores, truth) if truth.any() else 0.0
-    limits = [_best_threshold(scores[tongue == k], truth[tongue == k]) if truth[tongue == k].sum() >= MIN_TOXIC else common for k in range(len(languages))]
+    # The sample holds more toxic documents than the corpus does; clean ones count for those they stand for.
+    weight = times[0] / times[1] * (label == 1).sum() / (label == 0).sum()
+    common = _best_threshold(scores, truth, weight) if truth.any() else 0.0
+    limits = [_best_threshold(scores[tongue == k], truth[tongue == k], weight) if truth[tongue == k].sum() >= MIN_TOXIC else common for k in range(len(languages))]
     return Model(keys, params, languages, model.share, np.array(limits))
 
 
