@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specaudit.llm.batches import sliced, text_bytes, window_hashes, word_borders, word_hashes
+from specaudit.llm.batches import free_name, sliced, text_bytes, window_hashes, word_borders, word_hashes
 from specaudit.session import cut
 
 WIDTH, LEAST, SHARE = 8, 5, 0.5
@@ -194,6 +194,7 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: int = LE
 
 def without_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """The rows of `docs` that hold no item, with the same columns; a row with a null doc_id is judged by its text."""
-    bad = contaminated(docs, items, width, least, share).select(F.col("doc_id").alias("__id"), F.col("place").alias("__place")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__place"))
+    name, place = free_name(docs.columns, "bad_id"), free_name(docs.columns, "bad_place")
+    bad = contaminated(docs, items, width, least, share).select(F.col("doc_id").alias(name), F.col("place").alias(place)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(name)) & (F.xxhash64(F.col("text").cast("string")) == F.col(place))
     return docs.join(bad, same, "left_anti")

@@ -101,20 +101,19 @@ def _signature(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def license_notices(docs: DataFrame, templates: list[tuple[str, str]] | None = None, size: int = WORDS, contained: float = CONTAINED) -> DataFrame:
     """(doc_id, license, containment, n_windows): notices found in the whole text of every row of (doc_id, text)."""
-    templates = TEMPLATES if templates is None else templates
+    templates = [t for t in (TEMPLATES if templates is None else templates) if len(words_of(t[1])) >= size]
     spark = docs.sparkSession
+    if not templates:
+        return docs.selectExpr("cast(doc_id as long) doc_id", "'' license", "0d containment", "0L n_windows").where("false")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     low = F.lower("text")
-    possible = [low.contains(w) for w in anchors(templates, size, contained)]
-    some = possible[0] if possible else F.lit(False)
-    for more in possible[1:]:
-        some = some | more
-    key = ["doc_id", "place"]
-    kept = cut(rows.where(some).withColumn("place", F.xxhash64("text")))
+    some = F.lit(False)
+    for word in anchors(templates, size, contained):
+        some = some | low.contains(word)
+    key = ["place", "known", "nameless"]  # a row is told by its text and its id, which may be null
+    kept = cut(rows.where(some).select(F.xxhash64("text").alias("place"), F.coalesce("doc_id", F.lit(0)).alias("known"), F.col("doc_id").isNull().alias("nameless"), "text"))
     known = cut(template_shingles(spark, templates, size))
     blocks = sorted(r[0] for r in known.select("block").distinct().collect())  # one per size class
-    if not blocks:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("n_windows")).limit(0)
     placed = kept.repartition(*key).select(*key, F.posexplode(_shingles(F.col("text"), size)).alias("at", "shingle"))
     both = F.explode(F.flatten(F.array(*(F.array(*(F.struct(F.lit(b).alias("block"), (F.floor(F.col("at") / b) - back).alias("window")) for back in (0, 1))) for b in blocks)))).alias("w")
     windows = placed.select(*key, "shingle", both).select(*key, "shingle", "w.block", "w.window").where("window >= 0")
@@ -123,7 +122,8 @@ def license_notices(docs: DataFrame, templates: list[tuple[str, str]] | None = N
     inside = windows.join(candidates, [*key, "block", "window"]).join(known.select("template", "shingle", "license", "m"), ["template", "shingle"])
     shares = inside.groupBy(*key, "block", "window", "template", "license", "m").agg(F.count_distinct("shingle").alias("held"))
     share = F.col("held") / F.col("m")
-    return shares.where(share >= contained).groupBy("doc_id", "license").agg(
+    doc = F.when(~F.col("nameless"), F.col("known")).alias("doc_id")
+    return shares.where(share >= contained).groupBy(doc, "license").agg(
         F.max(share).alias("containment"), F.count_distinct("place", "block", "window").alias("n_windows"))
 
 

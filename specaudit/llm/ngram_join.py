@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specaudit.llm.batches import mixed, sliced, text_bytes, window_hashes, word_borders, word_hashes
+from specaudit.llm.batches import free_name, mixed, sliced, text_bytes, window_hashes, word_borders, word_hashes
 from specaudit.operators.graph import components
 from specaudit.session import cut
 
@@ -382,6 +382,11 @@ def _wide_groups(wide: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of (doc_id, text)."""
+    return placed_components(docs, width, percent).drop("place")
+
+
+def placed_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The same with `place`, a hash of the text, which tells rows with one doc_id apart."""
     rows = cut(sketched(docs, width, percent))
     blocks = cut(_named(sharing(rows.select(F.explode("keys").alias("key"), "fp"))).withColumnRenamed("rep", "block"))
     # One document stands for each distinct set.
@@ -392,27 +397,27 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     if not (wide := wanted.where("chunks > 1")).isEmpty():
         links = links.unionByName(_wide_groups(cut(wanted_sets(docs, width, wide)), percent))
     groups = cut(_named(links))
-    labelled = cut(rows.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(groups, "fp", "left").withColumn("rep", F.coalesce("rep", "fp")))
+    labelled = cut(rows.select("doc_id", "place", F.col("n").alias("n_shingles"), "fp").join(groups, "fp", "left").withColumn("rep", F.coalesce("rep", "fp")))
     lowest = labelled.where("rep is not null").groupBy("rep").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(lowest, "rep", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "doc_id", "place", "n_shingles", F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """The rows of `docs` without near copies: of each group the row with the smallest id, with the same columns.
 
-    Of rows that agree in id and text one stays. Rows with a null doc_id stay only if their group has no other row.
+    Of rows that agree in id and text one stays. A row with a null doc_id goes if its group has a row with one.
     """
-    found = jaccard_components(docs, width, percent).where("n_shingles > 0 and (doc_id <> component_id or doc_id is null and component_id is not null)")
-    gone = found.select(F.col("doc_id").alias("__id")).distinct()
-    return _single(docs).join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    found = placed_components(docs, width, percent).where("n_shingles > 0 and (doc_id <> component_id or doc_id is null and component_id is not null)")
+    name, place = free_name(docs.columns, "gone_id"), free_name(docs.columns, "gone_place")
+    gone = found.select(F.col("doc_id").alias(name), F.col("place").alias(place)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(name)) & (F.xxhash64(F.col("text").cast("string")) == F.col(place))
+    return _single(docs).join(gone, same, "left_anti")
 
 
 def _single(docs: DataFrame) -> DataFrame:
-    """One row of each that repeats, told by id and text; only rows whose id repeats are compared."""
-    key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("__place")]
-    again = docs.select(*key).groupBy("doc_id", "__place").count().where("count > 1")
-    if again.isEmpty():
-        return docs
-    names = docs.columns
-    return docs.withColumn("__place", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "__place"]).select(names)
+    """One row of each that repeats, told by id and text; untouched where no id and text repeat."""
+    place = free_name(docs.columns, "text_place")
+    placed = docs.withColumn(place, F.xxhash64(F.col("text").cast("string")))
+    again = placed.groupBy("doc_id", place).count().where("count > 1")
+    return docs if again.isEmpty() else placed.dropDuplicates(["doc_id", place]).select(docs.columns)
