@@ -142,7 +142,7 @@ def _compared(cosine: float, doubt: float):
         units = units_of(table.column("raw").to_pylist(), d)
         keys = np.stack(table.column("keys").to_pylist()) if len(fps) else np.zeros((0, 1))
         a, b = np.flatnonzero(~right), np.flatnonzero(right)
-        alone = not len(b)
+        alone = table.column("l")[0].as_py() == table.column("r")[0].as_py()
         b = a if alone else b
         sign, factor = codes(units[b])
         turned = units[a] @ rotation(d, 0).T
