@@ -79,4 +79,24 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CA
   CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to, TRUE AS verified, greatest(1, CASE WHEN n >= 100 AND page_id <> first THEN 1 ELSE CAST(ceil(n / 1048576.0) AS BIGINT) END) AS n_chunks
 FROM marked
 """
-ORACLES: dict[str, str] = {"op3_license_scan": license_sql(), "op4_warc_chunks": WARC_SQL}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+JACCARD_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sets AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sets a JOIN sets b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * k >= 90 * (a.n + b.n - k)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON other = x)
+SELECT r.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id FROM reach r LEFT JOIN n ON r.doc_id = n.doc_id GROUP BY r.doc_id
+"""
+COSINE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND list_bool_and(list_transform(e, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+n AS (SELECT x, count(*) AS n FROM links GROUP BY x),
+reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT reach.vec_id, links.y FROM reach JOIN links ON other = x)
+SELECT r.vec_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links, min(other) AS component_id, r.vec_id = min(other) AS kept FROM reach r LEFT JOIN n ON r.vec_id = n.x GROUP BY r.vec_id
+"""
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": JACCARD_SQL, "op3_license_scan": license_sql(), "op4_warc_chunks": WARC_SQL, "op5_embedding_near_dedup": COSINE_SQL,
+}
