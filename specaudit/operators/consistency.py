@@ -157,11 +157,11 @@ def similar_name_links(candidates: DataFrame) -> DataFrame:
 def name_clusters(links: DataFrame) -> DataFrame:
     """(matter_id, name, cluster): linked names, transitively; the cluster is its smallest name."""
     def node(c: str) -> Column:
-        return F.concat_ws("/", F.lpad(F.col("matter_id").cast("string"), 12, "0"), c)
+        return F.concat_ws("/", F.col("matter_id").cast("string"), c)
 
     parts = components(links.select(node("a").alias("src"), node("b").alias("dst")))
     def split(c: str, n: int) -> Column:
-        return F.substring(F.col(c), 1, 12).cast("bigint") if n == 0 else F.expr(f"substring({c}, 14)")
+        return F.substring_index(c, "/", 1).cast("bigint") if n == 0 else F.expr(f"substring({c}, locate('/', {c}) + 1)")
 
     return parts.select(split("node", 0).alias("matter_id"), split("node", 1).alias("name"), split("component", 1).alias("cluster"))
 

@@ -160,18 +160,18 @@ def ladder_gap(rules: DataFrame) -> DataFrame:
 def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(DOC, position, name_key) where a text contains a name, both lower-cased, per document.
 
-    `texts`: DOC, position, low. `names`: DOC, name_key. A text offers each of its short substrings
-    once as a join key, and a name is looked up by its own first characters, so texts and names meet on
-    an equality; the few names shorter than a key are compared inside their document.
+    `texts`: DOC, position, low, one row per DOC and position. `names`: DOC, name_key. A text offers each of its substrings
+    of a few characters as a join key, of the lengths that names of its document start with, and a name is looked up by its
+    own first characters; so they meet on an equality, with ids alone, and only what meets is read again to be compared.
     """
-    long, short = names.where(F.length("name_key") >= _GRAM), names.where((F.length("name_key") < _GRAM) & (F.length("name_key") > 0))
-    grams = F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("low") - (_GRAM - 1), F.lit(1))), lambda i: F.substring(F.col("low"), i, F.lit(_GRAM))))
-    keyed = texts.where(F.length("low") >= _GRAM).select(*DOC, "position", "low", F.explode(grams).alias("gram"))
-    by_gram = keyed.join(long.withColumn("gram", F.substring("name_key", 1, _GRAM)), [*DOC, "gram"])
-    near = texts.join(short, DOC)
-    cols = [*DOC, "position", "low", "name_key"]
-    return by_gram.select(*cols).unionByName(near.select(*cols)).where(F.contains("low", "name_key")).select(*DOC, "position", "name_key").distinct()
+    start = F.least(F.length("name_key"), F.lit(_GRAM))
+    known = names.where(F.length("name_key") > 0).select(*DOC, "name_key", start.alias("size"), F.substring(F.col("name_key"), F.lit(1), start).alias("gram"))
+    sizes = known.select(*DOC, "size").distinct()
+    places = F.sequence(F.lit(1), F.length("low") - F.col("size") + 1)
+    grams = F.array_distinct(F.transform(places, lambda i: F.substring(F.col("low"), i, F.col("size"))))
+    offered = texts.join(sizes, DOC).where(F.length("low") >= F.col("size")).select(*DOC, "position", F.explode(grams).alias("gram"))
+    met = offered.join(known.drop("size"), [*DOC, "gram"]).select(*DOC, "position", "name_key").distinct()
+    return met.join(texts.select(*DOC, "position", "low"), [*DOC, "position"]).where(F.contains("low", "name_key")).select(*DOC, "position", "name_key")
 
 
 def rule_name_mentions(rules: DataFrame) -> DataFrame:

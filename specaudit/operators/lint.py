@@ -25,37 +25,129 @@ def prompt_rows(versions: DataFrame, columns: DataFrame) -> DataFrame:
     return versions.select(F.col("prompt_version_id").alias("text_id"), "column_id", "text").join(c, "column_id")
 
 
-def _row_rule(df: DataFrame, code: Column | str, when: Column, evidence: Column) -> DataFrame:
+def _none() -> Column:
+    return F.array().cast("array<struct<code:string,evidence:string>>")
+
+
+def _when(test: Column, code: Column | str, evidence: Column) -> Column:
     code = F.lit(code) if isinstance(code, str) else code
-    return df.where(when).select("text_id", "column_id", code.alias("code"), evidence.cast("string").alias("evidence"))
+    return F.when(test, F.array(F.struct(code.alias("code"), evidence.cast("string").alias("evidence")))).otherwise(_none())
 
 
-def _lines_rule(df: DataFrame, code: str, found: Column, label: Column | None = None) -> DataFrame:
-    row = df.withColumn("found", found).where(F.size("found") > 0)
-    text = F.array_join(T.evidence_topk(F.col("found")), "|")
-    return row.select("text_id", "column_id", F.lit(code).alias("code"), (text if label is None else F.concat(label, F.lit(": "), text)).alias("evidence"))
+def _lines(found: Column, code: str, label: Column | None = None) -> Column:
+    """One finding with all offending lines, if there are any."""
+    def entry(lines: Column) -> Column:
+        text = F.array_join(lines, "|")
+        return _when(F.size(lines) > 0, code, text if label is None else F.concat(label, F.lit(": "), text))
 
+    return T.let(found, entry)
 
-def lint_length(df: DataFrame) -> DataFrame:
+
+def _findings(df: DataFrame, *entries: Column) -> DataFrame:
+    """(text_id, column_id, code, evidence) of all entries, worked out in one pass over the rows."""
+    return df.select("text_id", "column_id", F.inline(F.flatten(F.array(*entries))))
+
+
+def _length() -> Column:
     n = F.length("text")
     code = F.when(n > vocab.CHAR_LIMIT_HARD, "PROMPT_LENGTH_HARD").otherwise("PROMPT_LENGTH_ADVISORY")
-    return _row_rule(df, code, n > vocab.CHAR_LIMIT_ADVISORY, n)
+    return _when(n > vocab.CHAR_LIMIT_ADVISORY, code, n)
+
+
+def _synonym() -> Column:
+    used = F.filter(literal_array(vocab.FALLBACK_SYNONYMS), lambda t: F.contains(F.lower("text"), F.lower(t)))
+    return F.flatten(F.transform(used, lambda t: _lines(T.positive_term_lines(F.col("text"), t), "FALLBACK_SYNONYM", t)))
+
+
+def _not_stated() -> Column:
+    return F.when(~F.col("native_type").isin(vocab.TYPED_COLUMNS), _lines(T.positive_term_lines(F.col("text"), "Not stated"), "FALLBACK_NOT_STATED_UNTYPED")).otherwise(_none())
+
+
+def _not_addressed() -> Column:
+    return F.when(F.col("native_type").isin(vocab.TYPED_COLUMNS), _lines(T.positive_term_lines(F.col("text"), "Not addressed"), "FALLBACK_NOT_ADDRESSED_TYPED")).otherwise(_none())
+
+
+def _qualifier() -> Column:
+    dash = F.regexp_extract("text", T.pattern(vocab.EM_DASH_QUALIFIER, "i"), 0)
+    phrase = F.regexp_extract("text", T.pattern(vocab.QUALIFIER_PHRASE, "i"), 0)
+    match = F.coalesce(F.nullif(dash, F.lit("")), F.nullif(phrase, F.lit("")))
+    return _when((F.col("native_type") == "Classify") & match.isNotNull(), "CLASSIFY_QUALIFIER_PERMITTED", match)
+
+
+def _options_missing() -> Column:
+    return _when((F.col("native_type") == "Classify") & (F.coalesce(F.size("options"), F.lit(0)) <= 0), "OPTIONS_MISSING", F.lit(""))
+
+
+def _output_contract() -> Column:
+    heading = T.matches(F.col("text"), vocab.OUTPUT_HEADING, "imd")
+    says = T.matches(F.col("text"), vocab.RETURN_WORD)
+    return _when(~heading & ~says, "OUTPUT_CONTRACT_MISSING", F.lit(""))
+
+
+def _markdown() -> Column:
+    def is_output(name: Column) -> Column:
+        return T.matches(name, vocab.OUTPUT_SECTION)
+
+    def permissive(secs: Column) -> Column:
+        out = F.array_join(F.transform(F.filter(secs, lambda s: is_output(s["name"])), lambda s: s["body"]), "\n")
+        allows = T.matches(out, vocab.MARKDOWN_ALLOW) & ~T.matches(out, vocab.PLAIN_TEXT)
+        body = F.flatten(F.transform(F.filter(secs, lambda s: ~is_output(s["name"])), lambda s: T.lines(s["body"])))
+        kept = F.filter(
+            body,
+            lambda ln: T.matches(ln, vocab.MARKDOWN_TERMS) & T.matches(ln, vocab.ANSWER_LINE)
+            & ~T.matches(ln, vocab.NEGATED_LINE) & ~T.matches(ln, vocab.PLAIN_TEXT),
+        )
+        return F.when(~allows, F.transform(kept, T.strip))
+
+    return F.when(T.matches(F.col("text"), vocab.MARKDOWN_TERMS), _lines(T.let(T.sections(F.col("text")), permissive), "MARKDOWN_IN_CELL")).otherwise(_none())
+
+
+def _character_rule() -> Column:
+    found = F.transform(
+        F.filter(T.lines(F.col("text")), lambda ln: T.matches(ln, vocab.CHARACTER_COUNT) & ~T.matches(ln, vocab.NEGATED_LINE)), T.strip
+    )
+    return F.when(T.matches(F.col("text"), vocab.CHARACTER_COUNT), _lines(found, "CHARACTER_COUNT_RULE")).otherwise(_none())
+
+
+def lint_length(df: DataFrame) -> DataFrame:
+    return _findings(df, _length())
 
 
 def lint_synonym(df: DataFrame) -> DataFrame:
-    row = df.select("text_id", "column_id", "text", F.explode(literal_array(vocab.FALLBACK_SYNONYMS)).alias("term"))
-    row = row.where(F.contains(F.lower("text"), F.lower("term")))
-    return _lines_rule(row, "FALLBACK_SYNONYM", T.positive_term_lines(F.col("text"), F.col("term")), F.col("term"))
+    return _findings(df, _synonym())
 
 
 def lint_not_stated(df: DataFrame) -> DataFrame:
-    row = df.where(~F.col("native_type").isin(vocab.TYPED_COLUMNS))
-    return _lines_rule(row, "FALLBACK_NOT_STATED_UNTYPED", T.positive_term_lines(F.col("text"), "Not stated"))
+    return _findings(df, _not_stated())
 
 
 def lint_not_addressed(df: DataFrame) -> DataFrame:
-    row = df.where(F.col("native_type").isin(vocab.TYPED_COLUMNS))
-    return _lines_rule(row, "FALLBACK_NOT_ADDRESSED_TYPED", T.positive_term_lines(F.col("text"), "Not addressed"))
+    return _findings(df, _not_addressed())
+
+
+def lint_qualifier(df: DataFrame) -> DataFrame:
+    return _findings(df, _qualifier())
+
+
+def lint_options_missing(df: DataFrame) -> DataFrame:
+    return _findings(df, _options_missing())
+
+
+def lint_output_contract(df: DataFrame) -> DataFrame:
+    return _findings(df, _output_contract())
+
+
+def lint_markdown(df: DataFrame) -> DataFrame:
+    return _findings(df, _markdown())
+
+
+def lint_character_rule(df: DataFrame) -> DataFrame:
+    return _findings(df, _character_rule())
+
+
+def lint_row_rules(df: DataFrame) -> DataFrame:
+    """Every rule that needs only the row, in one narrow scan."""
+    return _findings(df, _length(), _synonym(), _not_stated(), _not_addressed(), _qualifier(), _options_missing(), _output_contract(), _markdown(), _character_rule())
 
 
 def lint_label_not_configured(df: DataFrame, names: DataFrame) -> DataFrame:
@@ -75,22 +167,10 @@ def lint_label_not_configured(df: DataFrame, names: DataFrame) -> DataFrame:
     known = names.select("table_id", F.lower("name").alias("label_key")).distinct()
     unknown = labels.withColumn("label_key", F.lower("label")).join(known, ["table_id", "label_key"], "left_anti")
     rows = F.sort_array(F.collect_list(F.struct("at", "label")))
-    text = F.array_join(T.evidence_topk(F.transform(rows, lambda r: r["label"]), vocab.EVIDENCE_LABELS), "|")
+    text = F.array_join(F.transform(rows, lambda r: r["label"]), "|")
     return unknown.groupBy("text_id", "column_id").agg(text.alias("evidence")).withColumn("code", F.lit("CLASSIFY_LABEL_NOT_CONFIGURED")).select(*_OUT)
 
 
-def lint_qualifier(df: DataFrame) -> DataFrame:
-    dash = F.regexp_extract("text", T.pattern(vocab.EM_DASH_QUALIFIER, "i"), 0)
-    phrase = F.regexp_extract("text", T.pattern(vocab.QUALIFIER_PHRASE, "i"), 0)
-    row = df.where("native_type = 'Classify'").withColumn("match", F.coalesce(F.nullif(dash, F.lit("")), F.nullif(phrase, F.lit(""))))
-    return _row_rule(row, "CLASSIFY_QUALIFIER_PERMITTED", F.col("match").isNotNull(), F.col("match"))
-
-
-def lint_options_missing(df: DataFrame) -> DataFrame:
-    none = F.coalesce(F.size("options"), F.lit(0)) <= 0
-    return _row_rule(df, "OPTIONS_MISSING", (F.col("native_type") == "Classify") & none, F.lit(""))
-
-
 def _refs_with_context(df: DataFrame, refs: DataFrame) -> DataFrame:
     return refs.join(df.select("text_id", "column_id", F.lower("name").alias("own_name"), F.col("position").alias("own_position")), "text_id")
 
@@ -114,38 +194,6 @@ def lint_ref_forward(df: DataFrame, refs: DataFrame, names: DataFrame) -> DataFr
     return hit.select("text_id", "column_id", F.lit("REF_FORWARD").alias("code"), F.col("resolved_name").alias("evidence")).distinct()
 
 
-def lint_output_contract(df: DataFrame) -> DataFrame:
-    heading = T.matches(F.col("text"), vocab.OUTPUT_HEADING, "imd")
-    says = T.matches(F.col("text"), vocab.RETURN_WORD)
-    return _row_rule(df, "OUTPUT_CONTRACT_MISSING", ~heading & ~says, F.lit(""))
-
-
-def lint_markdown(df: DataFrame) -> DataFrame:
-    def is_output(name: Column) -> Column:
-        return T.matches(name, vocab.OUTPUT_SECTION)
-
-    def permissive(secs: Column) -> Column:
-        out = F.array_join(F.transform(F.filter(secs, lambda s: is_output(s["name"])), lambda s: s["body"]), "\n")
-        allows = T.matches(out, vocab.MARKDOWN_ALLOW) & ~T.matches(out, vocab.PLAIN_TEXT)
-        body = F.flatten(F.transform(F.filter(secs, lambda s: ~is_output(s["name"])), lambda s: T.lines(s["body"])))
-        kept = F.filter(
-            body,
-            lambda ln: T.matches(ln, vocab.MARKDOWN_TERMS) & T.matches(ln, vocab.ANSWER_LINE)
-            & ~T.matches(ln, vocab.NEGATED_LINE) & ~T.matches(ln, vocab.PLAIN_TEXT),
-        )
-        return F.when(~allows, F.transform(kept, T.strip))
-
-    row = df.where(T.matches(F.col("text"), vocab.MARKDOWN_TERMS))
-    return _lines_rule(row, "MARKDOWN_IN_CELL", T.let(T.sections(F.col("text")), permissive))
-
-
-def lint_character_rule(df: DataFrame) -> DataFrame:
-    found = F.transform(
-        F.filter(T.lines(F.col("text")), lambda ln: T.matches(ln, vocab.CHARACTER_COUNT) & ~T.matches(ln, vocab.NEGATED_LINE)), T.strip
-    )
-    return _lines_rule(df.where(T.matches(F.col("text"), vocab.CHARACTER_COUNT)), "CHARACTER_COUNT_RULE", found)
-
-
 def use_text(text: Column) -> Column:
     """The part of a prompt that can use a declared input: no established-results section, no declarations."""
     secs = F.filter(T.sections(text), lambda s: ~T.matches(s["name"], vocab.ESTABLISHED_HEADING))
@@ -164,14 +212,14 @@ def lint_dead_reference(df: DataFrame, refs: DataFrame) -> DataFrame:
     return dead.select("text_id", "column_id", F.lit("DEAD_REFERENCE").alias("code"), F.col("resolved_name").alias("evidence"))
 
 
+def lint_references(df: DataFrame, names: DataFrame, refs: DataFrame) -> DataFrame:
+    """The rules about the order and the targets of references."""
+    return reduce(DataFrame.unionByName, [lint_ref_self(df, refs), lint_ref_unresolved(df, refs), lint_ref_forward(df, refs, names)])
+
+
 def lint_prompts(df: DataFrame, names: DataFrame, refs: DataFrame) -> DataFrame:
     """All rules over all rows, as one table of (text_id, column_id, code, evidence)."""
-    parts = [
-        lint_length(df), lint_synonym(df), lint_not_stated(df), lint_not_addressed(df),
-        lint_label_not_configured(df, names), lint_qualifier(df), lint_options_missing(df),
-        lint_ref_self(df, refs), lint_ref_unresolved(df, refs), lint_ref_forward(df, refs, names),
-        lint_output_contract(df), lint_markdown(df), lint_character_rule(df), lint_dead_reference(df, refs),
-    ]
+    parts = [lint_row_rules(df), lint_label_not_configured(df, names), lint_references(df, names, refs), lint_dead_reference(df, refs)]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -50,9 +50,11 @@ def find_refs(texts: DataFrame, names: DataFrame) -> DataFrame:
     found = texts.where(F.contains("text", F.lit("@"))).select(
         "text_id", "table_id", "text", F.explode(_starts(F.col("text"))).alias("start_at")
     )
+    # one character more than the longest name, so that its word border is seen
+    window = names.agg(F.coalesce(F.max(F.length("name")), F.lit(0)) + 1).scalar()
     refs = found.select(
         "text_id", "table_id", "start_at", _guess(F.col("text"), F.col("start_at")).alias("guess"),
-        F.substring(F.col("text"), F.col("start_at") + 1, F.lit(vocab.REFERENCE_WINDOW)).alias("window"),
+        F.substring(F.col("text"), F.col("start_at") + 1, window).alias("window"),
     )
     keyed = refs.select("text_id", "table_id", "start_at", "guess", "window", F.explode(_prefixes(F.col("window"))).alias("name_key"))
     known = names.select("table_id", F.lower("name").alias("name_key"), "column_id", "name", "position")

@@ -141,7 +141,8 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     The order has to be total. The count is a separate small aggregate, so no window gathers the
     whole table into one task.
     """
-    limit = max(1, min(limit, vocab.PAGE_LIMIT_MAX))
+    if limit < 1:
+        raise ValueError("a page has at least one row")
     total = df.agg(F.count(F.lit(1)).alias("total"))
     rows = df.orderBy(*order).offset(offset).limit(limit)
     return rows.withColumn("total", total.scalar()).withColumn(

@@ -183,13 +183,13 @@ def apply_changes(columns: DataFrame, events: DataFrame) -> tuple[DataFrame, Dat
     """(columns after a batch of change events, new text versions, change log).
 
     `events`: column_id, change_no, name, status, role, concept, native_type, text, bump, note; a null
-    field is left alone. The last value of each field wins. A change of text is logged once as a
+    field is left alone. `change_no` is any ordered key without repeats in a column. The last value of each field wins. A change of text is logged once as a
     version; a change without new text is logged as a revision, or as a retirement.
     """
     log_order = Window.partitionBy("column_id").orderBy("change_no")
-    base = columns.select("column_id", F.lit(-1).cast("bigint").alias("change_no"), F.col("text").alias("text"))
-    texts = events.where("text is not null").select("column_id", "change_no", "text").unionByName(base.where("text is not null"))
-    fresh = texts.withColumn("before", F.lag("text").over(log_order)).where("change_no >= 0").where(~F.col("before").eqNullSafe(F.col("text")))
+    base = columns.where("text is not null").select("column_id", F.lit(None).cast(events.schema["change_no"].dataType).alias("change_no"), "text")
+    texts = events.where("text is not null").select("column_id", "change_no", "text").unionByName(base)  # null comes first
+    fresh = texts.withColumn("before", F.lag("text").over(log_order)).where("change_no is not null").where(~F.col("before").eqNullSafe(F.col("text")))
     versions = fresh.select("column_id", "change_no", "text").join(events.select("column_id", "change_no", "bump", "note"), ["column_id", "change_no"])
     last = events.groupBy("column_id").agg(*[
         F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("change_no"))).alias(f"n_{f}") for f in [*_CHANGED, "text"]])

@@ -98,9 +98,9 @@ def _(m):
 
 
 @query("instructions_missing", """
-SELECT matter_id, table_id FROM a_table WHERE table_id IN (SELECT table_id FROM a_column WHERE status <> 'retired') AND table_id NOT IN (SELECT table_id FROM a_instructions WHERE is_current AND version > 4)""")
+SELECT matter_id, table_id FROM a_table WHERE table_id IN (SELECT table_id FROM a_column WHERE status <> 'retired') AND table_id NOT IN (SELECT table_id FROM a_instructions WHERE is_current)""")
 def _(m):
-    return C.instructions_missing(m.a_table, m.a_column, current_rules(m).where("version > 4"))
+    return C.instructions_missing(m.a_table, m.a_column, current_rules(m))
 
 
 @query("instructions_vocabulary", f"""

@@ -41,7 +41,7 @@ SELECT f.table_id, f.seq, f.position, f.name, h.name AS first_name FROM {s_fold}
 JOIN {s_fold} h ON h.seq = p.seq WHERE f.rn = 1 AND f.seq > p.seq"""
 SQL_VIEWS["s_stored"] = """
 SELECT c.table_id, c.column_id, c.name, c.position, c.native_type, c.status, c.role, v.text, v.minor FROM {a_column} c LEFT JOIN {a_prompt_version} v ON v.column_id = c.column_id AND v.is_current
-WHERE c.column_id IN (SELECT min(column_id) FROM {a_column} GROUP BY table_id, lower(name)) AND c.role IS NOT NULL"""
+WHERE c.column_id IN (SELECT min(column_id) FROM {a_column} GROUP BY table_id, lower(name))"""
 SQL_VIEWS["s_merged"] = """
 SELECT coalesce(b.table_id, s.table_id) AS table_id, lower(coalesce(b.name, s.name)) AS name_key, s.column_id, coalesce(b.name, s.name) AS name,
   CASE WHEN b.seq IS NOT NULL THEN b.position ELSE s.position END AS position, CASE WHEN b.seq IS NOT NULL THEN b.native_type ELSE s.native_type END AS native_type,
@@ -60,7 +60,7 @@ def batch(m):
 def stored(m):
     first = m.a_column.groupBy("table_id", norm_name(F.col("name")).alias("k")).agg(F.min("column_id").alias("column_id")).select("column_id")
     text = current_prompts(m).select("column_id", "text", "minor")
-    return m.a_column.join(first, "column_id", "left_semi").where("role is not null").join(text, "column_id", "left").select(
+    return m.a_column.join(first, "column_id", "left_semi").join(text, "column_id", "left").select(
         "table_id", "column_id", "name", "position", "native_type", "status", "role", "text", "minor")
 
 
@@ -124,31 +124,33 @@ SELECT coalesce(s.table_id, b.table_id) AS table_id, CAST(coalesce(s.version, 0)
   length(CASE WHEN b.table_id IS NOT NULL THEN b.text ELSE s.text END) AS chars,
   CASE WHEN s.table_id IS NULL THEN 'created' WHEN b.table_id IS NULL THEN 'kept' WHEN s.text IS DISTINCT FROM b.text THEN 'version' ELSE 'unchanged' END AS action
 FROM (SELECT table_id, version, text FROM a_instructions WHERE is_current) s
-FULL JOIN (SELECT t.table_id, CASE WHEN t.grouping_enabled THEN coalesce(i.text, t.name) ELSE d.text END AS text FROM a_table t JOIN documents d ON d.doc_id = t.table_id LEFT JOIN a_instructions i ON i.table_id = t.table_id AND i.is_current) b USING (table_id)""")
+FULL JOIN (SELECT t.table_id, CASE WHEN t.grouping_enabled THEN coalesce(i.text, t.name) ELSE d.text END AS text FROM a_table t JOIN (SELECT doc_id % (SELECT count(*) FROM a_table) + 1 AS table_id, arg_max(text, doc_id) AS text FROM documents GROUP BY 1) d ON d.table_id = t.table_id LEFT JOIN a_instructions i ON i.table_id = t.table_id AND i.is_current) b USING (table_id)""")
 def _(m):
     now = current_rules(m).select("table_id", "version", "text")
-    doc = m.documents.select(F.col("doc_id").alias("table_id"), F.col("text").alias("d_text"))
+    tables = m.a_table.agg(F.count("*")).scalar()
+    doc = m.documents.groupBy((F.col("doc_id") % tables + 1).alias("table_id")).agg(F.max_by("text", "doc_id").alias("d_text"))
     new = m.a_table.join(doc, "table_id").join(now.select("table_id", "text"), "table_id", "left").select(
         "table_id", F.when(F.col("grouping_enabled"), F.coalesce("text", "name")).otherwise(F.col("d_text")).alias("text"))
     return V.merge_instructions(now, new).select("table_id", "version", F.length("text").cast("bigint").alias("chars"), "action")
 
 
 @query("next_version", """
-WITH c AS (SELECT column_id, run_id * 100000000 + result_id % 100000000 AS change_no, CASE WHEN document = 'doc-7' THEN 'major' ELSE 'minor' END AS bump FROM a_eval WHERE raw_class IS NOT NULL),
-d AS (SELECT column_id, change_no, max(bump) AS bump FROM c GROUP BY 1, 2),
+WITH c AS (SELECT column_id, (run_id, result_id) AS change_no, run_id, result_id, CASE WHEN document = 'doc-7' THEN 'major' ELSE 'minor' END AS bump FROM a_eval WHERE raw_class IS NOT NULL),
+d AS (SELECT column_id, change_no, run_id, result_id, max(bump) AS bump FROM c GROUP BY 1, 2, 3, 4),
 n AS (SELECT *, sum(CASE WHEN rn = 1 OR bump = 'major' THEN 1 ELSE 0 END) OVER (PARTITION BY column_id ORDER BY change_no) AS major FROM (SELECT *, row_number() OVER (PARTITION BY column_id ORDER BY change_no) AS rn FROM d))
-SELECT column_id, change_no, CAST(major AS BIGINT) AS major, minor, 'v' || CAST(major AS BIGINT) || '.' || minor AS version FROM (SELECT *, row_number() OVER (PARTITION BY column_id, major ORDER BY change_no) - 1 AS minor FROM n)""")
+SELECT column_id, run_id, result_id, CAST(major AS BIGINT) AS major, minor, 'v' || CAST(major AS BIGINT) || '.' || minor AS version FROM (SELECT *, row_number() OVER (PARTITION BY column_id, major ORDER BY change_no) - 1 AS minor FROM n)""")
 def _(m):
     changes = m.a_eval.where("raw_class is not null").select(
-        "column_id", (F.col("run_id") * 100000000 + F.col("result_id") % 100000000).alias("change_no"),
+        "column_id", F.struct("run_id", "result_id").alias("change_no"),
         F.when(F.col("document") == "doc-7", "major").otherwise("minor").alias("bump"))
-    return V.next_version(changes.groupBy("column_id", "change_no").agg(F.max("bump").alias("bump")))
+    numbered = V.next_version(changes.groupBy("column_id", "change_no").agg(F.max("bump").alias("bump")))
+    return numbered.select("column_id", "change_no.run_id", "change_no.result_id", "major", "minor", "version")
 
 
 def events(m):
     """Change events: each part line of an order sets some field of its column."""
-    e = m.a_eval.select(
-        "column_id", (F.col("run_id") * 1000000 + F.pmod(F.xxhash64("result_id", "result_seq", "document"), F.lit(1000000))).alias("change_no"),
+    return m.a_eval.select(
+        "column_id", F.struct("run_id", "result_id", "result_seq", "document").alias("change_no"),
         F.when(F.col("document") == "doc-1", F.concat(F.lit("Renamed "), F.col("column_id"))).alias("name"),
         F.when(F.col("document") == "doc-2", F.when(F.col("passed"), "verified").otherwise("retired")).alias("status"),
         F.when(F.col("document") == "doc-3", F.lit("extraction")).alias("role"),
@@ -156,10 +158,20 @@ def events(m):
         F.when(F.col("document") == "doc-5", F.lit("Date")).alias("native_type"),
         F.when(F.col("document").isin("doc-6", "doc-7"), F.concat(F.lit("Text of "), F.col("run_id"))).alias("text"),
         F.when(F.col("passed"), "minor").otherwise("major").alias("bump"), F.col("raw_class").alias("note"))
-    return e.dropDuplicates(["column_id", "change_no"])
 
-
-@query("apply_changes")
+@query("apply_changes", """
+WITH e AS (SELECT column_id, row_number() OVER (PARTITION BY column_id ORDER BY run_id, result_id, result_seq, document) AS k, CASE WHEN document = 'doc-1' THEN 'Renamed ' || column_id END AS name,
+    CASE WHEN document = 'doc-2' THEN CASE WHEN passed THEN 'verified' ELSE 'retired' END END AS status, CASE WHEN document = 'doc-3' THEN 'extraction' END AS role, CASE WHEN document = 'doc-4' THEN 'shared' END AS concept,
+    CASE WHEN document = 'doc-5' THEN 'Date' END AS native_type, CASE WHEN document IN ('doc-6', 'doc-7') THEN 'Text of ' || run_id END AS text FROM a_eval),
+t AS (SELECT *, lag(text) OVER (PARTITION BY column_id ORDER BY k) AS before FROM (SELECT column_id, k, text FROM e WHERE text IS NOT NULL
+    UNION ALL SELECT column_id, 0, text FROM a_prompt_version WHERE is_current AND text IS NOT NULL AND column_id IN (SELECT column_id FROM a_column))),
+v AS (SELECT column_id, k FROM t WHERE k > 0 AND before IS DISTINCT FROM text),
+l AS (SELECT column_id, arg_max(name, k) FILTER (name IS NOT NULL) AS name, arg_max(status, k) FILTER (status IS NOT NULL) AS status, arg_max(role, k) FILTER (role IS NOT NULL) AS role,
+    arg_max(native_type, k) FILTER (native_type IS NOT NULL) AS native_type FROM e GROUP BY 1),
+w AS (SELECT e.column_id, count(*) FILTER (name IS NOT NULL) AS a, count(v.k) AS b, count(*) FILTER (v.k IS NULL AND coalesce(name, status, role, concept, native_type) IS NOT NULL AND status IS DISTINCT FROM 'retired') AS c,
+    count(*) FILTER (v.k IS NULL AND status = 'retired') AS d FROM e LEFT JOIN v ON v.column_id = e.column_id AND v.k = e.k GROUP BY 1 HAVING a + b + c + d > 0)
+SELECT x.column_id, coalesce(l.name, x.name) AS name, coalesce(l.status, x.status) AS status, coalesce(l.role, x.role) AS role, coalesce(l.native_type, x.native_type) AS native_type, nullif(w.b, 0) AS versions,
+  w.a AS "rename", w.b AS version, w.c AS revise, w.d AS retire FROM a_column x LEFT JOIN l ON l.column_id = x.column_id LEFT JOIN w ON w.column_id = x.column_id""")
 def _(m):
     cols = m.a_column.join(current_prompts(m).select("column_id", "text"), "column_id", "left")
     updated, versions, changes = V.apply_changes(cols, events(m))

@@ -6,7 +6,7 @@ from specaudit import vocab
 from specaudit.operators import graph as G
 from specaudit.operators import lint as L
 from specaudit.operators.references import find_refs, referenced_names
-from specaudit.plans.registry import query
+from specaudit.plans.registry import query, sql
 from specaudit.plans.scalars import esc
 from specaudit.session import cut
 from specaudit.sources.views import SQL_VIEWS
@@ -18,7 +18,7 @@ _typed = ", ".join(f"'{v}'" for v in vocab.TYPED_COLUMNS)
 SQL_VIEWS["s_prompt"] = """
 SELECT p.prompt_version_id AS text_id, p.column_id, c.table_id, c.name, c.position, c.native_type, c.options, p.text FROM {a_prompt_version} p JOIN {a_column} c USING (column_id)"""
 SQL_VIEWS["s_at"] = r"""
-SELECT text_id, table_id, k AS at_no, substr(text, k + 1, 200) AS win, substr(text, k + 1) AS rest FROM (
+SELECT text_id, table_id, k AS at_no, substr(text, k + 1, (SELECT max(length(name)) + 1 FROM {a_column})) AS win, substr(text, k + 1) AS rest FROM (
   SELECT text_id, table_id, text, parts, i, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) AS BIGINT) + i AS k FROM (
     SELECT *, unnest(range(1, len(parts))) AS i FROM (SELECT text_id, table_id, text, string_split(text, '@') AS parts FROM {s_prompt} WHERE contains(text, '@'))))
 WHERE regexp_matches(parts[i + 1], '^[A-Za-z\[]') AND NOT regexp_matches(parts[i], '[\pL\pN_.]$') AND NOT (i > 1 AND parts[i] = '')"""
@@ -81,7 +81,7 @@ def _(m):
 
 def _term_sql(code: str, terms: list[str], where: str, label: bool) -> str:
     low = ", ".join(f"('{t}', '{t.lower()}')" for t in terms)
-    text = "string_agg(line, '|' ORDER BY n) FILTER (rn <= 5)"
+    text = "string_agg(line, '|' ORDER BY n)"
     return f"""
 SELECT text_id, column_id, '{code}' AS code, {"t || ': ' || " if label else ""}{text} AS evidence FROM (
   SELECT p.text_id, p.column_id, v.t, s.line, s.n, row_number() OVER (PARTITION BY p.text_id, v.t ORDER BY s.n) AS rn
@@ -110,7 +110,7 @@ WITH t AS (SELECT text_id, column_id, table_id, options, unnest(toks) AS tok, ge
 k AS (SELECT text_id, column_id, tok, min(i) AS i FROM t WHERE tok <> '' AND NOT contains(tok, '@') AND lower(tok) NOT IN ({_fallback}) AND NOT list_contains(string_split(lower(coalesce(options, '')), '|'), lower(tok))
   AND regexp_matches(tok, '^\\p{{Lu}}') AND length(tok) <= 60 AND NOT EXISTS (SELECT 1 FROM a_column c WHERE c.table_id = t.table_id AND lower(c.name) = lower(tok)) GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY i) AS rn FROM k)
-SELECT text_id, column_id, 'CLASSIFY_LABEL_NOT_CONFIGURED' AS code, string_agg(tok, '|' ORDER BY i) FILTER (rn <= 12) AS evidence FROM r GROUP BY 1, 2""")
+SELECT text_id, column_id, 'CLASSIFY_LABEL_NOT_CONFIGURED' AS code, string_agg(tok, '|' ORDER BY i) AS evidence FROM r GROUP BY 1, 2""")
 def _(m):
     return L.lint_label_not_configured(prompts(m), m.a_column)
 
@@ -158,7 +158,7 @@ WITH o AS (SELECT text_id, string_agg(body, chr(10) ORDER BY k) AS body FROM s_s
 ln AS (SELECT text_id, k, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS n FROM s_section WHERE NOT regexp_matches(name, '(?i){vocab.OUTPUT_SECTION}')),
 h AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY k, n) AS rn FROM ln WHERE regexp_matches(line, '(?i){esc(vocab.MARKDOWN_TERMS)}') AND NOT regexp_matches(line, '(?i){esc(vocab.NEGATED_LINE)}')
   AND NOT regexp_matches(line, '(?i){vocab.PLAIN_TEXT}') AND regexp_matches(line, '(?i){vocab.ANSWER_LINE}'))
-SELECT p.text_id, p.column_id, 'MARKDOWN_IN_CELL' AS code, string_agg(trim(h.line), '|' ORDER BY h.rn) FILTER (h.rn <= 5) AS evidence
+SELECT p.text_id, p.column_id, 'MARKDOWN_IN_CELL' AS code, string_agg(trim(h.line), '|' ORDER BY h.rn) AS evidence
 FROM h JOIN s_prompt p USING (text_id) LEFT JOIN o USING (text_id)
 WHERE NOT (regexp_matches(coalesce(o.body, ''), '(?i){vocab.MARKDOWN_ALLOW}') AND NOT regexp_matches(coalesce(o.body, ''), '(?i){vocab.PLAIN_TEXT}')) GROUP BY 1, 2""")
 def _(m):
@@ -166,7 +166,7 @@ def _(m):
 
 
 @query("lint_character_rule", f"""
-SELECT text_id, column_id, 'CHARACTER_COUNT_RULE' AS code, string_agg(line, '|' ORDER BY n) FILTER (rn <= 5) AS evidence FROM (
+SELECT text_id, column_id, 'CHARACTER_COUNT_RULE' AS code, string_agg(line, '|' ORDER BY n) AS evidence FROM (
   SELECT p.text_id, p.column_id, l.n, trim(l.line) AS line, row_number() OVER (PARTITION BY p.text_id ORDER BY l.n) AS rn FROM s_prompt p JOIN s_line l ON l.prompt_version_id = p.text_id
   WHERE regexp_matches(l.line, '(?i){vocab.CHARACTER_COUNT}') AND NOT regexp_matches(l.line, '(?i){esc(vocab.NEGATED_LINE)}')) GROUP BY 1, 2""")
 def _(m):
@@ -184,11 +184,43 @@ def _(m):
     return L.lint_dead_reference(prompts(m), refs(m))
 
 
-@query("lint_prompts")
+_REF_RULES = ["lint_ref_self", "lint_ref_unresolved", "lint_ref_forward"]
+_TEXT_RULES = [
+    "lint_length", "lint_synonym", "lint_not_stated", "lint_not_addressed", "lint_label_not_configured", "lint_qualifier", "lint_options_missing",
+    "lint_output_contract", "lint_markdown", "lint_character_rule", "lint_dead_reference",
+]
+_NOW = "text_id IN (SELECT prompt_version_id FROM a_prompt_version v JOIN a_column c USING (column_id) WHERE v.is_current AND c.status <> 'retired')"
+
+
+def _union_sql(rules: list[str], where: str = "TRUE") -> str:
+    return " UNION ALL ".join(f"SELECT text_id, column_id, code, evidence FROM ({sql(r)}) WHERE {where}" for r in rules)
+
+
+@query("lint_prompts", _union_sql(_TEXT_RULES + _REF_RULES))
 def _(m):
     return L.lint_prompts(prompts(m), m.a_column, cut(refs(m)))
 
 
+def live_prompts(m):
+    """The current prompts of active columns: what findings are about."""
+    return L.prompt_rows(m.a_prompt_version.where("is_current"), m.a_column.where("status <> 'retired'"))
+
+
+def live_refs(m):
+    return find_refs(live_prompts(m).select("text_id", "table_id", "text"), m.a_column)
+
+
+@query("prompt_findings", _union_sql(_TEXT_RULES, _NOW))
+def _(m):
+    rows = live_prompts(m)
+    return L.lint_row_rules(rows).unionByName(L.lint_label_not_configured(rows, m.a_column)).unionByName(L.lint_dead_reference(rows, cut(live_refs(m))))
+
+
+@query("reference_findings", _union_sql(_REF_RULES, _NOW))
+def _(m):
+    return L.lint_references(live_prompts(m), m.a_column, cut(live_refs(m)))
+
+
 SCAN_RULES = [
     ("email", r"[\w.]+@[\w.]+\.\w+", None),
     ("license", r"\b(license|licence|copyright)\b", r"\bno license\b"),

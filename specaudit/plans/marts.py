@@ -15,26 +15,36 @@ from specaudit.plans.registry import query
 from specaudit.plans.relational import edges, targets
 from specaudit.sources.views import SQL_VIEWS
 
-# (query, family, code or None when the result carries one, subject)
+# (query, family, code or None when the result carries one, subject, column that holds the subject)
 FAMILIES = [
-    ("lint_length", "prompts", None, "column"),
-    ("lint_synonym", "prompts", None, "column"),
-    ("lint_not_stated", "prompts", None, "column"),
-    ("lint_not_addressed", "prompts", None, "column"),
-    ("lint_output_contract", "prompts", None, "column"),
-    ("lint_character_rule", "prompts", None, "column"),
-    ("control_plane", "graph", "CONTROL_PLANE_NARRATIVE", "column"),
-    ("binding_dangling", "parameters", "BINDING_DANGLING", "column"),
-    ("param_not_in_instructions", "parameters", "PARAM_NOT_BOUND_TO_INSTRUCTIONS", "table"),
-    ("param_unresolved_consumed", "parameters", "PARAM_UNRESOLVED_CONSUMED", "table"),
-    ("instructions_missing", "consistency", "INSTRUCTIONS_MISSING", "table"),
-    ("instructions_vocabulary", "consistency", "INSTRUCTIONS_VOCABULARY_INCOMPLETE", "table"),
-    ("unsourced_columns", "coverage", "COV_UNSOURCED_COLUMN", "column"),
-    ("tables_answering_nothing", "requirements", "TABLE_ANSWERS_NO_REQUIREMENT", "table"),
-    ("lifecycle_findings", "status", None, "column"),
-    ("open_failure_findings", "evaluation", None, "column"),
-    ("dimension_gaps", "coverage_dimensions", "COV_DIMENSION_UNTICKED", "table"),
-    ("freshness_findings", "document_set", None, "table"),
+    ("prompt_findings", "prompts", None, "column", "column_id"),
+    ("reference_findings", "graph", None, "column", "column_id"),
+    ("cycle_components", "graph", "GRAPH_CYCLE", "column", "node"),
+    ("dep_on_retired", "graph", "DEPENDENCY_ON_RETIRED", "column", "dst"),
+    ("role_order", "graph", "ROLE_ORDER_VIOLATION", "column", "dst"),
+    ("control_plane", "graph", "CONTROL_PLANE_NARRATIVE", "column", "column_id"),
+    ("binding_dangling", "parameters", "BINDING_DANGLING", "column", "column_id"),
+    ("param_orphaned", "parameters", "PARAM_ORPHANED", "parameter", "parameter_id"),
+    ("param_source_retired", "parameters", "PARAM_SOURCE_RETIRED", "parameter", "parameter_id"),
+    ("param_value_absent", "parameters", None, "table", "table_id"),
+    ("param_not_in_instructions", "parameters", "PARAM_NOT_BOUND_TO_INSTRUCTIONS", "table", "table_id"),
+    ("param_unresolved_consumed", "parameters", "PARAM_UNRESOLVED_CONSUMED", "table", "table_id"),
+    ("instructions_missing", "consistency", "INSTRUCTIONS_MISSING", "table", "table_id"),
+    ("instructions_vocabulary", "consistency", "INSTRUCTIONS_VOCABULARY_INCOMPLETE", "table", "table_id"),
+    ("entity_name_variant", "consistency", "ENTITY_NAME_VARIANT", "matter", "matter_id"),
+    ("date_divergence", "consistency", "DATE_PATTERN_DIVERGENT", "matter", "matter_id"),
+    ("currency_divergence", "consistency", "CURRENCY_PATTERN_DIVERGENT", "matter", "matter_id"),
+    ("standard_conflicts", "consistency", None, "matter", "matter_id"),
+    ("concept_name_variant_tagged", "concepts", "CONCEPT_NAME_VARIANT", "matter", "matter_id"),
+    ("concept_divergent_rules", "concepts", "CONCEPT_DIVERGENT_RULES", "matter", "matter_id"),
+    ("unsourced_columns", "coverage", "COV_UNSOURCED_COLUMN", "column", "column_id"),
+    ("coverage_findings", "coverage", None, "assertion", "assertion_id"),
+    ("outline_missing", "coverage", "MEMO_OUTLINE_MISSING", "matter", "matter_id"),
+    ("register_findings", "requirements", None, "requirement", "subject"),
+    ("lifecycle_findings", "status", None, "column", "column_id"),
+    ("open_failure_findings", "evaluation", None, "column", "column_id"),
+    ("dimension_gaps", "coverage_dimensions", "COV_DIMENSION_UNTICKED", "table", "table_id"),
+    ("freshness_findings", "document_set", None, "table", "table_id"),
 ]
 
 
@@ -55,29 +65,27 @@ def _(m):
     return C.coverage_findings(C.assertion_coverage(m.a_assertion, m.a_assertion_source, reliability(m)))
 
 
-@query("outline_missing", "SELECT matter_id, name FROM a_matter WHERE matter_id NOT IN (SELECT matter_id FROM a_assertion WHERE kind = 'judgment' AND section = 'BUILDING')")
+@query("outline_missing", "SELECT matter_id, name FROM a_matter WHERE matter_id NOT IN (SELECT matter_id FROM a_assertion)")
 def _(m):
-    # here a matter has an outline when it states a judgment about its buildings
-    outlined = m.a_assertion.where("kind = 'judgment' and section = 'BUILDING'")
-    return m.a_matter.join(outlined, "matter_id", "left_anti").select("matter_id", "name")
+    return m.a_matter.join(m.a_assertion, "matter_id", "left_anti").select("matter_id", "name")
 
 
 def findings(m):
-    columns = vertices(m).select("column_id", "table_id", "matter_id")
-    tables = m.a_table.select("table_id", "matter_id")
+    place = {"column": vertices(m).select("column_id", "table_id", "matter_id"), "table": m.a_table.select("table_id", "matter_id")}
     return U.union_findings(*[
-        U.as_findings(registry.result(name, m), family, code, subject, columns if subject == "column" else tables)
-        for name, family, code, subject in FAMILIES
+        U.as_findings(registry.result(name, m), family, code, subject, key, place.get(subject))
+        for name, family, code, subject, key in FAMILIES
     ])
 
 
 def _findings_sql() -> str:
     parts = []
-    for name, family, code, subject in FAMILIES:
-        place = "s_vertex" if subject == "column" else "a_table"
+    for name, family, code, subject, key in FAMILIES:
+        where = {"column": "s_vertex", "table": "a_table"}.get(subject)
+        place = f"JOIN {where} p ON p.{subject}_id = x.{key}" if where else ""
         parts.append(
-            f"SELECT p.matter_id, p.table_id, '{family}' AS family, {f'x.code' if code is None else repr(code)} AS code, '{subject}' AS subject_type, "
-            f"CAST(x.{subject}_id AS VARCHAR) AS subject_id FROM ({registry.sql(name)}) x JOIN {place} p ON p.{subject}_id = x.{subject}_id")
+            f"SELECT {'p' if where else 'x'}.matter_id, {'p.table_id' if where else 'CAST(NULL AS BIGINT)'} AS table_id, '{family}' AS family, {'x.code' if code is None else repr(code)} AS code, "
+            f"'{subject}' AS subject_type, CAST(x.{key} AS VARCHAR) AS subject_id FROM ({registry.sql(name)}) x {place}")
     return " UNION ALL ".join(parts)
 
 
@@ -94,7 +102,7 @@ def _(m):
     return U.finding_counts(findings(m))
 
 
-@query("table_readiness", "SELECT matter_id, table_id, family AS cause, count(*) AS n FROM s_findings GROUP BY 1, 2, 3")
+@query("table_readiness", "SELECT matter_id, table_id, family AS cause, count(*) AS n FROM s_findings WHERE table_id IS NOT NULL GROUP BY 1, 2, 3")
 def _(m):
     return U.table_readiness(findings(m))
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from specaudit import vocab
 from specaudit.plans.audits import snaps
 from specaudit.plans.evaluation import log
 from specaudit.plans.ingest import accepted, stored
@@ -50,7 +51,11 @@ def _(m):
     return J.stream_docset_moved(replay(m, snaps(m), 1000), J.new_folder(m.spark))
 
 
-@query("stream_poll_suppress")
+@query("stream_poll_suppress", f"""
+WITH RECURSIVE e AS (SELECT 'user' || entity_id AS project, event_id, epoch_us("at") // 1000 AS at_ms FROM a_event),
+k(project, at_ms) AS (SELECT project, min(at_ms) FROM e GROUP BY 1
+  UNION ALL SELECT k.project, (SELECT min(e.at_ms) FROM e WHERE e.project = k.project AND e.at_ms >= k.at_ms + {vocab.OBSERVATION_WINDOW_SECONDS * 1000}) FROM k WHERE k.at_ms IS NOT NULL)
+SELECT k.project, min(e.event_id) AS event_id, k.at_ms FROM k JOIN e ON e.project = k.project AND e.at_ms = k.at_ms GROUP BY 1, 3""")
 def _(m):
     events = live(m, "events").a_event.select(
         F.concat(F.lit("user"), F.col("entity_id")).alias("project"), "event_id",

@@ -51,6 +51,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_written(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written there completely."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of written rounds that nothing reads any more."""
     for table in tables:

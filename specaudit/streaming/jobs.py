@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from specaudit import vocab
 from specaudit.operators.versioning import merge_columns
-from specaudit.session import new_folder
+from specaudit.session import is_written, new_folder  # noqa: F401  (for callers of the jobs)
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -62,42 +62,36 @@ def stream_open_failures(log: DataFrame, folder: str) -> DataFrame:
     return stream_latest_results(log, folder).where(~F.col("passed"))
 
 
-def stream_activity(events: DataFrame, folder: str, window: str = "1 day", late: str = "10 minutes") -> DataFrame:
-    """Event counts per type, action and window; rows later than the watermark are left out."""
-    counts = (
-        events.withWatermark("at", late).groupBy(F.window("at", window), "entity_type", "action").agg(F.count("*").alias("n"))
-    )
-    _drain(counts, "update", folder, _write_batch(folder))
-    rows = _written(events.sparkSession, folder)
-    keys = ["window", "entity_type", "action"]
-    return rows.groupBy(*keys).agg(F.max_by("n", "batch").alias("n")).select(F.col("window.start").alias("starts"), "entity_type", "action", "n")
+def stream_activity(events: DataFrame, folder: str, window: str = "1 day") -> DataFrame:
+    """Event counts per type, action and window.
 
+    Each batch leaves its own counts, which are added up on reading; so an event counts whenever it comes, and no state
+    is kept.
+    """
+    keys = ["window", "entity_type", "action"]
 
-_SNAPSHOT_STATE = "observed_on date, snapshot_no long, ready_count long, latest_upload date, set_print string"
-_MOVED = "project string, before_no long, snapshot_no long, ready_delta long"
-
+    def write(batch: DataFrame, number: int) -> None:
+        counts = batch.groupBy(F.window("at", window), "entity_type", "action").agg(F.count("*").alias("n"))
+        counts.write.mode("overwrite").parquet(f"{folder}/rows/batch_no={number}")
 
-def _moves(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    last = state.get if state.exists else None
-    rows = pd.concat(list(frames)).sort_values(["observed_on", "snapshot_no"])
-    out = []
-    for r in rows.itertuples():
-        now = (r.observed_on, int(r.snapshot_no), int(r.ready_count), r.latest_upload, r.set_print)
-        if last is not None and (now[0], now[1]) <= (last[0], last[1]):
-            continue
-        if last is not None and (now[2] != last[2] or now[3] > last[3] or now[4] != last[4]):
-            out.append((key[0], last[1], now[1], now[2] - last[2]))
-        last = now
-    if last is not None:
-        state.update(last)
-    yield pd.DataFrame(out, columns=["project", "before_no", "snapshot_no", "ready_delta"])
+    _drain(events, "append", folder, write)
+    rows = _written(events.sparkSession, folder)
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n")).select(F.col("window.start").alias("starts"), "entity_type", "action", "n")
 
 
 def stream_docset_moved(snapshots: DataFrame, folder: str) -> DataFrame:
-    """A row whenever a project's observed set differs from the one observed before."""
-    moved = snapshots.groupBy("project").applyInPandasWithState(_moves, _MOVED, _SNAPSHOT_STATE, "append", "NoTimeout")
-    _drain(moved, "append", folder, _write_batch(folder))
-    return _written(snapshots.sparkSession, folder).drop("batch")
+    """A row whenever a project's observed set differs from the one observed before it.
+
+    Observations are stored as they arrive and compared in order of observation on reading, so one that comes late takes
+    its place between its neighbours.
+    """
+    columns = ["project", "observed_on", "snapshot_no", "ready_count", "latest_upload", "set_print"]
+    _drain(snapshots.select(*columns), "append", folder, _write_batch(folder))
+    order = Window.partitionBy("project").orderBy("observed_on", "snapshot_no")
+    before = {f"p_{c}": F.lag(c).over(order) for c in columns[2:]}
+    row = _written(snapshots.sparkSession, folder).withColumns(before).where("p_snapshot_no is not null")
+    moved = (F.col("ready_count") != F.col("p_ready_count")) | (F.col("latest_upload") > F.col("p_latest_upload")) | (F.col("set_print") != F.col("p_set_print"))
+    return row.where(moved).select("project", F.col("p_snapshot_no").alias("before_no"), "snapshot_no", (F.col("ready_count") - F.col("p_ready_count")).alias("ready_delta"))
 
 
 def _kept(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -122,9 +116,14 @@ def stream_poll_suppress(observations: DataFrame, folder: str) -> DataFrame:
 
 
 def stream_ingest(submissions: DataFrame, stored: DataFrame, folder: str) -> DataFrame:
-    """Submissions merged batch by batch into the stored columns; replaying a batch repeats its result."""
+    """Submissions merged batch by batch into the stored columns.
+
+    The state after each batch is a table of its own, numbered as the batch; the one before the first is written only if
+    it is not there. So a run on the same folder goes on where the last one stopped, and a repeated batch repeats its result.
+    """
     spark = submissions.sparkSession
-    stored.write.mode("overwrite").parquet(f"{folder}/state/-1")
+    if not is_written(spark, f"{folder}/state/-1"):
+        stored.write.mode("overwrite").parquet(f"{folder}/state/-1")
 
     def merge(batch: DataFrame, number: int) -> None:
         before = spark.read.parquet(f"{folder}/state/{number - 1}")
@@ -132,14 +131,8 @@ def stream_ingest(submissions: DataFrame, stored: DataFrame, folder: str) -> Dat
         merged = merge_columns(before, last.select("table_id", "name", "r.*").drop("seq"))
         merged.select(*before.columns).write.mode("overwrite").parquet(f"{folder}/state/{number}")
 
-    query = (
-        submissions.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(merge).start()
-    )
-    query.awaitTermination()
-    done = query.lastProgress
-    return spark.read.parquet(f"{folder}/state/{done['batchId'] if done and done['numInputRows'] else _last_state(query)}")
-
-
-def _last_state(query) -> int:
-    ids = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
-    return max(ids) if ids else -1
+    _drain(submissions, "append", folder, merge)
+    number = -1
+    while is_written(spark, f"{folder}/state/{number + 1}"):
+        number += 1
+    return spark.read.parquet(f"{folder}/state/{number}")
