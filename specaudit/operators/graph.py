@@ -88,6 +88,14 @@ def tables_affected(closure: DataFrame, vertices: DataFrame) -> DataFrame:
     return closure.join(place, "node").groupBy("root", "table_id").agg(F.count("*").alias("n"))
 
 
+def impact_detail(closure: DataFrame, via: DataFrame, cycles: DataFrame) -> DataFrame:
+    """(root, node, depth, direct, in_cycle, n_via): each affected node, whether it is on a cycle, and how many edges carry the change to it."""
+    carried = via.groupBy("root", "node").agg(F.count("*").alias("n_via"))
+    looped = cycles.select("node", F.lit(True).alias("looped")).distinct()
+    row = closure.join(carried, ["root", "node"], "left").join(looped, "node", "left")
+    return row.select("root", "node", "depth", "direct", F.coalesce("looped", F.lit(False)).alias("in_cycle"), F.coalesce("n_via", F.lit(0)).alias("n_via"))
+
+
 def impact_totals(closure: DataFrame, vertices: DataFrame) -> DataFrame:
     per = tables_affected(closure, vertices).groupBy("root").agg(F.count("*").alias("tables"))
     sums = closure.groupBy("root").agg(

@@ -84,6 +84,28 @@ def staleness(direct: DataFrame, edges: DataFrame, versions: DataFrame, snapshot
     )
 
 
+def staleness_reasons(states: DataFrame, edges: DataFrame, versions: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(column_id, reason, upstream_id, kind, upstream_state, upstream_version), one row per cause of a stale column.
+
+    A direct cause is the column's own and names no upstream. A transitive one names the edge: its upstream is stale, or
+    has a prompt other than the one pinned in the reader's run (newer than the run, where the run pins none).
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    own = states.where("state = 'direct'").select(
+        "column_id", F.explode("reasons").alias("reason"), none("bigint").alias("upstream_id"), none("string").alias("kind"),
+        none("string").alias("upstream_state"), none("string").alias("upstream_version"))
+    reader = states.where("state = 'transitive'").select(F.col("column_id").alias("dst"), "run_id", "started_at")
+    up = states.select(F.col("column_id").alias("src"), F.col("state").alias("upstream_state"))
+    now = versions.select(F.col("column_id").alias("src"), F.col("prompt_version_id").alias("now"), F.col("version").alias("upstream_version"), "created_at")
+    pinned = snapshots.select("run_id", F.col("column_id").alias("src"), F.col("prompt_version_id").alias("pin"))
+    row = edges.select("src", "dst", "kind").distinct().join(reader, "dst").join(up, "src").join(now, "src", "left").join(pinned, ["run_id", "src"], "left")
+    changed = F.when(F.col("pin").isNotNull(), F.col("pin") != F.col("now")).otherwise(F.col("created_at") > F.col("started_at"))
+    causes = F.array_compact(F.array(
+        F.when(F.col("upstream_state").isin("direct", "transitive"), F.lit("upstream stale")), F.when(changed, F.lit("upstream changed"))))
+    return own.unionByName(row.select(
+        F.col("dst").alias("column_id"), F.explode(causes).alias("reason"), F.col("src").alias("upstream_id"), "kind", "upstream_state", "upstream_version"))
+
+
 def staleness_report(states: DataFrame, tables: DataFrame) -> DataFrame:
     per = states.join(tables.select("table_id", "matter_id"), "table_id")
     return per.groupBy("matter_id").agg(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from specaudit import vocab
 from specaudit.functions import text as T
 from specaudit.operators import documents as D
-from specaudit.plans.registry import query
+from specaudit.plans.registry import query, sql
 from specaudit.session import cut
 from specaudit.sources.views import SQL_VIEWS
 
@@ -176,7 +176,19 @@ def _(m):
     return D.rule_counts(rules(m))
 
 
-@query("document_findings")
+def _document_sql() -> str:
+    own = ["rule_id_missing", "absence_missing", "deviation_missing", "deviation_unspecified", "prose_gate", "depends_unresolved", "ladder_gap", "precedence_one_sided", "preamble_restates"]
+    columns = "playbook_id, edition, {} AS position, {} AS rule, {} AS code, {} AS evidence"
+    parts = [f"SELECT {columns.format('position', 'rule', 'code', 'evidence')} FROM ({sql(name)})" for name in own]
+    repeats = "SELECT *, lag(name) OVER (PARTITION BY playbook_id, edition, rule_id ORDER BY position) AS other FROM s_rule WHERE rule_id IS NOT NULL"
+    parts.append(f"SELECT {columns.format(0, 'name', repr('RULE_ID_DUPLICATE'), 'other')} FROM ({repeats}) WHERE other IS NOT NULL")
+    parts.append(f"SELECT {columns.format('position', 'rule', repr('PARENT_CHILD_DUPLICATION'), 'parent')} FROM ({sql('parent_child_duplication')})")
+    empty = "''"
+    parts.append(f"SELECT {columns.format(0, empty, 'code', empty)} FROM ({sql('document_level')})")
+    return " UNION ALL ".join(parts)
+
+
+@query("document_findings", _document_sql())
 def _(m):
     return D.document_findings(cut(rules(m)), cut(filled(m)))
 

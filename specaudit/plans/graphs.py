@@ -10,7 +10,7 @@ from specaudit.operators import relational as R
 from specaudit.operators import staleness as S
 from specaudit.plans.audits import current_prompts, current_rules, fresh
 from specaudit.plans.evaluation import latest, snapshots, unticked, vertices
-from specaudit.plans.registry import query
+from specaudit.plans.registry import query, sql
 from specaudit.plans.relational import edges, targets
 from specaudit.session import cut
 from specaudit.sources.views import SQL_VIEWS
@@ -160,6 +160,14 @@ LEFT JOIN (SELECT node, max(depth) AS wave FROM (
   WITH RECURSIVE r(node, depth) AS (SELECT dst, 1 FROM {s_step} UNION SELECT e.dst, r.depth + 1 FROM r JOIN {s_step} e ON e.src = r.node WHERE r.depth < 40) SELECT * FROM r) GROUP BY 1) w ON w.node = v.column_id"""
 
 
+@query("impact_detail", f"""
+SELECT c.root, c.node, c.depth, c.depth = 1 AS direct, y.node IS NOT NULL AS in_cycle, coalesce(v.n, 0) AS n_via FROM s_close c
+LEFT JOIN (SELECT DISTINCT node FROM s_cycle) y ON y.node = c.node LEFT JOIN (SELECT root, node, count(*) AS n FROM ({sql("impact_via")}) GROUP BY 1, 2) v ON v.root = c.root AND v.node = c.node""")
+def _(m):
+    reached = cut(closure(m))
+    return G.impact_detail(reached, G.impact_via(reached, edges(m)), G.cycle_components(edges(m)))
+
+
 @query("topo_wave", "SELECT node, wave FROM s_wave")
 def _(m):
     return G.topo_wave(edges(m), vertices(m).select(F.col("column_id").alias("node")))
@@ -202,6 +210,18 @@ def _(m):
     return states(m).select("column_id", "table_id", "state", "run_id")
 
 
+@query("staleness_reasons", """
+SELECT column_id, unnest(string_split(d.reasons, '|')) AS reason, CAST(NULL AS BIGINT) AS upstream_id, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS upstream_state, CAST(NULL AS VARCHAR) AS upstream_version
+FROM s_stale s JOIN s_direct d USING (column_id) WHERE s.state = 'direct'
+UNION ALL SELECT * FROM (
+  SELECT s.column_id, unnest([CASE WHEN u.state IN ('direct', 'transitive') THEN 'upstream stale' END,
+    CASE WHEN CASE WHEN p.column_id IS NOT NULL THEN p.prompt_version_id <> v.prompt_version_id ELSE v.created_at > d.started_at END THEN 'upstream changed' END]) AS reason, e.src, e.kind, u.state, v.version
+  FROM s_stale s JOIN s_direct d USING (column_id) JOIN (SELECT DISTINCT src, dst, kind FROM s_edge) e ON e.dst = s.column_id JOIN s_stale u ON u.column_id = e.src
+  LEFT JOIN a_prompt_version v ON v.column_id = e.src AND v.is_current LEFT JOIN s_snapshot p ON p.run_id = d.run_id AND p.column_id = e.src WHERE s.state = 'transitive') WHERE reason IS NOT NULL""")
+def _(m):
+    return S.staleness_reasons(cut(states(m)), edges(m), current_prompts(m), snapshots(m))
+
+
 @query("staleness_report", """
 SELECT t.matter_id, count(*) FILTER (state = 'never_run') AS never_run, count(*) FILTER (state = 'current') AS current,
        count(*) FILTER (state = 'direct') AS direct, count(*) FILTER (state = 'transitive') AS transitive FROM s_stale JOIN a_table t USING (table_id) GROUP BY 1""")
