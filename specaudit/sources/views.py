@@ -96,7 +96,7 @@ FROM (
               ELSE 'See @Missing Column for the layout.'
             END AS full_text
   FROM (SELECT doc_id, text, o_orderdate AS created_at,
-               CAST(FLOOR(doc_id / 4) AS BIGINT) * 8 + CAST(FLOOR(doc_id / 4) AS BIGINT) % 8 + 1 AS column_id
+               (CAST(FLOOR(doc_id / 4) AS BIGINT) * 8 + CAST(FLOOR(doc_id / 4) AS BIGINT) % 8) % (SELECT count(*) FROM {part}) + 1 AS column_id
         FROM {documents} JOIN {orders} ON o_orderkey = doc_id) v
   JOIN {part} p ON p.p_partkey = v.column_id - 1
   JOIN {part} u ON u.p_partkey = CASE v.doc_id % 5
@@ -111,8 +111,8 @@ SELECT i.conv_id * 100 + i.turn + 1 AS instructions_version_id, i.table_id, i.ve
        i.version = i.last_version AS is_current, i.created_at, i.full_text AS text
 FROM (
   SELECT c.conv_id, c.turn, s.s_suppkey + 1 AS table_id, o.o_orderdate AS created_at,
-         row_number() OVER (PARTITION BY c.conv_id ORDER BY o.o_orderdate, c.turn) AS version,
-         count(*) OVER (PARTITION BY c.conv_id) AS last_version,
+         row_number() OVER (PARTITION BY s.s_suppkey ORDER BY o.o_orderdate, c.conv_id, c.turn) AS version,
+         count(*) OVER (PARTITION BY s.s_suppkey) AS last_version,
          c.text || chr(10)
          || CASE c.conv_id % 3
               WHEN 0 THEN 'Allowed states: Not addressed, Not stated, Not applicable, Incorporated terms, Unable to determine.'
@@ -120,7 +120,7 @@ FROM (
               ELSE 'Dates as MM/DD/YYYY or YYYY-MM. Caps near USD 2,000,000.' END
          || chr(10) || 'Subject: ' || s.s_name || CASE WHEN c.turn % 2 = 0 THEN ', LLC.' ELSE ', L.L.C. and others.' END AS full_text
   FROM {conversations} c
-  JOIN {supplier} s ON s.s_suppkey = c.conv_id
+  JOIN {supplier} s ON s.s_suppkey = c.conv_id % (SELECT count(*) FROM {supplier})
   JOIN {orders} o ON o.o_orderkey = c.conv_id * 8 + c.turn
 ) i"""
 
@@ -165,7 +165,7 @@ FROM {customer}"""
 VIEWS["a_assertion_source"] = """
 SELECT DISTINCT o_custkey + 1 AS assertion_id,
        CAST(FLOOR(o_custkey / 15) AS BIGINT) * 20 + o_orderkey % 20 + 1 AS column_id
-FROM {orders} WHERE o_orderpriority = '1-URGENT'"""
+FROM {orders}"""
 
 VIEWS["a_parameter"] = """
 SELECT s_suppkey + 1 AS parameter_id, CAST(FLOOR(s_suppkey / 4) AS BIGINT) + 1 AS matter_id,
@@ -184,7 +184,7 @@ SELECT c_custkey + 1 AS binding_id, t.table_id AS parameter_id,
          + c_custkey % 20 + 1 END AS column_id,
        CASE WHEN c_acctbal >= 2000 THEN 'column_prompt' ELSE 'table_instructions' END AS site
 FROM (SELECT c_custkey, c_acctbal, CAST(FLOOR(c_custkey / 15) AS BIGINT) + 1 AS table_id
-      FROM {customer} WHERE c_mktsegment = 'BUILDING') t"""
+      FROM {customer}) t"""
 
 VIEWS["a_standard"] = """
 SELECT 'firm' AS scope, CAST(0 AS BIGINT) AS matter_id, CAST(r_regionkey AS BIGINT) + 1 AS version,
@@ -263,7 +263,7 @@ SELECT c_custkey + 1 AS requirement_id, CAST(FLOOR(c_custkey / 60) AS BIGINT) +
        CASE c_mktsegment WHEN 'FURNITURE' THEN 'served' WHEN 'HOUSEHOLD' THEN 'Synthesis '
             WHEN 'MACHINERY' THEN 'external' WHEN 'BUILDING' THEN 'pending' ELSE 'unassessed' END AS disposition,
        CASE WHEN c_acctbal > 5000 THEN 'outside the record' END AS reason
-FROM {customer} WHERE c_nationkey <> 13"""
+FROM {customer}"""
 
 VIEWS["a_requirement_link"] = """
 SELECT o_orderkey + 1 AS link_id, o_custkey + 1 AS requirement_id,
@@ -272,7 +272,7 @@ SELECT o_orderkey + 1 AS link_id, o_custkey + 1 AS requirement_id,
        CASE WHEN o_orderpriority = '5-LOW' THEN 'Supplier#missing'
             ELSE 'Supplier#' || lpad(CAST(CAST(FLOOR(o_custkey / 15) AS BIGINT) AS STRING), 9, '0') END AS table_name,
        CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'Nowhere' ELSE 'BUILDING' END AS section
-FROM {orders} WHERE o_orderpriority <> '1-URGENT' AND o_totalprice > 480000"""
+FROM {orders}"""
 
 VIEWS["a_event"] = """
 SELECT event_id, event_type AS entity_type, user_id AS entity_id,
