@@ -109,18 +109,16 @@ def test_balanced_places_each_token_once_with_little_padding(lengths):
     assert len(used) == -(-sum(lengths) // 64)
 
 
-def test_costs_are_balanced():
+def test_pieces_go_in_descending_order_to_the_cheapest_sequence_with_room():
     rng = random.Random(5)
-    lengths = [rng.randint(1, 2048) for _ in range(400)]
-    cost = defaultdict(float)
-    for _, _, n, s, _ in balanced(lengths, 2048):
-        cost[s] += n + n * n / 1024
-    plain = defaultdict(float)  # in the given order, cut where a sequence is full
-    at = 0
-    for n in lengths:
-        while n:
-            part = min(n, 2048 - at % 2048)
-            plain[at // 2048] += part + part * part / 1024
-            at += part
-            n -= part
-    assert np.std(list(cost.values())) < np.std(list(plain.values()))
+    lengths = [rng.randint(1, 2047) for _ in range(400)]
+    cost = lambda n: n + n * n / 1024
+    placed = balanced(lengths, 2048)
+    sequences = range(-(-sum(lengths) // 2048))
+    spent, used = dict.fromkeys(sequences, 0.0), dict.fromkeys(sequences, 0)
+    for k, _, n, s, o in placed:
+        assert o == used[s] and spent[s] == min(spent[x] for x in sequences if used[x] < 2048)
+        spent[s] += cost(n)
+        used[s] += n
+    order = list(dict.fromkeys(lengths[k] for k, *_ in placed))
+    assert order == sorted(order, reverse=True)
