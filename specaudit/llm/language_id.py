@@ -32,7 +32,7 @@ from specaudit.llm.batches import sliced, text_bytes, word_borders, word_hashes
 WINDOW = 24
 SAMPLE_DOCS, SAMPLE_WORDS = 300, 20_000  # per language
 HIDDEN, EPOCHS = 32, 3
-MEMO = 1_000_000  # runs remembered by one worker; beyond that it starts anew, with the same results
+MEMO = 500_000  # runs remembered by one worker; beyond that it starts anew, with the same results
 UNKNOWN = "und"
 
 _SPACE = np.zeros(256, bool)
@@ -66,7 +66,7 @@ def windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 def pooled(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Per window, the sums over its letter positions of 1 and of each language's probability."""
-    out = np.zeros((len(starts), 1 + len(model.languages)))
+    out = np.zeros((len(starts), 1 + len(model.languages)), np.float32)
     sizes = ends - starts
     for n in np.unique(sizes):
         same = np.flatnonzero(sizes == n)
@@ -89,7 +89,7 @@ class _Memo:
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.sums = np.zeros((0, 1 + len(self.model.languages)))
+        self.sums = np.zeros((0, 1 + len(self.model.languages)), np.float32)
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sums, row): the sums of the distinct windows, and the row of each window."""
@@ -98,7 +98,7 @@ class _Memo:
         known = np.zeros(len(keys), bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == keys[inside]
-        sums = np.empty((len(keys), self.sums.shape[1]))
+        sums = np.empty((len(keys), self.sums.shape[1]), np.float32)
         sums[known] = self.sums[at[known]]
         sums[~known] = pooled(self.model, data, starts[one[~known]], ends[one[~known]])
         if len(self.keys) + int((~known).sum()) > MEMO:
@@ -159,14 +159,14 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
             held = np.flatnonzero(np.diff(first))
             if len(held):
                 step = 1 << 18  # windows added up together
-                for a in range(0, len(held), 2048):
-                    some = held[a : a + 2048]
+                for a in range(0, len(held), 256):
+                    some = held[a : a + 256]
                     lo, hi = first[some[0]], first[some[-1] + 1]
                     if hi - lo <= step or len(some) == 1:
-                        total[some] = np.add.reduceat(sums[row[lo:hi]], first[some] - lo, axis=0)
+                        total[some] = np.add.reduceat(sums[row[lo:hi]].astype(float), first[some] - lo, axis=0)
                     else:
                         for i in some:
-                            total[i] = sums[row[first[i] : first[i + 1]]].sum(0)
+                            total[i] = sums[row[first[i] : first[i + 1]]].sum(0, dtype=float)
             plain = np.flatnonzero(total[:, 0])
             # Bytes beyond ASCII may be other than letters: texts without a plain letter are looked at one by one.
             ascii_ = np.add.reduceat(np.concatenate((_LETTER[data] & (data < 0x80), [False])), _text_starts(texts)) > 0

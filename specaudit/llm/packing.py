@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specaudit.llm.batches import sliced
-from specaudit.llm.pretokens import Vocabulary
+from specaudit.llm.pretokens import TOKEN_SLICE, Vocabulary
 
 GROUP_PIECES = 1024
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
@@ -42,7 +42,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int, closing: int) -> DataFr
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         vocabulary = Vocabulary(path, lambda tokens: struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]))
         end, width = struct.pack("<I", closing), 4 * capacity
-        for part in sliced(batches):
+        for part in sliced(batches, most=TOKEN_SLICE):
             split = [vocabulary.split(x or "") for x in part.column("text").to_pylist()]
             words = vocabulary.learn({item for items in split for item in items})
             out: list[tuple] = []

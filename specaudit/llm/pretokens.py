@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterable
 
 from tokenizers import Token, Tokenizer
 
-MEMO = 1_000_000  # pre-tokens remembered by one worker; beyond that it starts anew, with the same results
+TOKEN_SLICE = 1 << 20  # bytes of text split together: a pre-token as an object takes some ten times its bytes
+MEMO = 500_000  # pre-tokens remembered by one worker; beyond that it starts anew, with the same results
 
 # Fixed value: the split rule of the byte-level tokenizer for texts without the characters of _ODD, for which the regex
 # library and the tokenizer may differ on what is a letter, a number or a space. Texts with them are split by the tokenizer.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from specaudit.llm.batches import sliced
-from specaudit.llm.pretokens import Vocabulary
+from specaudit.llm.pretokens import TOKEN_SLICE, Vocabulary
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, n_pretokens long, over_limit boolean"
 
@@ -34,7 +34,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         vocabulary = Vocabulary(path, len)
-        for part in sliced(batches):
+        for part in sliced(batches, most=TOKEN_SLICE):
             texts = [x or "" for x in part.column("text").to_pylist()]
             frequencies = [Counter(vocabulary.split(x)) for x in texts]
             pieces = vocabulary.learn(chain.from_iterable(frequencies))
