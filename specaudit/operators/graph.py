@@ -116,7 +116,7 @@ def _trim(steps: DataFrame) -> DataFrame:
             src = steps.select(F.col("src").alias("dst"))
             dst = steps.select(F.col("dst").alias("src"))
             steps = steps.join(dst, "src", "left_semi").join(src, "dst", "left_semi")
-        steps = cut(steps)
+        steps = cut(_sized(steps, n))
         left = steps.count()
         if left == n:
             break
@@ -138,26 +138,31 @@ def cycle_components(edges: DataFrame) -> DataFrame:
         colour = cut(
             steps.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("label", F.col("node"))
         )
+        rows = colour.count()
         while True:
             ahead = colour.withColumnRenamed("label", "start").withColumn("label", F.col("start"))
             for _ in range(_STEPS):
                 sent = steps.join(ahead.select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("got"))
                 ahead = ahead.join(sent, "node", "left").select("node", "start", F.least("label", "got").alias("label"))
-            ahead = cut(ahead)
+            ahead = cut(_sized(ahead, rows))
             colour = ahead.select("node", "label")
             if ahead.where("label < start").isEmpty():
                 break
         src = colour.select(F.col("node").alias("src"), F.col("label").alias("l1"))
         dst = colour.select(F.col("node").alias("dst"), F.col("label").alias("l2"))
         inner = cut(steps.join(src, "src").join(dst, "dst").where("l1 = l2").select("src", "dst"))
-        back = [cut(colour.where("node = label"))]
+        # What reaches the owner of its own label.
+        state = colour.withColumn("got", F.col("node") == F.col("label"))
         while True:
-            hit = inner.join(back[-1].withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "label").distinct()
-            fresh = cut(hit.join(_union(back), "node", "left_anti"))
-            if fresh.isEmpty():
+            ahead = state.withColumn("start", F.col("got"))
+            for _ in range(_STEPS):
+                hit = inner.join(ahead.where("got").select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
+                ahead = ahead.join(hit.withColumn("hit", F.lit(True)), "node", "left").select("node", "label", "start", (F.col("got") | F.col("hit").isNotNull()).alias("got"))
+            ahead = cut(_sized(ahead, rows))
+            state = ahead.select("node", "label", "got")
+            if ahead.where("got and not start").isEmpty():
                 break
-            back.append(fresh)
-        group = _union(back).select("node", F.col("label").alias("component"))
+        group = state.where("got").select("node", F.col("label").alias("component"))
         found.append(group)
         done = group.select("node")
         steps = _trim(cut(
