@@ -391,14 +391,15 @@ def placed_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     blocks = cut(_named(sharing(rows.select(F.explode("keys").alias("key"), "fp"))).withColumnRenamed("rep", "block"))
     # One document stands for each distinct set.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), *_DOC, "n")).alias("first")
-    members = rows.select(*_DOC, "n", "fp").join(blocks, "fp").groupBy("fp", "block").agg(first)
+    members = rows.where("fp is not null").groupBy("fp").agg(first).join(blocks, "fp")
     wanted = cut(_dealt(members.select("fp", "block", *(F.col(f"first.{c}").alias(c) for c in (*_DOC, "n"))), 0))
     links = cut(_grouped(wanted_sets(docs, width, wanted.where("chunks = 1")), percent)).where("fp <> rep")
     if not (wide := wanted.where("chunks > 1")).isEmpty():
         links = links.unionByName(_wide_groups(cut(wanted_sets(docs, width, wide)), percent))
     groups = cut(_named(links))
     labelled = cut(rows.select("doc_id", "place", F.col("n").alias("n_shingles"), "fp").join(groups, "fp", "left").withColumn("rep", F.coalesce("rep", "fp")))
-    lowest = labelled.where("rep is not null").groupBy("rep").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join below stands alone and a group with very many rows can be split in it.
+    lowest = cut(labelled.where("rep is not null").groupBy("rep").agg(F.min("doc_id").alias("component_id")))
     return labelled.join(lowest, "rep", "left").select(
         "doc_id", "place", "n_shingles", F.when(F.col("rep").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
