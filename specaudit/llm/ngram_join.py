@@ -180,7 +180,8 @@ def sharing(keyed: DataFrame) -> DataFrame:
             fps = np.array(batch.column("fp").to_pylist(), dtype=object)
             new = np.concatenate(([keys[0] != key], keys[1:] != keys[:-1]))
             at = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
-            heads = np.where(at < 0, head, fps[at])
+            heads = fps[np.maximum(at, 0)]
+            heads[at < 0] = head  # a run that goes on from the batch before
             if key is None:
                 edges[int(keys[0])] = heads[0]
             key, head = keys[-1], heads[-1]
