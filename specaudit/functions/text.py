@@ -236,5 +236,15 @@ def absence_answered(standard: Column) -> Column:
     return F.coalesce((tail != "") & answered, F.lit(False))
 
 
+def mark_positions(text: Column, mark: str) -> Column:
+    """Zero-based offsets of the first character after each match of a pattern for one character."""
+    parts = F.split(text, mark, -1)
+    ends = F.aggregate(
+        F.slice(parts, 1, F.size(parts) - 1), F.array(F.lit(0)),
+        lambda acc, part: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(part) + 1)),
+    )
+    return F.slice(ends, 2, F.size(ends))
+
+
 def evidence_topk(c: Column, n: int = vocab.EVIDENCE_LINES) -> Column:
     return F.slice(c, 1, n)

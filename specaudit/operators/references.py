@@ -7,19 +7,14 @@ from pyspark.sql import functions as F
 
 from specaudit import vocab
 from specaudit.functions.normalise import literal_array
-from specaudit.functions.text import let
+from specaudit.functions.text import let, mark_positions
 
 _AT = r"(?U)(?<![\w@.])@(?=[A-Za-z\[])"
 
 
 def _starts(text: Column) -> Column:
-    """Zero-based offsets of the first character after each `@`."""
-    parts = F.split(text, _AT, -1)
-    ends = F.aggregate(
-        F.slice(parts, 1, F.size(parts) - 1), F.array(F.lit(0)),
-        lambda acc, part: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(part) + 1)),
-    )
-    return F.slice(ends, 2, F.size(ends))
+    """Zero-based offsets of the first character after each `@` that opens a reference."""
+    return mark_positions(text, _AT)
 
 
 def _guess(text: Column, start: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from specaudit import vocab
 from specaudit.functions.normalise import fold_label, literal_array, native_type_of, norm_name, squeeze
+from specaudit.functions.text import mark_positions
 
 _STANDARD_FIELDS = ["vocabulary", "date_pattern", "currency_pattern", "evidence_boundary", "naming_rules"]
 _CONSTRAINED = ["vocabulary", "date_pattern", "currency_pattern", "evidence_boundary"]
@@ -211,9 +212,12 @@ def stale_name_mentions(renames: DataFrame, prompts: DataFrame, names: DataFrame
 
     `renames`: table_id, column_id, old_name, new_name. `prompts`: table_id, column_id, text.
     """
-    r = renames.select(F.col("table_id").alias("r_table"), F.col("column_id").alias("renamed_id"), "old_name", "new_name")
-    needle = F.concat(F.lit("@"), F.lower("old_name"))
-    texts = prompts.where(F.contains("text", F.lit("@")))
-    return texts.join(
-        r, (F.col("table_id") == F.col("r_table")) & (F.col("column_id") != F.col("renamed_id")) & F.contains(F.lower("text"), needle)
-    ).join(names.where("status <> 'retired'").select("column_id"), "column_id", "left_semi").select("column_id", "renamed_id", "old_name", "new_name")
+    r = renames.select("table_id", F.col("column_id").alias("renamed_id"), F.lower("old_name").alias("key"), "old_name", "new_name")
+    sizes = r.select("table_id", F.length("key").alias("size")).distinct()
+    texts = prompts.where(F.contains("text", F.lit("@"))).select("table_id", "column_id", F.lower("text").alias("low"))
+    # What follows each mark, at the lengths that renamed names of the table have, meets the names on an equality.
+    offered = texts.join(sizes, "table_id").select(
+        "table_id", "column_id", F.explode(F.array_distinct(F.transform(mark_positions(F.col("low"), "@"), lambda at: F.substring(F.col("low"), at + 1, F.col("size"))))).alias("key"))
+    live = names.where("status <> 'retired'").select("column_id")
+    return offered.distinct().join(r, ["table_id", "key"]).where(F.col("column_id") != F.col("renamed_id")).join(live, "column_id", "left_semi").select(
+        "column_id", "renamed_id", "old_name", "new_name")

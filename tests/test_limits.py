@@ -8,6 +8,7 @@ from specaudit.operators import graph as G
 from specaudit.operators import lint as L
 from specaudit.operators import relational as R
 from specaudit.operators import staleness as S
+from specaudit.operators import versioning as V
 from specaudit.operators.references import find_refs
 
 
@@ -65,3 +66,11 @@ def test_staleness_names_its_causes(spark):
     snapshots = spark.createDataFrame([(9, 1, 11)], "run_id long, column_id long, prompt_version_id long")
     got = {(r.column_id, r.reason, r.upstream_id, r.upstream_version) for r in S.staleness_reasons(states, edges, versions, snapshots).collect()}
     assert got == {(1, "prompt version changed", None, None), (2, "upstream stale", 1, "v1.1"), (2, "upstream changed", 3, "v1.0")}
+
+
+def test_stale_names_are_found_wherever_they_stand(spark):
+    renames = spark.createDataFrame([(1, 10, "Fee"), (1, 11, "Fee Cap"), (2, 12, "Fee")], "table_id long, column_id long, old_name string").withColumn("new_name", F.lit("New"))
+    prompts = spark.createDataFrame([(1, 10, "own @Fee"), (1, 20, "x@@fee caps @F"), (1, 21, "Fee @ Fee"), (1, 22, "@FEE"), (3, 30, "@Fee"), (1, 23, "@Fee")], "table_id long, column_id long, text string")
+    names = spark.createDataFrame([(c, "draft") for c in (10, 20, 21, 22, 30)] + [(23, "retired")], "column_id long, status string")
+    got = {(r.column_id, r.renamed_id) for r in V.stale_name_mentions(renames, prompts, names).collect()}
+    assert got == {(20, 10), (20, 11), (22, 10)}
