@@ -58,7 +58,7 @@ def direct(m):
 
 
 def states(m):
-    return S.staleness(direct(m), edges(m), current_prompts(m), snapshots(m))
+    return m.once("states", lambda: cut(S.staleness(direct(m), edges(m), current_prompts(m), snapshots(m))))
 
 
 def reliability(m):
@@ -219,7 +219,7 @@ UNION ALL SELECT * FROM (
   FROM s_stale s JOIN s_direct d USING (column_id) JOIN (SELECT DISTINCT src, dst, kind FROM s_edge) e ON e.dst = s.column_id JOIN s_stale u ON u.column_id = e.src
   LEFT JOIN a_prompt_version v ON v.column_id = e.src AND v.is_current LEFT JOIN s_snapshot p ON p.run_id = d.run_id AND p.column_id = e.src WHERE s.state = 'transitive') WHERE reason IS NOT NULL""")
 def _(m):
-    return S.staleness_reasons(cut(states(m)), edges(m), current_prompts(m), snapshots(m))
+    return S.staleness_reasons(states(m), edges(m), current_prompts(m), snapshots(m))
 
 
 @query("staleness_report", """

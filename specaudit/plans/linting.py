@@ -207,18 +207,18 @@ def live_prompts(m):
 
 
 def live_refs(m):
-    return find_refs(live_prompts(m).select("text_id", "table_id", "text"), m.a_column)
+    return m.once("live_refs", lambda: cut(find_refs(live_prompts(m).select("text_id", "table_id", "text"), m.a_column)))
 
 
 @query("prompt_findings", _union_sql(_TEXT_RULES, _NOW))
 def _(m):
     rows = live_prompts(m)
-    return L.lint_row_rules(rows).unionByName(L.lint_label_not_configured(rows, m.a_column)).unionByName(L.lint_dead_reference(rows, cut(live_refs(m))))
+    return L.lint_row_rules(rows).unionByName(L.lint_label_not_configured(rows, m.a_column)).unionByName(L.lint_dead_reference(rows, live_refs(m)))
 
 
 @query("reference_findings", _union_sql(_REF_RULES, _NOW))
 def _(m):
-    return L.lint_references(live_prompts(m), m.a_column, cut(live_refs(m)))
+    return L.lint_references(live_prompts(m), m.a_column, live_refs(m))
 
 
 SCAN_RULES = [

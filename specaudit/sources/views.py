@@ -10,6 +10,7 @@ tables, columns, prompt versions, runs and results all grow with the input.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -365,6 +366,12 @@ class Model:
         self.spark, self.folder = spark, folder
         self._built: dict[str, DataFrame] = dict(given or {})
 
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table that several parts of one query read: built the first time it is asked for."""
+        if name not in self._built:
+            self._built[name] = build()
+        return self._built[name]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
