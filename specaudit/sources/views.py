@@ -179,12 +179,12 @@ FROM {supplier} LEFT JOIN {orders} ON o_orderkey = s_suppkey"""
 
 VIEWS["a_binding"] = """
 SELECT c_custkey + 1 AS binding_id, t.table_id AS parameter_id,
-       t.table_id + CASE WHEN c_custkey % 2 = 1 AND t.table_id % 4 <> 0 THEN 1 ELSE 0 END AS table_id,
+       t.table_id + CASE WHEN c_custkey % 2 = 1 AND t.table_id % 4 <> 0 AND t.table_id < t.tables THEN 1 ELSE 0 END AS table_id,
        CASE WHEN c_acctbal >= 2000 THEN
-         (t.table_id - 1 + CASE WHEN c_custkey % 2 = 1 AND t.table_id % 4 <> 0 THEN 1 ELSE 0 END) * 20
+         (t.table_id - 1 + CASE WHEN c_custkey % 2 = 1 AND t.table_id % 4 <> 0 AND t.table_id < t.tables THEN 1 ELSE 0 END) * 20
          + c_custkey % 20 + 1 END AS column_id,
        CASE WHEN c_acctbal >= 2000 THEN 'column_prompt' ELSE 'table_instructions' END AS site
-FROM (SELECT c_custkey, c_acctbal, CAST(FLOOR(c_custkey / 15) AS BIGINT) + 1 AS table_id
+FROM (SELECT c_custkey, c_acctbal, CAST(FLOOR(c_custkey / 15) AS BIGINT) + 1 AS table_id, (SELECT count(*) FROM {supplier}) AS tables
       FROM {customer}) t"""
 
 VIEWS["a_standard"] = """
