@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import public_tokenizers
 from helpers import prose
-from test_ngram_join import brute
+from test_ngram_join import brute, brute_sets, near_copies
 from test_token_counts_and_packing import check_packing, ids
 
 import corpus_pipeline as P
@@ -56,6 +56,30 @@ def test_each_stage_does_its_work_and_keeps_the_rest(spark):
     check_packing(seen["packing"].collect(), want, 2048)
 
 
+def linked_lower(rows, width, percent):
+    """Ids of rows that are not the smallest of their group, by comparing all pairs."""
+    sets = brute_sets(rows, width)
+    least = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    return {rows[i][0] for i, x in enumerate(least) if x != i}
+
+
+def test_near_copies_go_at_five_words_and_four_fifths(spark):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(50)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base[:25], "other", *base[26:]])), (2, "one two three four"), (3, "one two three four"), (4, None), (5, "")]
+    rows += [(10 + i, t) for i, t in near_copies(2, bases=4)] + [(100 + i, prose(rng, 30)) for i in range(10)]
+    gone = linked_lower(rows, 5, 80)
+    assert 1 in gone and 1 not in linked_lower(rows, 3, 90)
+    docs = spark.createDataFrame([(i, t, "aa", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = dict(P.STAGES)["near_copies"](spark, docs, "")
+    assert kept.columns == COLUMNS and {r.doc_id for r in kept.collect()} == {i for i, _ in rows} - gone
+
+
 def test_run_applies_all_stages(spark):
     where = folder_of(spark, table(n=30))
     got = P.run(spark, where)
