@@ -6,13 +6,16 @@ logistic score (`text_cnn`). A whole text is scored at once, whatever its length
 and filters out once per distinct word of a few megabytes of text.
 
 Thresholds are calibrated by language: the language of a text is guessed from its own words, by their frequencies in the
-sampled documents of each language, and the threshold of a language is the one with the best F1 on sampled documents that
-the network was not fitted to (the common one where a language has fewer than `MIN_TOXIC` toxic ones). The score is
-shifted so that this threshold is 0.5.
+sampled documents of each language, and the threshold of a language is the one with the best F1 over all labelled rows that
+are not held out, of any length (the common one where a language has fewer than `MIN_TOXIC` toxic ones among these). No row
+is judged by a network that was fitted to its text: rows of sampled texts are scored by one of `FOLDS` networks fitted
+without their part of the sample, all others by the final one. Tasks score rows in place; only ids and score bins (`BIN` of
+a logit wide) meet the labels, and only counts by language, label and bin reach the driver. The score is shifted so that the
+threshold is 0.5.
 
 Learning: of the labelled rows that are not held out, `SAMPLE_TOXIC` toxic and `SAMPLE_CLEAN` clean ones, first in order
-of a hash of the id, with at most `SAMPLE_LENGTH` words each. These bounds set what reaches the driver, where the network
-is trained in numpy. Labels, language, source and id are never inputs of a score.
+of a hash of the id, with at most `SAMPLE_LENGTH` words each. These bounds set what reaches the driver, where the networks
+are trained in numpy. Labels, language, source and id are never inputs of a score.
 
 Edge cases: null text is scored like an empty one. Null labels, and labels of unknown documents, are not learnt from; of
 several labels of one document the highest counts. Without both labels every score is 0. One row per input row; a row with
@@ -34,6 +37,8 @@ from specaudit.llm.batches import sliced, text_bytes, word_borders, word_hashes
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_LENGTH = 2000, 3000, 2048
 MIN_DOCS, MIN_TOXIC = 3, 20
+FOLDS = 3
+BIN, BINS = 1 / 64, 1 << 12  # bins on either side of a logit of 0
 BEGINNINGS = (6, 8)
 SIZE, FILTERS, EPOCHS = 16, 8, 6
 
@@ -76,14 +81,13 @@ def guessed(model: Model, numbers: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (total[first[1:]] - total[first[:-1]]).argmax(1)
 
 
-def _best_threshold(scores: np.ndarray, labels: np.ndarray, clean_weight: float) -> float:
-    """Half way between the two scores around the cut with the best F1, where a clean document counts `clean_weight` times."""
-    order = np.argsort(-scores, kind="stable")
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (hits + clean_weight * np.cumsum(1 - labels[order]) + labels.sum())
-    k = int(f1.argmax())
-    ranked = scores[order]
-    return float((ranked[k] + ranked[k + 1]) / 2) if k + 1 < len(ranked) else float(ranked[k] - 1)
+def _best_threshold(counts: np.ndarray) -> float:
+    """Half way between the two bins around the cut with the best F1, for counts by label (clean, toxic) and score bin."""
+    held = np.flatnonzero(counts.sum(0))[::-1]
+    clean, hits = counts[:, held].cumsum(1)
+    k = int((2 * hits / (hits + clean + hits[-1])).argmax())
+    low = (held[k] - BINS) * BIN
+    return float((low + (held[k + 1] + 1 - BINS) * BIN) / 2) if k + 1 < len(held) else float(low - 1)
 
 
 def _held_out() -> Column:
@@ -95,7 +99,6 @@ def learnt(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.join(docs.select(F.col("doc_id").cast("long")), "doc_id", "left_semi")
-    times = {kind: n for kind, n in known.groupBy("toxic").count().collect() if kind in (0, 1)}
     some = [known.where(kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for kind, n in (("toxic = 1", toxic), ("toxic = 0", clean))]
     ids = some[0].unionByName(some[1])
 
@@ -104,11 +107,11 @@ def learnt(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
             hashes, first = words_of(part.column("text"))
             items = pa.ListArray.from_arrays(pa.array(first * hashes.shape[1], pa.int32()), pa.array(hashes.ravel().view(np.int64)))
             kept = pa.array(np.flatnonzero(np.diff(first) <= length))
-            columns = [c.take(kept) for c in (part.column("doc_id"), part.column("lang"), part.column("toxic"), items)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "toxic", "words"])
+            columns = [c.take(kept) for c in (part.column("doc_id"), part.column("lang"), part.column("toxic"), part.column("place"), items)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "toxic", "place", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).join(F.broadcast(ids), "doc_id")
-    rows = rows.mapInArrow(read, "doc_id long, lang string, toxic int, words array<long>")
+    rows = rows.withColumn("place", F.xxhash64("text")).mapInArrow(read, "doc_id long, lang string, toxic int, place long, words array<long>")
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.hash("words")).limit(toxic + clean).toArrow()
     label = np.asarray(sample.column("toxic").to_numpy(), dtype=int)
     if not (label == 1).any() or not (label == 0).any():
@@ -126,18 +129,38 @@ def learnt(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
             np.add.at(counts[:, languages.index(lang)], n[:, 0], 1)
     share = np.log(counts / counts.sum(0))
     share[0] = 0  # words without an embedding tell nothing about the language
-    held = np.arange(len(texts)) % 4 == 3
-    fit = np.flatnonzero(~held)
-    params = text_cnn.trained([numbers[i] for i in fit], label[fit], len(keys) + 1, SIZE, FILTERS, epochs)
-    model = Model(keys, params, languages, share.astype(np.float32), np.zeros(len(languages)))
-    own = [numbers[i] for i in np.flatnonzero(held)]
-    flat, first = np.concatenate([np.zeros((0, 1 + len(BEGINNINGS)), int), *own]), np.concatenate(([0], np.cumsum([len(n) for n in own])))
-    scores, tongue, truth = _logits(model, flat, first), guessed(model, flat, first), label[held]
-    # The sample holds more toxic documents than the corpus does; clean ones count for those they stand for.
-    weight = times[0] / times[1] * (label == 1).sum() / (label == 0).sum()
-    common = _best_threshold(scores, truth, weight) if truth.any() else 0.0
-    limits = [_best_threshold(scores[tongue == k], truth[tongue == k], weight) if truth[tongue == k].sum() >= MIN_TOXIC else common for k in range(len(languages))]
-    return Model(keys, params, languages, model.share, np.array(limits))
+    places = np.asarray(sample.column("place").to_numpy(), dtype=np.int64)
+    fold = places % FOLDS
+    fitted = [fold != k for k in range(FOLDS)] + [np.ones(len(texts), bool)]  # the last one is final
+    params = [text_cnn.trained([numbers[i] for i in np.flatnonzero(own)], label[own], len(keys) + 1, SIZE, FILTERS, epochs) for own in fitted]
+    models = [Model(keys, p, languages, share.astype(np.float32), np.zeros(len(languages))) for p in params]
+    counts = _counted(docs, known, models, np.unique(places))
+    common = _best_threshold(counts.sum(0)) if counts[:, 1].any() else 0.0
+    limits = [_best_threshold(own) if own[1].sum() >= MIN_TOXIC else common for own in counts]
+    return Model(keys, params[-1], languages, models[-1].share, np.array(limits))
+
+
+def _counted(docs: DataFrame, known: DataFrame, models: list[Model], places: np.ndarray) -> np.ndarray:
+    """Rows with a label in `known` by guessed language, label and score bin; texts with a hash in `places` by their fold's model."""
+
+    def binned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in sliced(batches):
+            place = np.asarray(whole.column("place"))
+            which = np.where(np.isin(place, places), place % FOLDS, FOLDS)
+            for k in np.unique(which):
+                part = whole.take(pa.array(np.flatnonzero(which == k)))
+                hashes, first = words_of(part.column("text"))
+                numbers = models[k].numbers(hashes)
+                at = np.clip(np.floor(_logits(models[k], numbers, first) / BIN), -BINS, BINS - 1).astype(np.int64) + BINS
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(guessed(models[k], numbers, first), pa.int64()), pa.array(at)], ["doc_id", "tongue", "bin"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("doc_id").isNotNull() & ~_held_out())
+    rows = rows.withColumn("place", F.xxhash64("text")).mapInArrow(binned, "doc_id long, tongue long, bin long")
+    found = rows.join(known.where("toxic in (0, 1)"), "doc_id").groupBy("tongue", "toxic", "bin").count()
+    out = np.zeros((len(models[-1].languages), 2, 2 * BINS), np.int64)
+    for tongue, toxic, at, n in found.collect():
+        out[tongue, toxic, at] = n
+    return out
 
 
 def _logits(model: Model, numbers: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -45,6 +45,39 @@ def test_held_out_documents_are_told_apart(spark):
     assert np.mean([by[i].guessed_lang == lang for i, _, lang in rows]) > 0.95
 
 
+def test_thresholds_come_from_all_labelled_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    rows, labels = data(n=200)
+    marks = dict(labels)
+    # A sample of 20 + 20 leaves no language MIN_TOXIC toxic rows to calibrate on; the long texts are never fitted to.
+    rows += [(1000 + i, prose(rng, 60, "fghij") + (" lump" if i % 2 else "") + " fgh" * 3000, "bb") for i in range(20)]
+    marks |= {i: i % 2 for i in range(1000, 1020)}
+    docs = documents(spark, rows, lang=True)
+    seen = []
+    inner = X._best_threshold
+    monkeypatch.setattr(X, "_best_threshold", lambda counts: seen.append(counts) or inner(counts))
+    model = X.learnt(docs, spark.createDataFrame(list(marks.items()), "doc_id long, toxic int"), toxic=20, clean=20, epochs=4)
+    usable = [i for i, _, _ in rows if binascii.crc32(str(i).encode()) % 5]
+    assert len(model.languages) == 2 and len(seen) == 3  # the common one, and one of each language
+    assert seen[0].sum(1).tolist() == [sum(marks[i] == k for i in usable) for k in (0, 1)]
+    assert (sum(seen[1:]) == seen[0]).all()
+
+
+def test_best_threshold_matches_trying_every_cut():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        counts = np.zeros((2, 2 * X.BINS), int)
+        for kind in (0, 1):
+            np.add.at(counts[kind], X.BINS + rng.integers(-40, 40, 30) + 15 * kind, 1)
+
+        def f1(low):
+            at = (np.arange(2 * X.BINS) - X.BINS) * X.BIN >= low
+            return 2 * counts[1, at].sum() / (counts[:, at].sum() + counts[1].sum())
+
+        # A threshold between neighbouring bins is the border of the two.
+        assert f1(X._best_threshold(counts)) == max(f1((b - X.BINS) * X.BIN) for b in range(2 * X.BINS))
+
+
 def test_nothing_to_learn_from(spark):
     docs = documents(spark, [(1, "a b", "aa")], lang=True)
     none = spark.createDataFrame([], "doc_id long, toxic int")
