@@ -5,10 +5,12 @@ UNIT; a capitalised word inside a sentence becomes NAME; other words are lower-c
 template words (of all words, for shorter items) are hashed, and document windows meet item windows in a hash join. Windows
 with more placeholders than words say too little and are left out on both sides.
 
-Slot consistency: windows of one document and item that lie on one diagonal (same shift between the two texts) must fill
-the item's slots consistently: one item value has one document value. A diagonal that breaks this is a chance likeness and
-is dropped. An item is found when the kept windows cover at least `SHARE` of its windows; `verbatim` tells whether every
-slot kept its own value.
+Slot consistency: windows of one document and item that lie on one diagonal (same shift between the two texts) should fill
+the item's slots consistently. A window counts if each of its item values has, at more than half of the places where the
+diagonal holds that value, the document value that the window has; a window whose slots all kept their own values counts
+always. So a slip in one mention costs the windows around it and no others, and a chance likeness, which fills its slots at
+random, is dropped. An item is found when the windows that count cover at least `SHARE` of its windows; `verbatim` tells
+whether every slot of a diagonal kept its own value.
 
 Scale: documents are scanned once. A bitmap of the item windows of fixed size (`BITS`, filled fuller by a larger benchmark,
 never larger) goes to the tasks, which emit only windows that can match; the exact join, its choice left to the optimizer,
@@ -25,7 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specaudit.llm.batches import free_name, sliced, text_bytes, window_hashes, word_borders, word_hashes
@@ -109,6 +111,12 @@ def _slots(at: np.ndarray, width: int, values: np.ndarray, slot: np.ndarray) ->
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(held.sum(1)))), pa.int32()), pa.array(values[words[held]].view(np.int64)))
 
 
+def _offsets(at: np.ndarray, width: int, slot: np.ndarray) -> pa.Array:
+    """Per window, the places of its slots in it, in order."""
+    held = slot[at[:, None] + np.arange(width)]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(held.sum(1)))), pa.int32()), pa.array(np.nonzero(held)[1], pa.int64()))
+
+
 def _rows(table: DataFrame, key: str) -> DataFrame:
     return table.selectExpr(f"cast({key} as long) id", "cast(text as string) text").withColumn("place", F.xxhash64("text"))
 
@@ -122,7 +130,7 @@ def _batch(part: pa.RecordBatch, text: np.ndarray, *columns) -> pa.RecordBatch:
 
 
 def item_windows(items: DataFrame, width: int, least: int) -> DataFrame:
-    """(id, place, at, key, slots, width, n): the windows of every item; `n` counts them."""
+    """(id, place, at, key, slots, width, offsets, n): the windows of every item; `n` counts them."""
 
     def cut_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
@@ -133,9 +141,10 @@ def item_windows(items: DataFrame, width: int, least: int) -> DataFrame:
                 own = sizes[text] >= width if w == width else sizes[text] == w
                 if own.any():
                     out = _batch(part, text[own], pa.array(place[own], pa.int64()), pa.array(hashes[own].view(np.int64)), _slots(at[own], w, values, slot))
-                    yield out.append_column("width", pa.array(np.full(own.sum(), w), pa.int64()))
+                    out = out.append_column("width", pa.array(np.full(own.sum(), w), pa.int64()))
+                    yield out.append_column("offsets", _offsets(at[own], w, slot))
 
-    found = cut(_rows(items, "item_id").mapInArrow(cut_up, f"{_WINDOW}, width long").distinct())
+    found = cut(_rows(items, "item_id").mapInArrow(cut_up, f"{_WINDOW}, width long, offsets array<long>").distinct())
     sizes = found.groupBy("id", "place").agg(F.count(F.lit(1)).alias("n")).withColumnsRenamed({"id": "id_", "place": "place_"})
     return found.join(sizes, F.col("id").eqNullSafe(F.col("id_")) & (F.col("place") == F.col("place_"))).drop("id_", "place_")
 
@@ -169,22 +178,36 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: i
                     yield _batch(part, text[hit], pa.array(place[hit], pa.int64()), pa.array(hashes[hit].view(np.int64)), _slots(at[hit], w, values, slot))
 
     seen = _rows(docs, "doc_id").mapInArrow(candidates, _WINDOW)
-    asked = known.select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("at").alias("item_at"), "key", F.col("slots").alias("item_slots"), "n")
+    asked = known.select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("at").alias("item_at"), "key", F.col("slots").alias("item_slots"), "offsets", "n")
     group = ["id", "place", "item_id", "item_place"]
     met = seen.join(asked, "key").withColumn("shift", F.col("at") - F.col("item_at"))
     # An item's windows bound every set below, whatever the document holds.
-    lines = met.groupBy(*group, "n", "shift").agg(
-        F.collect_set("item_at").alias("places"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))))).alias("filled"))
+    slots = F.arrays_zip(F.col("offsets").alias("o"), F.col("item_slots").alias("a"), F.col("slots").alias("b"))
+    lines = met.groupBy(*group, "n", "shift").agg(F.collect_set(F.struct(F.col("item_at").alias("at"), slots.alias("slots"))).alias("windows"))
+    filled = F.array_distinct(F.flatten(F.transform("windows", lambda w: F.transform(w["slots"], lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))))
+    lines = lines.withColumn("filled", filled)
     held = F.size(F.array_distinct(F.transform("filled", lambda x: x["a"]))) == F.size("filled")
     same = F.forall("filled", lambda x: x["a"] == x["b"])
-    steady = lines.where(held).select(*group, "n", same.alias("same"), F.explode("places").alias("item_at"))
-    found = steady.groupBy(*group, "n").agg(F.count_distinct("item_at").alias("n_windows"), F.bool_or("same").alias("verbatim"))
+    lines = cut(lines.select(*group, "n", "shift", "windows", held.alias("held"), same.alias("same")))
+    steady = lines.where("held").select(*group, "n", "same", F.explode("windows.at").alias("item_at"))
+    found = steady.unionByName(_agreeing(lines.where("not held"), [*group, "n", "same"]))
+    found = found.groupBy(*group, "n").agg(F.count_distinct("item_at").alias("n_windows"), F.bool_or("same").alias("verbatim"))
     return found.where(F.col("n_windows") >= share * F.col("n")).groupBy(F.col("id").alias("doc_id"), "place", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max_by("n", "n_windows").alias("item_windows"),
         F.max(F.col("n_windows") / F.col("n")).alias("share"), F.bool_or("verbatim").alias("verbatim"))
 
 
+def _agreeing(lines: DataFrame, columns: list[str]) -> DataFrame:
+    """(*columns, item_at): the windows that count, of diagonals where an item value has several document values."""
+    line = [*columns, "shift"]
+    windows = lines.select(*line, F.explode("windows").alias("w")).select(*line, F.col("w.at").alias("item_at"), F.explode_outer("w.slots").alias("x"))
+    slots = windows.select(*line, "item_at", (F.col("item_at") + F.col("x.o")).alias("spot"), F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+    spots = lambda *keys: F.size(F.collect_set("spot").over(Window.partitionBy(*line, *keys)))
+    judged = slots.withColumn("all", spots("a")).withColumn("own", spots("a", "b"))
+    counts = F.bool_and(F.col("a").isNull() | (2 * F.col("own") > F.col("all"))) | F.bool_and(F.col("a").isNull() | (F.col("a") == F.col("b")))
+    return judged.groupBy(*line, "item_at").agg(counts.alias("counts")).where("counts").select(*columns, "item_at")
+
+
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, share, verbatim), one row per pair."""
     found = contaminated(docs, items, width, least, share)

@@ -25,6 +25,34 @@ def test_reparameterised_items_are_found_and_inconsistent_ones_are_not(spark):
     assert got == {(1, 1): True, (2, 1): False, (None, 1): True, (7, 1): True, (8, 1): True}
 
 
+SLIPS = [
+    (1, ITEM.replace("with 5", "with 6"), False),  # one of two equal numbers changed
+    (2, ITEM.replace("then Tom", "then Tim"), False),  # one of two mentions of a name misspelt
+    (3, ITEM, True),
+    (4, ITEM.replace("Tom", "Bob").replace("has 5", "has 7").replace("with 5", "with 8"), False),  # renamed, with a slip
+    (None, ITEM.replace("with 5", "with 6"), False),
+]
+
+
+def test_a_slip_costs_only_the_windows_around_it(spark):
+    rows = [(i, t) for i, t, _ in SLIPS] + [DOCS[2]]
+    docs = documents(spark, rows)
+    got = {r.doc_id: (r.n_windows, r.item_windows, r.verbatim) for r in D.leaks(docs, items(spark, ITEMS[:1])).collect()}
+    # The second number is in the last 2 of 13 windows, the second name in the last 6, of which one holds only it.
+    assert got[1] == (11, 13, False) and got[2] == (7, 13, False) and got[3] == (13, 13, True) and got[None] == (11, 13, False)
+    assert set(got) == {1, 2, 3, 4, None}
+    assert [r.text for r in D.without_leaks(docs, items(spark, ITEMS[:1])).collect()] == [DOCS[2][1]]
+
+
+def test_most_mentions_decide_which_windows_count(spark):
+    item = "we met Al near the old mill and gave Al some bread and then Al went home with us"
+    renamed = item.replace("Al", "Bo")
+    slip = renamed[::-1].replace("oB", "yC", 1)[::-1]  # the last of three mentions
+    every = item.replace("Al", "Bo", 1)[::-1].replace("lA", "yC", 1)[::-1].replace("Al", "Di")
+    got = {r.doc_id: r.n_windows for r in D.leaks(documents(spark, [(1, renamed), (2, slip), (3, every)]), items(spark, [(1, item)])).collect()}
+    assert got == {1: 12, 2: 7} and "Cy" in slip and "Di" in every
+
+
 def test_without_leaks_keeps_clean_rows_and_columns(spark):
     docs = documents(spark, DOCS)
     kept = D.without_leaks(docs, items(spark, ITEMS))
