@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from specaudit.llm import toxicity
+from specaudit.llm.conversation_repair import damaged, repaired
 from specaudit.llm.decontamination import leaks
 from specaudit.llm.embedding_dedup import near_duplicates
 from specaudit.llm.language_id import identified
@@ -71,12 +72,16 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_spans(_table(spark, folder, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repaired(damaged(_table(spark, folder, "conversations")))
+
+
 def op13_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed(_table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_license_scan, op4_warc_chunks, op5_embedding_near_dedup, op6_language_id, op7_cost_balanced_packing, op8_toxicity, op9_token_counts, op10_secret_scan, op13_source_mix)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_license_scan, op4_warc_chunks, op5_embedding_near_dedup, op6_language_id, op7_cost_balanced_packing, op8_toxicity, op9_token_counts, op10_secret_scan, op12_conversation_repair, op13_source_mix)
 }
 WARC_SQL = """
 WITH facts AS (SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS n FROM pages),
