@@ -18,6 +18,8 @@ from specaudit.llm.mixing import mixed
 from specaudit.llm.mixing import oracle_sql as mixing_sql
 from specaudit.llm.ngram_join import jaccard_components
 from specaudit.llm.packing import pack
+from specaudit.llm.prefix_trie import oracle_sql as trie_sql
+from specaudit.llm.prefix_trie import paths, prefix_trie, rebuilt
 from specaudit.llm.secret_scan import secret_spans
 from specaudit.llm.token_counts import token_counts
 from specaudit.llm.warc import payload_facts, read_chunks, write_archives
@@ -72,6 +74,10 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_spans(_table(spark, folder, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie(rebuilt(paths(_table(spark, folder, "conversations"))))
+
+
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repaired(damaged(_table(spark, folder, "conversations")))
 
@@ -81,7 +87,7 @@ def op13_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_license_scan, op4_warc_chunks, op5_embedding_near_dedup, op6_language_id, op7_cost_balanced_packing, op8_toxicity, op9_token_counts, op10_secret_scan, op12_conversation_repair, op13_source_mix)
+    f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_license_scan, op4_warc_chunks, op5_embedding_near_dedup, op6_language_id, op7_cost_balanced_packing, op8_toxicity, op9_token_counts, op10_secret_scan, op11_conversation_trie, op12_conversation_repair, op13_source_mix)
 }
 WARC_SQL = """
 WITH facts AS (SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS n FROM pages),
@@ -109,5 +115,5 @@ reach AS (SELECT vec_id, vec_id AS other FROM v UNION SELECT reach.vec_id, links
 SELECT r.vec_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_links, min(other) AS component_id, r.vec_id = min(other) AS kept FROM reach r LEFT JOIN n ON r.vec_id = n.x GROUP BY r.vec_id
 """
 ORACLES: dict[str, str] = {
-    "op2_ngram_jaccard_join": JACCARD_SQL, "op3_license_scan": license_sql(), "op4_warc_chunks": WARC_SQL, "op5_embedding_near_dedup": COSINE_SQL, "op13_source_mix": mixing_sql(),
+    "op2_ngram_jaccard_join": JACCARD_SQL, "op3_license_scan": license_sql(), "op4_warc_chunks": WARC_SQL, "op5_embedding_near_dedup": COSINE_SQL, "op11_conversation_trie": trie_sql(), "op13_source_mix": mixing_sql(),
 }
