@@ -9,10 +9,12 @@ few candidates so found are binary-probed in the long lists.
 The search is spread over the cluster without ever gathering a shared shingle in one place:
 
 1. *Folding.* Equal sets are one set, kept under a 128-bit digest. Copies cost one row each from here on.
-2. *Blocks.* Linked sets differ in at most d = (a + b) * (100 - p) / (100 + p) shingles. Cutting the hash space into more
-   than d ranges leaves a range in which both hold the same shingles, so sets that share no (size class, range, digest of
-   the range) key cannot link. A passage that many documents share almost never fills a whole range, so it makes no block.
-   Sets joined by keys, directly or not, form a block; this is an aggregate, a join and a connected-components run over ids.
+2. *Blocks.* Linked sets differ in at most d = (a + b) * (100 - p) / (100 + p) shingles. The hash space is cut into about
+   1.5 d ranges, and the digest of what a set holds in a range is a key, so linked sets share all but d of their keys. That
+   is again an overlap search, over keys: a key that one set alone has can link nothing, so a set stays only if enough of
+   its keys are shared with others, and of those only the rarest, as many as may be missing and one more, have to meet.
+   One chance agreement, or a passage that many documents share, joins nothing. Sets that share such a key, directly or
+   not, form a block; this is a range-partitioned pass over keys and a connected-components run over the few ids left.
 3. *Search.* A block is dealt by hash to chunks of bounded size, and every chunk is searched in its own task, where sets
    already known to be in one group are not compared again. Groups of different chunks meet through one representative
    each, in chunks again, until nothing merges. A block in one group is then finished: its size never enters squared.
@@ -45,6 +47,7 @@ from specaudit.operators.graph import components
 from specaudit.session import cut
 
 CHUNK_SETS, CHUNK_SHINGLES = 256, 1_000_000  # of one search task, on average
+SMALL_RANGES = 128
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -69,23 +72,23 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 
 class _Named:
-    """Groups of joined names, kept as parent links towards the smallest."""
+    """Groups of joined names (digests or numbers), kept as parent links towards the smallest."""
 
     def __init__(self) -> None:
-        self.up: dict[bytes, bytes] = {}
+        self.up: dict = {}
 
-    def find(self, name: bytes) -> bytes:
+    def find(self, name):
         up = self.up
         while (above := up.get(name, name)) != name:
             up[name] = name = up.get(above, above)
         return name
 
-    def join(self, one: bytes, other: bytes) -> None:
+    def join(self, one, other) -> None:
         a, b = self.find(one), self.find(other)
         if a != b:
             self.up[max(a, b)] = min(a, b)
 
-    def pairs(self) -> list[tuple[bytes, bytes]]:
+    def pairs(self) -> list[tuple]:
         return [(name, self.find(name)) for name in list(self.up)]
 
 
@@ -103,36 +106,40 @@ _BORDERS = _class_borders(1 << 40)
 
 
 def _ranges(k: int, percent: int) -> tuple[int, int]:
-    """(ranges, most differences) for pairs whose smaller set is in size class k."""
+    """(ranges, most differences) for pairs whose smaller set is in size class k.
+
+    Small sets get so many ranges that most hold one shingle or none, for then hardly any key is a chance agreement.
+    """
     a = _BORDERS[k + 1] - 1
     most = (a + a * 100 // percent) * (100 - percent) // (100 + percent)
-    return most + 1 + most // 64, most
+    return max(most + most // 2 + 1, min(4 * a, SMALL_RANGES)), most
 
 
-def block_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
-    """Digests of the ranges of a set; linked sets that differ share one at least.
+def range_keys(shingles: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """(keys, least) of a set in its own size class and, where a partner may be in the one below, in that.
 
-    A range that holds nothing is no key, unless there are so many of those that they could be all that two sets share.
+    The keys are digests of the ranges in which the set holds anything; in the class of the smaller of two linked sets, they
+    share `least` or more keys of each. Should that be none, empty ranges are keys too.
     """
     n = len(shingles)
     if n == 0:
-        return shingles
+        return []
     own = bisect_left(_BORDERS, n + 1) - 1
-    classes = [own]
-    if own and -(-n * percent // 100) < _BORDERS[own]:  # a smaller partner may be in the class below
-        classes.append(own - 1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(shingles)))
     out = []
-    for k in classes:
+    for k in (own, own - 1):
+        if k < 0 or k < own and -(-n * percent // 100) >= _BORDERS[own]:
+            continue
         m, most = _ranges(k, percent)
         if not most:
             continue  # such sets link only if they are equal
         edges = (np.arange(1, m, dtype=np.float64) * (2.0**64 / m)).astype(np.uint64)
         at = np.concatenate(([0], np.searchsorted(shingles, edges), [n]))
-        digest = mixed(total[at[1:]] - total[at[:-1]]) ^ mixed(np.uint64(k << 32) + np.arange(m, dtype=np.uint64))
+        digest = mixed(mixed(total[at[1:]] - total[at[:-1]]) ^ mixed(np.uint64(k << 32) + np.arange(m, dtype=np.uint64)))
         held = np.diff(at) > 0
-        out.append(mixed(digest if m - held.sum() >= m - most else digest[held]))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        least = int(held.sum()) - most
+        out.append((digest[held], least) if least > 0 else (digest, m - most))
+    return out
 
 
 _DOC = ("doc_id", "place")
@@ -147,57 +154,117 @@ def _digest(shingles: np.ndarray) -> bytes | None:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
+def _id(fp: bytes | None) -> int | None:
+    """A name of eight bytes for a set; the last bit is free to tell its two size classes apart."""
+    return None if fp is None else int.from_bytes(fp[:8], "little", signed=True) & ~1
+
+
 def sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, place, n, fp, keys): size, digest and block keys of every document's set."""
+    """(doc_id, place, n, fp, id, classes): size, digest and range keys of every document's set."""
+    kinds = pa.struct([("id", pa.int64()), ("least", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
             sets = list(shingle_sets(part.column("text"), width))
-            keys = [block_keys(s, percent) for s in sets]
+            fps = [_digest(s) for s in sets]
+            ids = [_id(fp) for fp in fps]
+            found = [range_keys(s, percent) for s in sets]
+            flat = [(i | k, least, keys) for i, classes in zip(ids, found) for k, (keys, least) in enumerate(classes)]
+            keys = pa.ListArray.from_arrays(
+                pa.array(np.concatenate(([0], np.cumsum([len(k) for *_, k in flat]))), pa.int32()),
+                pa.array(np.concatenate([np.zeros(0, np.uint64), *(k for *_, k in flat)]).view(np.int64)))
+            rows = pa.StructArray.from_arrays([pa.array([i for i, *_ in flat], pa.int64()), pa.array([least for _, least, _ in flat], pa.int64()), keys], fields=list(kinds))
             yield pa.RecordBatch.from_arrays([
-                part.column("doc_id"), part.column("place"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32()), pa.array(np.concatenate(keys).view(np.int64))),
-            ], ["doc_id", "place", "n", "fp", "keys"])
-
-    return _rows(docs).mapInArrow(sketch, "doc_id long, place long, n long, fp binary, keys array<long>")
+                part.column("doc_id"), part.column("place"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.array(ids, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(c) for c in found]))), pa.int32()), rows),
+            ], ["doc_id", "place", "n", "fp", "id", "classes"])
+
+    return _rows(docs).mapInArrow(sketch, "doc_id long, place long, n long, fp binary, id long, classes array<struct<id: long, least: long, keys: array<long>>>")
+
+
+def _by_key(keyed: DataFrame) -> DataFrame:
+    """(key, id) rows in order, range-partitioned by both, so a key that many sets have spreads over several tasks."""
+    return keyed.select("key", "id").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(keys, ids, edge) of whole runs of equal keys; the runs at the edges of a partition come alone and may go on elsewhere."""
+    key, held, edge = None, [], True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, ids = np.asarray(batch.column("key")), np.asarray(batch.column("id"))
+        key = keys[0] if key is None else key
+        to = int(np.searchsorted(keys, key, "right"))
+        held.append(ids[:to])
+        if to == len(keys):
+            continue
+        open_ids = np.concatenate(held)
+        yield np.full(len(open_ids), key), open_ids, edge
+        last = int(np.searchsorted(keys, keys[-1], "left"))
+        if last > to:
+            yield keys[to:last], ids[to:last], False
+        key, held, edge = keys[-1], [ids[last:]], False
+    if key is not None:
+        open_ids = np.concatenate(held)
+        yield np.full(len(open_ids), key), open_ids, True
+
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """(key, id, n): the keys that several ids have, with how many have them; for (key, id) rows, which may repeat."""
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, ids, edge in _runs(batches):
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+            keys, ids = keys[new], ids[new]
+            starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            sizes = np.diff(np.concatenate((starts, [len(keys)])))
+            n = np.repeat(sizes, sizes)
+            keep = np.ones(len(n), bool) if edge else n > 1
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep]), pa.array(n[keep]), pa.array(np.full(int(keep.sum()), edge))], ["key", "id", "n", "edge"])
+
+    found = cut(_by_key(keyed).mapInArrow(counted, "key long, id long, n long, edge boolean"))
+    # A run cut by a border between partitions has as many ids as its parts together.
+    whole = found.where("edge").groupBy("key").agg(F.countDistinct("id").alias("all")).where("all > 1")
+    return found.where("not edge").select("key", "id", "n").unionByName(found.where("edge").join(whole, "key").select("key", "id", F.col("all").alias("n")).distinct())
+
+
+def meeting_keys(rows: DataFrame) -> DataFrame:
+    """(key, id): per set and size class the rarest shared keys, of which linked sets have one in common."""
+    classes = rows.select(F.explode("classes").alias("c"))
+    shared = cut(shared_keys(classes.select(F.explode("c.keys").alias("key"), F.col("c.id").alias("id"))))
+    least = classes.select("c.id", "c.least").distinct()
+    per = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))  # of one set: bounded by its size
+    enough = per.join(least, "id").where("size(keys) >= least")
+    few = enough.select(F.explode(F.expr("slice(keys, 1, cast(size(keys) - least + 1 as int))")).alias("k"), F.col("id").bitwiseAND(~1).alias("id"))
+    return cut(few.select("k.key", "id"))
 
 
 def sharing(keyed: DataFrame) -> DataFrame:
-    """(fp, rep) stars that join all sets with a common key, for (key, fp) rows.
+    """(id, rep) stars that join all sets with a common key, for (key, id) rows.
 
-    The rows are range-partitioned by key and digest, so a key that many sets have spreads over several tasks. A task
-    joins the sets of each run of a key and gives out one star per group; the runs at its edges are linked across tasks
-    through one row each.
+    A task joins the sets of each run of a key and gives out one star per group; the runs at its edges are linked across
+    tasks through one row each.
     """
 
-    def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = _Named()
-        key, head, edges = None, None, {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.asarray(batch.column("key"))
-            fps = np.array(batch.column("fp").to_pylist(), dtype=object)
-            new = np.concatenate(([keys[0] != key], keys[1:] != keys[:-1]))
-            at = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
-            heads = fps[np.maximum(at, 0)]
-            heads[at < 0] = head  # a run that goes on from the batch before
-            if key is None:
-                edges[int(keys[0])] = heads[0]
-            key, head = keys[-1], heads[-1]
-            differ = heads != fps
-            for a, b in zip(fps[differ], heads[differ]):
+    def stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, edges = _Named(), {}
+        for keys, ids, edge in _runs(batches):
+            new = np.concatenate(([True], keys[1:] != keys[:-1]))
+            heads = ids[np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))]
+            for a, b in zip(ids[heads != ids].tolist(), heads[heads != ids].tolist()):
                 groups.join(a, b)
+            if edge:
+                edges[int(keys[0])] = int(ids[0])
         pairs = groups.pairs()
-        yield pa.RecordBatch.from_pydict({"key": pa.nulls(len(pairs), pa.int64()), "fp": pa.array([a for a, _ in pairs], pa.binary()), "rep": pa.array([b for _, b in pairs], pa.binary())})
-        if key is not None:
-            edges.setdefault(int(key), head)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(list(edges), pa.int64()), "fp": pa.array(list(edges.values()), pa.binary()), "rep": pa.nulls(len(edges), pa.binary())})
+        for key, one, other in ((pa.nulls(len(pairs), pa.int64()), [a for a, _ in pairs], [b for _, b in pairs]), (pa.array(list(edges), pa.int64()), list(edges.values()), [None] * len(edges))):
+            yield pa.RecordBatch.from_arrays([key, pa.array(one, pa.int64()), pa.array(other, pa.int64())], ["key", "id", "rep"])
 
-    found = cut(keyed.repartitionByRange("key", "fp").sortWithinPartitions("key", "fp").mapInArrow(runs, "key long, fp binary, rep binary"))
-    border = found.where("rep is null").groupBy("key").agg(F.min("fp").alias("rep"))
-    across = found.where("rep is null").select("key", "fp").join(border, "key").where("fp <> rep").select("fp", "rep")
-    return found.where("rep is not null").select("fp", "rep").unionByName(across)
+    found = cut(_by_key(keyed).mapInArrow(stars, "key long, id long, rep long"))
+    border = found.where("rep is null").groupBy("key").agg(F.min("id").alias("rep"))
+    across = found.where("rep is null").select("key", "id").join(border, "key").where("id <> rep").select("id", "rep")
+    return found.where("rep is not null").select("id", "rep").unionByName(across)
 
 
 _BUCKETS = 1 << 19
@@ -222,7 +289,7 @@ def wanted_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
             yield part.drop_columns(["text"]).append_column("shingles", pa.array(sets, pa.binary()))
 
     return texts.join(asked, keys).select("fp", "block", "chunks", "chunk", "n", "text").mapInArrow(
-        again, "fp binary, block binary, chunks long, chunk long, n long, shingles binary")
+        again, "fp binary, block long, chunks long, chunk long, n long, shingles binary")
 
 
 # --- T-occurrence search ---------------------------------------------------------
@@ -346,9 +413,9 @@ def _dealt(sets: DataFrame, salt: int) -> DataFrame:
     return sets.drop("chunks", "chunk").join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(salt)), F.col("chunks")))
 
 
-def _named(links: DataFrame) -> DataFrame:
-    found = components(links.select(F.col("fp").alias("src"), F.col("rep").alias("dst")))
-    return found.select(F.col("node").alias("fp"), F.col("component").alias("rep"))
+def _named(links: DataFrame, name: str = "fp") -> DataFrame:
+    found = components(links.select(F.col(name).alias("src"), F.col("rep").alias("dst")))
+    return found.select(F.col("node").alias(name), F.col("component").alias("rep"))
 
 
 def _wide_groups(wide: DataFrame, percent: int) -> DataFrame:
@@ -389,10 +456,10 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
 def placed_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The same with `place`, a hash of the text, which tells rows with one doc_id apart."""
     rows = cut(sketched(docs, width, percent))
-    blocks = cut(_named(sharing(rows.select(F.explode("keys").alias("key"), "fp"))).withColumnRenamed("rep", "block"))
+    blocks = cut(_named(sharing(meeting_keys(rows)), "id").withColumnRenamed("rep", "block"))
     # One document stands for each distinct set.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), *_DOC, "n")).alias("first")
-    members = rows.where("fp is not null").groupBy("fp").agg(first).join(blocks, "fp")
+    members = rows.where("fp is not null").groupBy("fp", "id").agg(first).join(blocks, "id")
     wanted = cut(_dealt(members.select("fp", "block", *(F.col(f"first.{c}").alias(c) for c in (*_DOC, "n"))), 0))
     links = cut(_grouped(wanted_sets(docs, width, wanted.where("chunks = 1")), percent)).where("fp <> rep")
     if not (wide := wanted.where("chunks > 1")).isEmpty():
