@@ -5,8 +5,10 @@ cost, and each goes to the sequence of lowest cost that still has room; what doe
 the next such sequence. Pieces of full length are a sequence by themselves.
 
 Documents are tokenised where they are read, cut into pieces of one sequence at most, and the pieces dealt by a hash of
-(doc_id, start) to groups of about `GROUP_PIECES`, so no document, source or group of copies makes a group large. A group
-is packed by one task; it has as few sequences as its tokens allow, so at most one sequence's worth of padding a group.
+the row's place in the input to groups of about `GROUP_TOKENS`. No id, text, source or group of copies makes a group
+large, and very short documents make no small one. A group is packed by one task; it has as few sequences as its tokens
+allow, so at most one sequence's worth of padding a group. Rows are numbered where they are read: the input should come
+from files, so that a task that is run again numbers its rows alike.
 
 Edge cases: null text is empty, and is packed as its closing id alone. Rows with a null doc_id are packed like others;
 repeated rows are documents of their own. Ties are broken by doc_id (nulls last) and start. No rows give no rows. Other
@@ -15,6 +17,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import os
 import struct
@@ -28,33 +31,41 @@ from pyspark.sql import functions as F
 from specaudit.llm.batches import sliced
 from specaudit.llm.pretokens import TOKEN_SLICE, Vocabulary
 
-GROUP_PIECES = 1024
+GROUP_TOKENS = 1 << 18
+TOKEN_BYTES = 5  # on average, not to make groups too small; a token has one byte at least, so they are bounded too
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
-PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"
+PIECE = "row long, doc_id long, start long, length long, doc_tokens long, ids binary"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+@functools.cache
+def _vocabulary(path: str) -> Vocabulary:
+    """One per worker: what one task has learnt serves the next."""
+    return Vocabulary(path, lambda tokens: struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]))
+
+
 def tokenised(docs: DataFrame, path: str, capacity: int, closing: int) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, ids) pieces of at most `capacity` ids; ids are little-endian 32-bit words."""
+    """(row, doc_id, start, length, doc_tokens, ids) pieces of at most `capacity` ids; ids are little-endian 32-bit words."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        vocabulary = Vocabulary(path, lambda tokens: struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]))
+        vocabulary = _vocabulary(path)
         end, width = struct.pack("<I", closing), 4 * capacity
         for part in sliced(batches, most=TOKEN_SLICE):
-            split = [vocabulary.split(x or "") for x in part.column("text").to_pylist()]
-            words = vocabulary.learn({item for items in split for item in items})
             out: list[tuple] = []
-            for doc, items in zip(part.column("doc_id").to_pylist(), split):
-                ids = b"".join([*map(words.__getitem__, items), end])
+            for row, doc, text in zip(*(part.column(c).to_pylist() for c in ("row", "doc_id", "text"))):
+                ids = b"".join(vocabulary.values(vocabulary.split(text or ""))) + end
                 total = len(ids) // 4
-                out.extend((doc, at // 4, len(piece := ids[at : at + width]) // 4, total, piece) for at in range(0, len(ids), width))
-            columns = [list(c) for c in zip(*out)]
-            kinds = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "start", "length", "doc_tokens", "ids"])
+                if total <= capacity:
+                    out.append((row, doc, 0, total, total, ids))
+                else:
+                    out.extend((row, doc, at // 4, len(piece := ids[at : at + width]) // 4, total, piece) for at in range(0, len(ids), width))
+            kinds = [pa.int64()] * 5 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["row", "doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(cut, PIECE)
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return numbered.mapInArrow(cut, PIECE)
 
 
 def balanced(lengths: list[int], capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
@@ -85,7 +96,7 @@ def balanced(lengths: list[int], capacity: int, linear: float = LINEAR, quadrati
 def pack(docs: DataFrame, path: str, capacity: int = 2048, closing: int = 1) -> DataFrame:
     """One row per piece, with its ids, its sequence and its offset there. See the module for the method."""
     rows, size = docs.select(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()
-    groups = max(1, -(-(rows + size // capacity) // GROUP_PIECES))  # a token has at least one byte
+    groups = max(1, (rows + size // TOKEN_BYTES) // GROUP_TOKENS)
 
     def one(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("start", "ascending")])
@@ -100,5 +111,5 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, closing: int = 1) ->
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         return pa.table([*(pa.array(c, pa.int64()) for c in columns), pa.array(cut, pa.binary())], names=[*names, "ids"])
 
-    pieces = tokenised(docs, path, capacity, closing).withColumn("grp", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    pieces = tokenised(docs, path, capacity, closing).withColumn("grp", F.pmod(F.xxhash64("row", "start"), F.lit(groups))).drop("row")
     return pieces.groupBy("grp").applyInArrow(one, PACKED)

@@ -10,6 +10,7 @@ from tokenizers import Token, Tokenizer
 
 TOKEN_SLICE = 1 << 20  # bytes of text split together: a pre-token as an object takes some ten times its bytes
 MEMO = 500_000  # pre-tokens remembered by one worker; beyond that it starts anew, with the same results
+MEMO_BYTES = 64 << 20  # the same bound for their bytes, in `values`
 
 # Fixed value: the split rule of the byte-level tokenizer for texts without the characters of _ODD, for which the regex
 # library and the tokenizer may differ on what is a letter, a number or a space. Texts with them are split by the tokenizer.
@@ -35,6 +36,7 @@ class Vocabulary:
         self.model = self.tokenizer.model
         self.value = value
         self.memo: dict[str, object] = {}
+        self.held = 0
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = {text: value([Token(i, text, (0, len(text)))]) for text, i in added.items()}
         self._cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
@@ -68,3 +70,16 @@ class Vocabulary:
         for x in new:
             memo[x] = self.special[x] if x in self.special else value(tokenize(charmap_decode(x.encode(), "strict", _CHARACTERS)[0]))
         return memo
+
+    def values(self, items: list[str]) -> list:
+        """The value of each item, in order; one look at the memo where all are known."""
+        found = list(map(self.memo.get, items))
+        if None not in found:
+            return found
+        missing = {x for x, known in zip(items, found) if known is None}
+        if self.held > MEMO_BYTES or len(self.memo) + len(missing) > MEMO:
+            self.memo.clear()
+            self.held, missing = 0, set(items)
+        self.held += sum(map(len, missing))
+        self.learn(missing)
+        return list(map(self.memo.__getitem__, items))

@@ -75,19 +75,40 @@ def check_packing(rows, want, capacity):
     assert not documents_
 
 
-@pytest.mark.parametrize("pieces", [1024, 4])
-def test_packing_holds_every_id_once(spark, monkeypatch, pieces):
-    monkeypatch.setattr("specaudit.llm.packing.GROUP_PIECES", pieces)
+@pytest.mark.parametrize("tokens", [1 << 18, 4000])
+def test_packing_holds_every_id_once(spark, monkeypatch, tokens):
+    monkeypatch.setattr("specaudit.llm.packing.GROUP_TOKENS", tokens)
     want = defaultdict(list)
     for d, t in ROWS:
         want[d].append([*ids(t), 1])
     rows = pack(documents(spark, ROWS), PATH, 2048).collect()
     check_packing(rows, want, 2048)
-    if pieces == 1024:
+    if tokens > 4000:
         total = sum(r.length for r in rows)
         assert len({r.sequence_id for r in rows}) == -(-total // 2048)
 
 
+def test_no_id_makes_a_large_group_and_short_documents_little_padding(spark, monkeypatch):
+    monkeypatch.setattr("specaudit.llm.packing.GROUP_TOKENS", 1 << 14)
+    rows = [(None if i % 3 == 0 else i % 7, None) for i in range(100_000)]
+    got = pack(documents(spark, rows).repartition(5), PATH, 128).select("sequence_id", "length").collect()
+    groups, sequences = defaultdict(int), defaultdict(int)
+    for r in got:
+        groups[r.sequence_id >> 24] += r.length
+        sequences[r.sequence_id] += r.length
+    assert len(groups) == 6 and max(groups.values()) < 2 * len(rows) / len(groups)
+    assert sum(sequences.values()) == len(rows) and len(rows) > 0.99 * 128 * len(sequences)
+
+
+def test_values_with_a_full_memo(monkeypatch):
+    for bounds in ((3, 1 << 20), (1000, 2)):
+        monkeypatch.setattr("specaudit.llm.pretokens.MEMO", bounds[0])
+        monkeypatch.setattr("specaudit.llm.pretokens.MEMO_BYTES", bounds[1])
+        vocabulary = Vocabulary(PATH, lambda tokens: [t.id for t in tokens])
+        for text in ("a b c d e f", "a b", "g h i j a", "<|endoftext|>a b"):
+            assert [i for v in vocabulary.values(vocabulary.split(text)) for i in v] == ids(text)
+
+
 def test_packing_of_nothing(spark):
     assert pack(documents(spark, []), PATH).collect() == []
 
