@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specaudit.operators.contraction import bridged, contracted, longest_paths, sized
 from specaudit.session import cut
 
 
@@ -108,31 +109,12 @@ def impact_totals(closure: DataFrame, vertices: DataFrame) -> DataFrame:
 _STEPS = 3  # propagation steps per written round
 
 
-def _trim(steps: DataFrame) -> DataFrame:
-    """Drop edges that lie on no cycle because one end has nothing before or after it."""
-    n = steps.count()
-    while n:
-        for _ in range(_STEPS):
-            src = steps.select(F.col("src").alias("dst"))
-            dst = steps.select(F.col("dst").alias("src"))
-            steps = steps.join(dst, "src", "left_semi").join(src, "dst", "left_semi")
-        steps = cut(_sized(steps, n))
-        left = steps.count()
-        if left == n:
-            break
-        n = left
-    return steps
-
-
-def cycle_components(edges: DataFrame) -> DataFrame:
-    """(node, component, size) of every node on a cycle; the component is its smallest node.
+def _coloured(steps: DataFrame) -> list[DataFrame]:
+    """(node, component) parts of the strongly connected components of a graph that cannot be contracted.
 
-    Ends that cannot be on a cycle are trimmed first. Then each node takes the smallest label that
-    reaches it, and what reaches back to the owner of that label is one strongly connected component.
+    Each node takes the smallest label that reaches it, and what reaches back to the owner of that label is one component.
     Memory stays linear in the edges: no list of mutually reachable pairs is ever made.
     """
-    every = cut(_pairs(edges))
-    steps = _trim(every.where("src <> dst"))
     found: list[DataFrame] = []
     while not steps.isEmpty():
         colour = cut(
@@ -144,7 +126,7 @@ def cycle_components(edges: DataFrame) -> DataFrame:
             for _ in range(_STEPS):
                 sent = steps.join(ahead.select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("got"))
                 ahead = ahead.join(sent, "node", "left").select("node", "start", F.least("label", "got").alias("label"))
-            ahead = cut(_sized(ahead, rows))
+            ahead = cut(sized(ahead, rows))
             colour = ahead.select("node", "label")
             if ahead.where("label < start").isEmpty():
                 break
@@ -158,66 +140,44 @@ def cycle_components(edges: DataFrame) -> DataFrame:
             for _ in range(_STEPS):
                 hit = inner.join(ahead.where("got").select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
                 ahead = ahead.join(hit.withColumn("hit", F.lit(True)), "node", "left").select("node", "label", "start", (F.col("got") | F.col("hit").isNotNull()).alias("got"))
-            ahead = cut(_sized(ahead, rows))
+            ahead = cut(sized(ahead, rows))
             state = ahead.select("node", "label", "got")
             if ahead.where("got and not start").isEmpty():
                 break
         group = state.where("got").select("node", F.col("label").alias("component"))
-        found.append(group)
         done = group.select("node")
-        steps = _trim(cut(
+        rest, rounds = contracted(
             steps.join(done.withColumnRenamed("node", "src"), "src", "left_anti")
             .join(done.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        ))
+        )
+        found.append((group, rounds))
+        steps = rest
+    return found
+
+
+def cycle_components(edges: DataFrame) -> DataFrame:
+    """(node, component, size) of every node on a cycle; the component is its smallest node.
+
+    Ends and chains are taken off first, in a number of rounds that grows with the logarithm of their length. What is left is
+    coloured, and what was taken off after each colouring is put back from the last round to the first.
+    """
+    every = cut(_pairs(edges))
+    core, rounds = contracted(every.where("src <> dst"))
+    members = every.select(F.col("src").alias("node"), F.col("src").alias("component")).where("false")
+    for group, more in reversed(_coloured(core)):
+        members = bridged(members, more).unionByName(group)
+    joined = cut(bridged(members, rounds))
+    named = joined.groupBy("component").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1")
+    real = joined.join(named, "component").select("node", F.col("least").alias("component"), "size")
     loops = every.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
-    if not found:
-        return loops.withColumn("size", F.lit(1).cast("bigint"))
-    members = _union(found)
-    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    real = members.join(sizes.where("size > 1"), "component").select("node", "component", "size")
     return real.unionByName(loops.join(real, "node", "left_anti").withColumn("size", F.lit(1).cast("bigint")))
 
 
 def topo_wave(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, wave): the longest path from any node with no inputs; null on and behind cycles.
-
-    Each round removes the edges out of ready nodes. A node's wave is the round after its last
-    incoming edge went, so only edges are carried from round to round.
-    """
+    """(node, wave): the longest path from any node with no inputs; null on and behind cycles."""
     ids = nodes.select("node").distinct()
     a, b = ids.withColumnRenamed("node", "src"), ids.withColumnRenamed("node", "dst")
-    left = cut(_pairs(edges).where("src <> dst").join(a, "src", "left_semi").join(b, "dst", "left_semi"))
-    stuck = _pairs(edges).where("src = dst").select(F.col("src").alias("node"))
-    left = cut(left.unionByName(stuck.select(F.col("node").alias("src"), F.col("node").alias("dst")).join(a, "src", "left_semi")))
-    gone: list[DataFrame] = []
-    wave = 0
-    while not left.isEmpty():
-        waiting = left.select(F.col("dst").alias("src"), F.lit(True).alias("waits")).distinct()
-        judged = cut(left.join(waiting, "src", "left"))
-        ready = judged.where("waits is null").select("src", "dst")
-        if ready.isEmpty():
-            break
-        wave += 1
-        gone.append(ready.select(F.col("dst").alias("node"), F.lit(wave).alias("wave")))
-        left = judged.where("waits").select("src", "dst")
-    blocked = left.select(F.col("dst").alias("node")).distinct().withColumn("blocked", F.lit(True))
-    out = ids.join(blocked, "node", "left")
-    if gone:
-        waves = _union(gone).groupBy("node").agg(F.max("wave").alias("wave"))
-        out = out.join(waves, "node", "left")
-    else:
-        out = out.withColumn("wave", F.lit(None).cast("int"))
-    return out.select("node", F.when(F.col("blocked").isNull(), F.coalesce("wave", F.lit(0))).alias("wave"))
-
-
-ROWS_PER_TASK = 50_000
-
-
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    """No more tasks than the rows of an iterative round are worth."""
-    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = rows // ROWS_PER_TASK + 1
-    return df.coalesce(tasks) if tasks < most else df
+    return longest_paths(_pairs(edges).join(a, "src", "left_semi").join(b, "dst", "left_semi"), ids)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -235,16 +195,16 @@ def components(edges: DataFrame) -> DataFrame:
         both = steps.select(F.col("big").alias("u"), F.col("small").alias("v")).unionByName(
             steps.select(F.col("small").alias("u"), F.col("big").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = cut(_sized(both.where("v > u").join(low, "u").select(F.col("v").alias("big"), F.col("m").alias("small")).where("big <> small"), rows))
+        large = cut(sized(both.where("v > u").join(low, "u").select(F.col("v").alias("big"), F.col("m").alias("small")).where("big <> small"), rows))
         least = large.groupBy("big").agg(F.min("small").alias("m"))
-        joined = _sized(large.join(least, "big"), rows)
+        joined = sized(large.join(least, "big"), rows)
         small = joined.select(F.col("small").alias("big"), F.col("m").alias("small")).unionByName(
-            _sized(least.select("big", F.col("m").alias("small")), rows)).where("big <> small").distinct()
-        steps = cut(_sized(small, rows))
+            sized(least.select("big", F.col("m").alias("small")), rows)).where("big <> small").distinct()
+        steps = cut(sized(small, rows))
         # Done exactly when every part is a star: no node has two parents, and no parent has one itself.
         ends = steps.select(F.explode(F.array(F.struct(F.col("big").alias("node"), F.lit(1).alias("up")), F.struct(F.col("small").alias("node"), F.lit(0).alias("up")))).alias("e"))
         open_ = ends.groupBy("e.node").agg(F.sum("e.up").alias("ups"), F.min("e.up").alias("least")).where("ups > 1 or (ups = 1 and least = 0)")
-        if _sized(open_, rows).isEmpty():
+        if sized(open_, rows).isEmpty():
             break
     member = steps.select(F.col("big").alias("node"), F.col("small").alias("component"))
     own = steps.select(F.col("small").alias("node"), F.col("small").alias("component")).distinct()
