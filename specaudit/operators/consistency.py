@@ -9,6 +9,7 @@ from specaudit import vocab
 from specaudit.functions import text as T
 from specaudit.functions.normalise import literal_map
 from specaudit.operators.graph import components
+from specaudit.operators.patterns import candidates
 from specaudit.operators.similarity import similar_sets
 
 
@@ -45,10 +46,21 @@ def instructions_vocabulary(instructions: DataFrame, terms: list[str]) -> DataFr
     return row.where(F.size("missing") > 0)
 
 
-def entity_variants(texts: DataFrame, standards: DataFrame) -> DataFrame:
-    """Differently printed entity names per text. `standards`: matter_id, entities (array of names)."""
-    row = texts.join(standards, "matter_id").select(
-        "matter_id", "table_id", "column_id", "site", "text", F.explode("entities").alias("standard_name"))
+def entity_variants(texts: DataFrame, entities: DataFrame) -> DataFrame:
+    """Differently printed entity names per text. `entities`: matter_id, name.
+
+    Every printed form holds the words of the name, so a text and a name meet only if the text holds the longest of them.
+    """
+    fold = lambda c: F.lower(F.upper(c))
+    words = F.split(T.split_entity(F.col("name"))["base"], r"(?U)\s+")
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    named = entities.select("matter_id", F.col("name").alias("standard_name")).distinct()
+    keyed = entities.select(
+        F.col("matter_id").alias("group_id"), F.xxhash64("name").alias("value_id"), fold(longest).alias("value")).distinct()
+    places = texts.withColumn("text_id", F.xxhash64("table_id", "column_id", "site", "text"))
+    met = candidates(places.select(F.col("matter_id").alias("group_id"), "text_id", fold(F.col("text")).alias("body")), keyed)
+    row = met.select(F.col("group_id").alias("matter_id"), "text_id", "value_id").join(places, ["matter_id", "text_id"]).join(
+        named.withColumn("value_id", F.xxhash64("standard_name")), ["matter_id", "value_id"])
     return row.select(
         "matter_id", "table_id", "column_id", "site", "standard_name",
         F.explode(T.entity_forms(F.col("text"), F.col("standard_name"))).alias("variant"),

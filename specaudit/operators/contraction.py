@@ -99,20 +99,19 @@ def longest_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     left = cut(edges.select("src", "dst", F.lit(1).cast("long").alias("w")))
     base = cut(nodes.select("node", F.lit(0).cast("long").alias("b")).where("false"))
-    known: list[DataFrame] = []
-    waiting: list[DataFrame] = []  # (node, b, src, w) of what was taken off before its inputs were known
-    n = left.count()
+    known: list[DataFrame] = []  # (node, wave)
+    waiting: list[tuple[DataFrame, DataFrame]] = []  # (node, b, src, w) of ends and of chain nodes, whose inputs are known later
+    spent, n = [left, base], left.count()
     while n:
-        ends = cut(_ends(left, n).join(base, "node", "left").select("*", F.coalesce("b", F.lit(0)).alias("low")).drop("b"))
+        ends = cut(_ends(left, n).join(base, "node", "left").withColumn("low", F.coalesce("b", F.lit(0))).drop("b"))
+        spent.append(ends)
         first = ends.where("n_in = 0").select("node", F.col("low").alias("wave"))
         if first.isEmpty():
             break  # all that is left is on a cycle or behind one
         chain = cut(_chain(ends, n, len(waiting)))
-        last = ends.where("n_out = 0").select(F.col("node").alias("dst"), "low")
-        known.append(cut(sized(first, n)))
-        late = left.join(last, "dst").select(F.col("dst").alias("node"), F.col("low").alias("b"), "src", "w")
-        waiting.append(cut(sized(late, n)))
-        waiting.append(cut(chain.select("node", F.col("low").alias("b"), F.col("pred").alias("src"), F.col("w_in").alias("w"))))
+        known.append(first)
+        last = left.join(ends.where("n_out = 0").select(F.col("node").alias("dst"), "low"), "dst")
+        waiting.append((last.select(F.col("dst").alias("node"), F.col("low").alias("b"), "src", "w"), chain.select("node", F.col("low").alias("b"), F.col("pred").alias("src"), F.col("w_in").alias("w"))))
         pushed = left.join(first.select(F.col("node").alias("src"), "wave"), "src").select(F.col("dst").alias("node"), (F.col("wave") + F.col("w")).alias("b"))
         pushed = pushed.unionByName(chain.where("low > 0").select(F.col("succ").alias("node"), (F.col("low") + F.col("w_out")).alias("b")))
         gone = ends.where("n_in = 0 or n_out = 0").select("node").unionByName(chain.select("node"))
@@ -122,20 +121,24 @@ def longest_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         # Nodes that have lost all their edges at once have heard from all their inputs.
         still = after.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
         alone = ends.join(gone, "node", "left_anti").join(still, "node", "left_anti").join(more, "node", "left")
-        known.append(cut(sized(alone.select("node", F.coalesce("b", F.lit(0)).alias("wave")), n)))
-        discard(left, base, ends)
+        known.append(alone.select("node", F.coalesce("b", F.lit(0)).alias("wave")))
+        spent += [chain, more, after]
         left, base, n = after, more, after.count()
-    blocked = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.lit(None).cast("long").alias("wave"))
-    done = blocked
+    done = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.lit(None).cast("long").alias("wave"))
     for more in known:
         done = done.unionByName(more)
     done = cut(done)
-    for late in reversed(waiting):
-        heard = late.join(done.select(F.col("node").alias("src"), "wave"), "src").groupBy("node").agg(
-            F.max("b").alias("b"), F.max(F.col("wave") + F.col("w")).alias("wave"), F.count_if(F.col("wave").isNull()).alias("shut"))
-        row = heard.select("node", F.when(F.col("shut") == 0, F.greatest("b", "wave")).alias("wave"))
-        after = cut(done.unionByName(row))
-        discard(done)
-        done = after
+    for late, chain in reversed(waiting):
+        spent.append(done)
+        both = done.unionByName(_heard(chain, done))
+        done = cut(both.unionByName(_heard(late, both)))
+    discard(*spent)
     return nodes.select("node").distinct().join(done.withColumn("seen", F.lit(True)), "node", "left").select(
         "node", F.when(F.col("seen"), F.col("wave")).otherwise(F.lit(0)).cast("int").alias("wave"))
+
+
+def _heard(late: DataFrame, done: DataFrame) -> DataFrame:
+    """(node, wave) of nodes whose inputs are all known."""
+    heard = late.join(done.select(F.col("node").alias("src"), "wave"), "src").groupBy("node").agg(
+        F.max("b").alias("b"), F.max(F.col("wave") + F.col("w")).alias("wave"), F.count_if(F.col("wave").isNull()).alias("shut"))
+    return heard.select("node", F.when(F.col("shut") == 0, F.greatest("b", "wave")).alias("wave"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from specaudit import vocab
 from specaudit.functions.normalise import literal_array
-from specaudit.functions.text import let, mark_positions
+from specaudit.functions.text import mark_positions
+from specaudit.session import cut
 
 _AT = r"(?U)(?<![\w@.])@(?=[A-Za-z\[])"
 
@@ -27,45 +28,40 @@ def _guess(text: Column, start: Column) -> Column:
     return F.array_join(F.slice(words, 1, n), " ")
 
 
-def _prefixes(window: Column) -> Column:
-    """Every lower-cased start of the window that ends at a word boundary."""
-    low = F.lower(window)
-    mask = F.regexp_replace(window, r"(?U)\w", "w")
-    ends = let(mask, lambda k: F.filter(F.sequence(F.lit(1), F.length(k)), lambda n: F.substring(k, n + 1, F.lit(1)) != "w"))
-    return let(low, lambda w: F.transform(ends, lambda n: F.substring(w, F.lit(1), n)))
-
-
 def find_refs(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(text_id, table_id, start_at, raw, resolved_id, resolved_name) for every `@` in every text.
 
-    `texts`: text_id, table_id, text. `names`: table_id, column_id, name, position. The longest name
-    that ends at a word boundary wins. Each reference offers its own few prefixes as join keys, so
-    names and references meet on an equality and never in all combinations.
+    `texts`: text_id, table_id, text, ids unique. `names`: table_id, column_id, name, position. The longest name that ends
+    at a word boundary wins. A reference offers digests of what follows it, at the lengths that names of its table have, so
+    names and references meet on an equality, a long name costs its own table alone, and texts are not carried along.
     """
-    found = texts.where(F.contains("text", F.lit("@"))).select(
-        "text_id", "table_id", "text", F.explode(_starts(F.col("text"))).alias("start_at")
-    )
-    # one character more than the longest name, so that its word border is seen
-    window = names.agg(F.coalesce(F.max(F.length("name")), F.lit(0)) + 1).scalar()
-    refs = found.select(
-        "text_id", "table_id", "start_at", _guess(F.col("text"), F.col("start_at")).alias("guess"),
-        F.substring(F.col("text"), F.col("start_at") + 1, window).alias("window"),
-    )
-    keyed = refs.select("text_id", "table_id", "start_at", "guess", "window", F.explode(_prefixes(F.col("window"))).alias("name_key"))
-    known = names.select("table_id", F.lower("name").alias("name_key"), "column_id", "name", "position")
-    first = known.groupBy("table_id", "name_key").agg(
+    known = names.select("table_id", F.lower("name").alias("name_key"), "column_id", "name", "position").where(F.length("name_key") > 0)
+    first = known.groupBy("table_id", F.length("name_key").alias("n"), _digest(F.col("name_key")).alias("digest")).agg(
         F.min(F.struct("position", "column_id", "name")).alias("c"))
-    best = keyed.join(first, ["table_id", "name_key"], "left").groupBy("text_id", "table_id", "start_at").agg(
-        F.max(F.when(F.col("c").isNotNull(), F.struct(F.length("name_key").alias("n"), "c.column_id", "c.name"))).alias("m"),
-        F.first("guess").alias("guess"), F.first("window").alias("window"),
-    )
-    return best.select(
-        "text_id", "table_id", "start_at",
-        F.when(F.col("m").isNotNull(), F.substring(F.col("window"), F.lit(1), F.col("m.n"))).otherwise(F.col("guess")).alias("raw"),
-        F.col("m.column_id").alias("resolved_id"), F.col("m.name").alias("resolved_name"),
+    sizes = first.groupBy("table_id").agg(F.collect_set("n").alias("sizes"))  # as many as the longest name has characters, at most
+    marked = texts.where(F.contains("text", F.lit("@"))).join(sizes, "table_id", "left")
+    starts = marked.select("text_id", "table_id", "text", "sizes", F.explode(_starts(F.col("text"))).alias("start_at"))
+    refs = cut(starts.select(
+        "text_id", "table_id", "start_at", _guess(F.col("text"), F.col("start_at")).alias("guess"),
+        F.transform(F.filter("sizes", _ends_a_word), lambda n: F.struct(n.alias("n"), _digest(F.lower(F.substring(F.col("text"), F.col("start_at") + 1, n))).alias("digest"))).alias("offers")))
+    met = refs.select("text_id", "table_id", "start_at", F.explode("offers").alias("o")).select("text_id", "table_id", "start_at", "o.n", "o.digest").join(
+        first, ["table_id", "n", "digest"]).groupBy("text_id", "start_at").agg(F.max(F.struct("n", "c.column_id", "c.name")).alias("m"))
+    spelt = met.join(texts.select("text_id", "text"), "text_id").select("text_id", "start_at", "m", F.substring(F.col("text"), F.col("start_at") + 1, F.col("m.n")).alias("spelt"))
+    return refs.join(spelt, ["text_id", "start_at"], "left").select(
+        "text_id", "table_id", "start_at", F.coalesce("spelt", "guess").alias("raw"), F.col("m.column_id").alias("resolved_id"), F.col("m.name").alias("resolved_name"),
     ).where("resolved_id is not null or raw <> ''")
 
 
+def _digest(name: Column) -> Column:
+    return F.unhex(F.md5(name))
+
+
+def _ends_a_word(n: Column) -> Column:
+    """Whether the text goes on for n characters after the mark and the next one is no letter or digit."""
+    after = F.substring(F.col("text"), F.col("start_at") + 1 + n, F.lit(1))
+    return (F.length("text") >= F.col("start_at") + n) & ~F.rlike(after, F.lit(r"(?U)\w"))
+
+
 def referenced_names(refs: DataFrame) -> DataFrame:
     """Per text, resolved names and unresolved tokens, each once, in order of first use."""
     def ordered(value: str, keep: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from specaudit import vocab
 from specaudit.functions.normalise import norm_name
 from specaudit.functions.text import count_occurrences
+from specaudit.operators.patterns import candidates
 
 ACTIVE = "status <> 'retired'"
 
@@ -112,12 +113,13 @@ def text_sites(parameters: DataFrame, texts: DataFrame, bound: DataFrame) -> Dat
     `texts`: matter_id, table_id, column_id (null for instructions), site, version, text.
     `bound`: parameter_id, table_id, column_id, site of the declared bindings.
     """
-    p = parameters.where(F.length("value") > 0).select(
-        F.col("matter_id").alias("p_matter"), "parameter_id", "value"
-    )
-    hits = texts.join(
-        p, (F.col("matter_id") == F.col("p_matter")) & F.contains(F.lower("text"), F.lower("value"))
-    ).select(
+    places = texts.withColumn("text_id", F.xxhash64("table_id", "column_id", "site", "version"))
+    p = parameters.where(F.length("value") > 0).select("matter_id", "parameter_id", "value")
+    met = candidates(
+        places.select(F.col("matter_id").alias("group_id"), "text_id", F.lower("text").alias("body")),
+        p.select(F.col("matter_id").alias("group_id"), F.col("parameter_id").alias("value_id"), F.lower("value").alias("value")),
+    ).select(F.col("group_id").alias("matter_id"), "text_id", F.col("value_id").alias("parameter_id"))
+    hits = met.join(places, ["matter_id", "text_id"]).join(p, ["matter_id", "parameter_id"]).where(F.contains(F.lower("text"), F.lower("value"))).select(
         "parameter_id", "table_id", "column_id", "site", "version",
         count_occurrences(F.col("text"), F.col("value")).alias("occurrences"),
     )
