@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from specaudit.llm import gru
-from specaudit.llm.batches import sliced, text_bytes, word_borders, word_hashes
+from specaudit.llm.batches import SLICE_BYTES, sliced, text_bytes, word_borders, word_hashes
 
 WINDOW = 24
 SAMPLE_DOCS, SAMPLE_WORDS = 300, 20_000  # per language
@@ -145,13 +145,13 @@ def learnt(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int =
     return Model(tuple(languages), params)
 
 
-def predicted(docs: DataFrame, model: Model) -> DataFrame:
+def predicted(docs: DataFrame, model: Model, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """`docs` with lang_pred, score and n_positions (letter bytes labelled); column names must be free."""
     schema = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double").add("n_positions", "long")
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo(model)
-        for part in sliced(batches):
+        for part in sliced(batches, most=slice_bytes):
             texts = part.column("text")
             data, starts, ends, first = windows(texts)
             sums, row = memo(data, starts, ends)
@@ -199,5 +199,5 @@ def in_known_language(docs: DataFrame, model: Model | None = None, least: float
     """The rows of `docs` whose text has letters and a language scored `least` or more; the same columns."""
     names = [f"__c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]).cast("string"))
-    kept = predicted(plain, model or learnt(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    kept = predicted(plain, model or learnt(docs), SLICE_BYTES // 4).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return kept.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))

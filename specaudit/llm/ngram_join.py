@@ -10,7 +10,7 @@ The search is spread over the cluster without ever gathering a shared shingle in
 
 1. *Folding.* Equal sets are one set, kept under a 128-bit digest. Copies cost one row each from here on.
 2. *Blocks.* Linked sets differ in at most d = (a + b) * (100 - p) / (100 + p) shingles. The hash space is cut into about
-   1.5 d ranges, and the digest of what a set holds in a range is a key, so linked sets share all but d of their keys. That
+   1.2 d ranges, and the digest of what a set holds in a range is a key, so linked sets share all but d of their keys. That
    is again an overlap search, over keys: a key that one set alone has can link nothing, so a set stays only if enough of
    its keys are shared with others, and of those only the rarest, as many as may be missing and one more, have to meet.
    One chance agreement, or a passage that many documents share, joins nothing. Sets that share such a key, directly or
@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specaudit.llm.batches import free_name, mixed, sliced, text_bytes, window_hashes, word_borders, word_hashes
+from specaudit.llm.batches import SLICE_BYTES, free_name, mixed, sliced, text_bytes, window_hashes, word_borders, word_hashes
 from specaudit.operators.graph import components
 from specaudit.session import cut
 
@@ -112,7 +112,7 @@ def _ranges(k: int, percent: int) -> tuple[int, int]:
     """
     a = _BORDERS[k + 1] - 1
     most = (a + a * 100 // percent) * (100 - percent) // (100 + percent)
-    return max(most + most // 2 + 1, min(4 * a, SMALL_RANGES)), most
+    return max(most + most // 5 + 1, min(4 * a, SMALL_RANGES)), most
 
 
 def range_keys(shingles: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
@@ -164,7 +164,7 @@ def sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
     kinds = pa.struct([("id", pa.int64()), ("least", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches):
+        for part in sliced(batches, most=SLICE_BYTES // 4):
             sets = list(shingle_sets(part.column("text"), width))
             fps = [_digest(s) for s in sets]
             ids = [_id(fp) for fp in fps]
@@ -222,12 +222,15 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
             sizes = np.diff(np.concatenate((starts, [len(keys)])))
             n = np.repeat(sizes, sizes)
             keep = np.ones(len(n), bool) if edge else n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep]), pa.array(n[keep]), pa.array(np.full(int(keep.sum()), edge))], ["key", "id", "n", "edge"])
+            part = np.zeros(int(keep.sum()), np.int64)
+            part[:1] = n[0] if edge else 0  # once per partition
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep]), pa.array(n[keep]), pa.array(np.full(len(part), edge)), pa.array(part)], ["key", "id", "n", "edge", "part"])
 
-    found = cut(_by_key(keyed).mapInArrow(counted, "key long, id long, n long, edge boolean"))
+    found = cut(_by_key(keyed).mapInArrow(counted, "key long, id long, n long, edge boolean, part long"))
     # A run cut by a border between partitions has as many ids as its parts together.
-    whole = found.where("edge").groupBy("key").agg(F.countDistinct("id").alias("all")).where("all > 1")
-    return found.where("not edge").select("key", "id", "n").unionByName(found.where("edge").join(whole, "key").select("key", "id", F.col("all").alias("n")).distinct())
+    whole = found.where("part > 0").groupBy("key").agg(F.sum("part").alias("all")).where("all > 1")
+    edges = found.where("edge").join(F.broadcast(whole), "key").select("key", "id", F.col("all").alias("n"))  # two keys a partition at most
+    return found.where("not edge").select("key", "id", "n").unionByName(edges.distinct())
 
 
 def meeting_keys(rows: DataFrame) -> DataFrame:
