@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from specaudit.functions import normalise as N
 from specaudit.operators import evals as E
 from specaudit.operators import freshness as D
 from specaudit.operators import parameters as P
@@ -184,19 +185,33 @@ def _(m):
     return D.docset_state_counts(fresh(m))
 
 
+SQL_VIEWS["s_part"] = """
+SELECT p.requirement_id, p.matter_id, p.part_no, nullif(trim(p.label), '') AS label, p.reason,
+       CASE WHEN lower(trim(p.disposition)) IN ('served', 'synthesis', 'external', 'unassessed') THEN lower(trim(p.disposition)) ELSE 'unassessed' END AS disposition FROM {a_requirement_part} p"""
+SQL_VIEWS["s_part_link"] = """
+SELECT requirement_id, CAST(link_id % (1 + requirement_id % 3) + 1 AS INTEGER) AS part_no, kind, table_id, section FROM {s_kept}"""
+
+
+def parts(m):
+    return G.fold_disposition(m.a_requirement_part).withColumn("label", F.nullif(F.trim("label"), F.lit("")))
+
+
+def part_links(m):
+    return resolved(m)[0].withColumn("part_no", F.expr("cast(link_id % (1 + requirement_id % 3) + 1 as int)"))
+
+
 @query("disposition_counts", """
 SELECT matter_id, count(*) FILTER (disposition = 'served') AS served, count(*) FILTER (disposition = 'synthesis') AS synthesis, count(*) FILTER (disposition = 'external') AS external,
-       count(*) FILTER (disposition = 'unassessed') AS unassessed, count(DISTINCT requirement_id) AS requirements FROM s_req GROUP BY 1""")
+       count(*) FILTER (disposition = 'unassessed') AS unassessed, count(DISTINCT requirement_id) AS requirements FROM s_part GROUP BY 1""")
 def _(m):
-    return G.disposition_counts(requirements(m))
+    return G.disposition_counts(parts(m))
 
 
 @query("register_report", """
-SELECT r.matter_id, r.source, r.requirement_id, r.ref, r.title, r.disposition, coalesce(l.links, '') AS links FROM s_req r
-LEFT JOIN (SELECT k.requirement_id, string_agg(DISTINCT k.kind || ':' || coalesce(t.name, k.section), '|' ORDER BY k.kind || ':' || coalesce(t.name, k.section)) AS links
-           FROM s_kept k LEFT JOIN a_table t USING (table_id) GROUP BY 1) l USING (requirement_id)""")
+SELECT r.matter_id, r.source, r.requirement_id, r.ref, r.title, p.part_no, p.label, p.disposition, p.reason, l.kind, coalesce(t.name, l.section) AS target
+FROM s_req r JOIN s_part p USING (requirement_id) LEFT JOIN s_part_link l ON l.requirement_id = p.requirement_id AND l.part_no = p.part_no LEFT JOIN a_table t ON t.table_id = l.table_id""")
 def _(m):
-    return G.register_report(requirements(m), resolved(m)[0], m.a_table).withColumn("links", F.array_join("links", "|"))
+    return G.register_report(requirements(m), parts(m), part_links(m), m.a_table)
 
 
 @query("register_findings", """
@@ -229,3 +244,55 @@ def _(m):
         "matter_id", "source", "ref", F.concat(F.lit("Revised "), "title").alias("title"), F.lit("served").alias("disposition"))
     merged, outcome, _missing = G.register_merge(stored, added.unionByName(revised).distinct())
     return merged.drop("invalid_disposition").join(outcome, ["matter_id", "source", "ref"])
+
+
+# A batch that revises every requirement with a reason, those that are external twice, and adds some without parts.
+_batch = """
+WITH rev AS (SELECT requirement_id, matter_id, source, ref, CASE WHEN lower(trim(disposition)) = 'external' THEN 2 ELSE 1 END AS item_no FROM a_requirement WHERE reason IS NOT NULL),
+added AS (SELECT DISTINCT r.matter_id, r.source, r.ref || '-' || o.o_orderpriority AS ref FROM a_requirement r JOIN orders o ON o.o_custkey = r.requirement_id - 1 AND o.o_totalprice > 495000),
+p AS (SELECT v.*, x.part_no, CASE WHEN v.item_no = 1 AND x.part_no = 1 THEN 'First' END AS label,
+    CASE WHEN v.item_no = 1 AND x.part_no = 1 THEN 'served' WHEN v.item_no = 1 THEN 'synthesis' WHEN x.part_no = 1 THEN 'external' ELSE 'bogus' END AS disposition FROM rev v, (SELECT 1 AS part_no UNION ALL SELECT 2) x),
+l AS (SELECT v.matter_id, v.source, v.ref, CASE WHEN j.kind = 'produces' THEN 2 ELSE 1 END AS part_no, j.kind, CASE WHEN j.kind <> 'produces' THEN j.table_id END AS table_id, CASE WHEN j.kind = 'produces' THEN j.section END AS section, j.code
+    FROM rev v JOIN s_judged j ON j.requirement_id = v.requirement_id WHERE v.item_no = 1 OR j.kind <> 'produces')
+"""
+
+
+def replaced(m):
+    r = m.a_requirement
+    revised = r.where("reason is not null").select("requirement_id", "matter_id", F.upper("source").alias("source"), F.concat(F.lit(" "), "ref").alias("ref"), F.lit(1).alias("item_no"), F.concat(F.lit("Revised "), "title").alias("title"), "disposition")
+    again = revised.where(N.fold_label(F.col("disposition")) == "external").withColumn("item_no", F.lit(2))
+    big = m.orders.where("o_totalprice > 495000").select((F.col("o_custkey") + 1).alias("requirement_id"), "o_orderpriority")
+    added = r.join(big, "requirement_id").select("matter_id", "source", F.concat_ws("-", "ref", "o_orderpriority").alias("ref"), F.lit(3).alias("item_no"), "title").distinct()
+    blank = r.where("reason is not null and disposition = 'pending'").select("matter_id", "source", F.lit(" ").alias("ref"), F.lit(4).alias("item_no"), "title")
+    both = revised.unionByName(again)
+    items = both.select("matter_id", "source", "ref", "item_no", "title").unionByName(added).unionByName(blank)
+    part = lambda no, label, disposition: F.struct(F.lit(no).alias("part_no"), F.lit(label).cast("string").alias("label"), F.lit(disposition).alias("disposition"), F.lit(None).cast("string").alias("reason"))
+    shape = F.when(F.col("item_no") == 1, F.array(part(1, "First ", "served"), part(2, None, " Synthesis"))).otherwise(F.array(part(1, " ", "External"), part(2, None, "Bogus")))
+    new_parts = both.select("matter_id", "source", "ref", "item_no", F.explode(shape).alias("p")).select("matter_id", "source", "ref", "item_no", "p.*")
+    no = F.when(N.fold_label(F.col("kind")) == "produces", 2).otherwise(1)
+    new_links = both.join(m.a_requirement_link, "requirement_id").select("matter_id", "source", "ref", "item_no", no.alias("part_no"), "kind", "table_name", "section").where("item_no = 1 or part_no = 1")
+    place = r.select("requirement_id", "source", "ref")
+    stored_links = part_links(m).join(place, "requirement_id")
+    return G.replace_parts(parts(m).join(place, "requirement_id"), stored_links, items, new_parts, new_links, m.a_table, m.a_assertion)
+
+
+@query("register_parts_replaced", f"""{_batch}
+SELECT r.matter_id, r.source, r.ref, p.part_no, p.label, p.disposition, p.reason, FALSE AS replaced FROM s_part p JOIN a_requirement r USING (requirement_id) WHERE r.reason IS NULL
+UNION ALL SELECT matter_id, upper(source), ref, part_no, label, CASE disposition WHEN 'bogus' THEN 'unassessed' ELSE disposition END, NULL, TRUE FROM p
+UNION ALL SELECT matter_id, source, ref, 1, NULL, 'unassessed', NULL, TRUE FROM added""")
+def _(m):
+    return replaced(m)[0]
+
+
+@query("register_links_replaced", f"""{_batch}
+SELECT r.matter_id, r.source, r.ref, k.part_no, k.kind, k.table_id, k.section FROM s_part_link k JOIN a_requirement r USING (requirement_id) WHERE r.reason IS NULL
+UNION ALL SELECT DISTINCT matter_id, upper(source), ref, part_no, kind, table_id, section FROM l WHERE code IS NULL""")
+def _(m):
+    return replaced(m)[1]
+
+
+@query("register_batch_findings", f"""{_batch}
+SELECT matter_id, 'REQUIREMENT_REF_MISSING' AS code, title AS subject FROM a_requirement WHERE reason IS NOT NULL AND disposition = 'pending'
+UNION ALL SELECT matter_id, 'REQUIREMENT_DISPOSITION_INVALID', ref FROM p WHERE disposition = 'bogus' UNION ALL SELECT matter_id, code, ref FROM l WHERE code IS NOT NULL""")
+def _(m):
+    return replaced(m)[2]

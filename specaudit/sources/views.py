@@ -275,6 +275,12 @@ SELECT o_orderkey + 1 AS link_id, o_custkey + 1 AS requirement_id,
        CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'Nowhere' ELSE 'BUILDING' END AS section
 FROM {orders}"""
 
+# One to three parts of a requirement, each with a disposition of its own.
+VIEWS["a_requirement_part"] = """
+SELECT r.requirement_id, r.matter_id, p.n AS part_no, CASE WHEN p.n = 2 THEN ' Second part ' END AS label,
+       CASE p.n WHEN 1 THEN r.disposition WHEN 2 THEN 'Served ' ELSE 'external' END AS disposition, CASE WHEN p.n > 1 THEN r.reason END AS reason
+FROM {a_requirement} r JOIN (SELECT 1 AS n UNION ALL SELECT 2 UNION ALL SELECT 3) p ON p.n <= 1 + r.requirement_id % 3"""
+
 VIEWS["a_event"] = """
 SELECT event_id, event_type AS entity_type, user_id AS entity_id,
        CASE WHEN value < 2 THEN 'create' WHEN value < 8 THEN 'revise' ELSE 'version' END AS action,
