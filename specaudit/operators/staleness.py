@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specaudit.operators.graph import _union
+from specaudit.operators.graph import _union, positions, rerun_order
 from specaudit.session import cut
 
 
@@ -113,6 +113,14 @@ def staleness_report(states: DataFrame, tables: DataFrame) -> DataFrame:
     )
 
 
+def stale_rerun_order(states: DataFrame, edges: DataFrame, tables: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(matter_id, table_id, column_id, state, seq): the stale columns of each matter in the order in which to rerun them."""
+    stale = states.where("state in ('direct', 'transitive')").select("column_id", "table_id", "state").join(tables.select("table_id", "matter_id"), "table_id")
+    place = stale.select(F.col("matter_id").alias("root"), F.col("column_id").alias("node")).join(positions(vertices), "node")
+    order = rerun_order(edges, place).select(F.col("node").alias("column_id"), "seq")
+    return stale.join(order, "column_id").select("matter_id", "table_id", "column_id", "state", "seq")
+
+
 def lifecycle_findings(columns: DataFrame, states: DataFrame) -> DataFrame:
     row = columns.where("status <> 'retired'").select("column_id", "table_id", "status").join(
         states.select("column_id", "state"), "column_id", "left")

@@ -79,6 +79,16 @@ def _(m):
     return G.build_parameter_edges(m.a_parameter, targets(m))
 
 
+def advisory(m):
+    order = m.orders.select(F.col("o_orderkey").alias("column_id"), F.col("o_custkey").alias("p_partkey"), (F.floor(F.col("o_custkey") / 15) + 1).alias("table_id"))
+    declared = (
+        vertices(m).select("matter_id", "column_id").join(order, "column_id")
+        .join(m.a_table.select("table_id", F.col("name").alias("table_name")), "table_id")
+        .join(m.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("column_name")), "p_partkey")
+    )
+    return G.build_advisory_edges(declared, vertices(m))
+
+
 @query("build_advisory_edges", """
 WITH d AS (SELECT v.matter_id, v.column_id, t.name AS table_name, c.p_name || ' ' || c.p_brand AS column_name
   FROM s_vertex v JOIN orders o ON o.o_orderkey = v.column_id JOIN supplier s ON s.s_suppkey = CAST(floor(o.o_custkey / 15) AS BIGINT)
@@ -86,17 +96,16 @@ WITH d AS (SELECT v.matter_id, v.column_id, t.name AS table_name, c.p_name || '
 k AS (SELECT matter_id, lower(table_name) AS tk, lower(name) AS ck, min(column_id) AS src FROM s_vertex GROUP BY 1, 2, 3)
 SELECT DISTINCT k.src, d.column_id AS dst, k.src IS NOT NULL AS resolved FROM d LEFT JOIN k ON k.matter_id = d.matter_id AND k.tk = lower(d.table_name) AND k.ck = lower(d.column_name)""")
 def _(m):
-    order = m.orders.select(F.col("o_orderkey").alias("column_id"), F.col("o_custkey").alias("p_partkey"), (F.floor(F.col("o_custkey") / 15) + 1).alias("table_id"))
-    declared = (
-        vertices(m).select("matter_id", "column_id").join(order, "column_id")
-        .join(m.a_table.select("table_id", F.col("name").alias("table_name")), "table_id")
-        .join(m.part.select("p_partkey", F.concat_ws(" ", "p_name", "p_brand").alias("column_name")), "p_partkey")
-    )
-    found, missing = G.build_advisory_edges(declared, vertices(m))
+    found, missing = advisory(m)
     lost = missing.select(F.lit(None).cast("bigint").alias("src"), F.col("column_id").alias("dst"), F.lit(False).alias("resolved")).distinct()
     return found.select("src", "dst", F.lit(True).alias("resolved")).unionByName(lost)
 
 
+@query("advisory_unresolved", f"SELECT dst AS column_id FROM ({sql('build_advisory_edges')}) WHERE NOT resolved")
+def _(m):
+    return advisory(m)[1].select("column_id").distinct()
+
+
 @query("downstream_closure", "SELECT root, node, depth, depth = 1 AS direct FROM s_close")
 def _(m):
     return closure(m)
@@ -267,10 +276,24 @@ act AS (SELECT s.assertion_id, s.column_id FROM a_assertion_source s JOIN a_colu
 SELECT h.subject, a.assertion_id, count(*) AS hit, any_value(n.active) AS active, CASE WHEN count(*) = any_value(n.active) THEN 'unsupported' ELSE 'weakened' END AS status
 FROM hit h JOIN act a USING (column_id) JOIN (SELECT assertion_id, count(*) AS active FROM act GROUP BY 1) n USING (assertion_id) GROUP BY 1, 2""")
 def _(m):
+    return _at_risk(m)
+
+
+def _at_risk(m):
     hit = states(m).where("state in ('direct', 'transitive', 'never_run')").join(m.a_table.select("table_id", "matter_id"), "table_id")
     return C.reverse_coverage(hit.select(F.col("matter_id").alias("subject"), "column_id"), m.a_assertion_source, m.a_column)
 
 
+@query("assertions_at_risk", f"SELECT subject AS matter_id, assertion_id, status FROM ({sql('reverse_coverage')})")
+def _(m):
+    return _at_risk(m).select(F.col("subject").alias("matter_id"), "assertion_id", "status")
+
+
+@query("stale_rerun_order")
+def _(m):
+    return S.stale_rerun_order(states(m), edges(m), m.a_table, vertices(m)).select("matter_id", "table_id", "column_id", "state", "seq")
+
+
 @query("lifecycle_findings", """
 SELECT c.table_id, c.column_id, code FROM (SELECT c.table_id, c.column_id, unnest([CASE WHEN c.status IN ('draft', 'testing') THEN 'COLUMN_NOT_VERIFIED' END,
   CASE WHEN s.state IN ('direct', 'transitive') THEN 'COLUMN_STALE' END, CASE WHEN s.state = 'never_run' THEN 'COLUMN_NEVER_RUN' END]) AS code

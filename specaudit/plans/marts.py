@@ -45,6 +45,10 @@ FAMILIES = [
     ("open_failure_findings", "evaluation", None, "column", "column_id"),
     ("dimension_gaps", "coverage_dimensions", "COV_DIMENSION_UNTICKED", "table", "table_id"),
     ("freshness_findings", "document_set", None, "table", "table_id"),
+    ("recurring_failures", "evaluation", "FAILURE_CLASS_RECURRING", "matter", "matter_id"),
+    ("absent_from_ingest", "ingest", "COLUMN_ABSENT_FROM_INGEST", "column", "column_id"),
+    ("assertions_at_risk", "staleness", "MEMO_ASSERTION_AT_RISK", "assertion", "assertion_id"),
+    ("advisory_unresolved", "graph", "ADVISORY_REF_UNRESOLVED", "column", "column_id"),
 ]
 
 

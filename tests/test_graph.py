@@ -93,3 +93,20 @@ def test_closure_from_shared_root_label(spark):
     roots = spark.createDataFrame([(9, 1), (9, 2)], "root long, node long")
     got = {(r.node, r.depth) for r in G.downstream_closure(edges_df(spark, [(1, 2), (2, 3), (3, 4)]), roots).collect()}
     assert got == {(3, 1), (4, 2)}
+
+
+def test_stale_columns_are_put_in_order_per_matter(spark):
+    from specaudit.operators.staleness import stale_rerun_order
+
+    rng = random.Random(6)
+    edges = sorted({(a, b) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(60)) if a % 2 == b % 2 and a != b})
+    states = [(n, n % 4, rng.choice(["direct", "transitive", "current", "never_run"])) for n in range(40)]
+    rank = {n: (n % 4, -n, n) for n in range(40)}
+    got = stale_rerun_order(
+        spark.createDataFrame(states, "column_id long, table_id long, state string"), edges_df(spark, edges),
+        spark.createDataFrame([(t, t % 2) for t in range(4)], "table_id long, matter_id long"),
+        spark.createDataFrame([(n, n % 4, -n) for n in range(40)], "column_id long, table_position int, position int")).orderBy("seq").collect()
+    for matter in (0, 1):
+        stale = {n for n, t, state in states if t % 2 == matter and state in ("direct", "transitive")}
+        inner = [(a, b) for a, b in edges if a in stale and b in stale]
+        assert [r.column_id for r in got if r.matter_id == matter] == brute_order(inner, {n: rank[n] for n in stale})
