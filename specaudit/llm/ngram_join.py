@@ -46,7 +46,7 @@ from specaudit.llm.batches import SLICE_BYTES, free_name, mixed, sliced, text_by
 from specaudit.operators.graph import components
 from specaudit.session import cut
 
-CHUNK_SETS, CHUNK_SHINGLES = 256, 1_000_000  # of one search task, on average
+CHUNK_SETS, CHUNK_SHINGLES = 256, 400_000  # of one search task, on average
 SMALL_RANGES = 128
 
 _SPACE = np.zeros(256, bool)
@@ -299,15 +299,21 @@ def wanted_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Inverted lists of one chunk. Set numbers grow with set size, and lists hold them in order."""
+    """Inverted lists of one chunk. Set numbers grow with set size, and lists hold them in order.
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    `inner`: only sets of the chunk itself will be searched for, so shingles that one of them alone has need no list.
+    """
+
+    def __init__(self, sets: list[np.ndarray], percent: int, inner: bool = False):
         self.sets, self.percent = sets, percent
         self.sizes = [len(s) for s in sets]
-        self.lists: dict[int, list[int]] = {}
-        for i, s in enumerate(sets):
-            for token in s.tolist():
-                self.lists.setdefault(token, []).append(i)
+        tokens = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(tokens, kind="stable")
+        tokens, owners = tokens[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+        starts = np.flatnonzero(np.concatenate((np.ones(min(len(tokens), 1), bool), tokens[1:] != tokens[:-1])))
+        ends = np.append(starts[1:], len(tokens)).astype(int)
+        kept = np.flatnonzero(ends - starts > inner)
+        self.lists = {int(tokens[starts[i]]): owners[starts[i] : ends[i]].tolist() for i in kept.tolist()}
 
     def needed(self, a: int, b: int) -> int:
         return -(-self.percent * (a + b) // (100 + self.percent))
@@ -384,7 +390,7 @@ def _grouped(sets: DataFrame, percent: int) -> DataFrame:
 
     def one(table: pa.Table) -> pa.Table:
         fps, sets_ = _ordered(table)
-        index, groups = Index(sets_, percent), _Named()
+        index, groups = Index(sets_, percent, inner=True), _Named()
         for q, s in enumerate(sets_):
             for i in index.search(s, lambda i, q=q: i >= q or groups.find(fps[i]) == groups.find(fps[q])):
                 groups.join(fps[i], fps[q])
