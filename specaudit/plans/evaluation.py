@@ -77,7 +77,7 @@ def log(m):
 
 
 def latest(m):
-    return E.latest_results(m.a_eval)
+    return m.once("latest", lambda: E.latest_results(m.a_eval))
 
 
 def failures(m):
@@ -85,11 +85,11 @@ def failures(m):
 
 
 def vertices(m):
-    return R.load_vertices(m.a_column, m.a_table)
+    return m.once("vertices", lambda: R.load_vertices(m.a_column, m.a_table))
 
 
 def snapshots(m):
-    return E.run_snapshot_build(m.a_run, m.a_column, m.a_prompt_version, m.a_instructions)
+    return m.once("snapshots", lambda: E.run_snapshot_build(m.a_run, m.a_column, m.a_prompt_version, m.a_instructions))
 
 
 def pins(m):

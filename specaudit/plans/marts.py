@@ -13,6 +13,7 @@ from specaudit.plans.evaluation import failures, latest, snapshots, unticked, ve
 from specaudit.plans.graphs import reliability, states
 from specaudit.plans.registry import query
 from specaudit.plans.relational import edges, targets
+from specaudit.session import cut
 from specaudit.sources.views import SQL_VIEWS
 
 # (query, family, code or None when the result carries one, subject, column that holds the subject)
@@ -74,7 +75,19 @@ def _(m):
     return m.a_matter.join(m.a_assertion, "matter_id", "left_anti").select("matter_id", "name")
 
 
+MODEL = ("a_column", "a_prompt_version", "a_instructions", "a_run", "a_eval", "a_dependency", "a_binding", "a_assertion_source")
+
+
+def shared(m):
+    """What many families read is built once: the model's large tables, then what is derived from them."""
+    for name in MODEL:
+        m.keep(name, cut(getattr(m, name)))
+    for name, build in (("vertices", vertices), ("edges", edges), ("latest", latest), ("snapshots", snapshots)):
+        m.keep(name, cut(build(m)))
+
+
 def findings(m):
+    shared(m)
     place = {"column": vertices(m).select("column_id", "table_id", "matter_id"), "table": m.a_table.select("table_id", "matter_id")}
     return U.union_findings(*[
         U.as_findings(registry.result(name, m), family, code, subject, key, place.get(subject))

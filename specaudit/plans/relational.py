@@ -41,7 +41,7 @@ def targets(m):
 
 
 def edges(m):
-    return R.load_edges(m.a_dependency, vertices(m), m.a_parameter)
+    return m.once("edges", lambda: R.load_edges(m.a_dependency, vertices(m), m.a_parameter))
 
 
 def texts(m):

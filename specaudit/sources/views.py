@@ -378,6 +378,10 @@ class Model:
             self._built[name] = build()
         return self._built[name]
 
+    def keep(self, name: str, table: DataFrame) -> None:
+        """From now on this is the table of that name, for what is built later."""
+        self._built[name] = table
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
