@@ -7,8 +7,8 @@ and filters out once per distinct word of a few megabytes of text.
 
 Thresholds are calibrated by language: the language of a text is guessed from its own words, by their frequencies in the
 sampled documents of each language, and the threshold of a language is the one with the best F1 over all labelled rows that
-are not held out, of any length (the common one where a language has fewer than `MIN_TOXIC` toxic ones among these). No row
-is judged by a network that was fitted to its text: rows of sampled texts are scored by one of `FOLDS` networks fitted
+are not held out, of any length. To its counts those of all languages are added, weighed as `PRIOR` toxic rows, so a rare
+language leans on the common threshold and a frequent one goes its own way, without a switch between them. No row is judged by a network that was fitted to its text: rows of sampled texts are scored by one of `FOLDS` networks fitted
 without their part of the sample, all others by the final one. Tasks score rows in place; only ids and score bins (`BIN` of
 a logit wide) meet the labels, and only counts by language, label and bin reach the driver. The score is shifted so that the
 threshold is 0.5.
@@ -36,7 +36,7 @@ from specaudit.llm import text_cnn
 from specaudit.llm.batches import sliced, text_bytes, word_borders, word_hashes
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_LENGTH = 2000, 3000, 2048
-MIN_DOCS, MIN_TOXIC = 3, 20
+MIN_DOCS, PRIOR = 3, 20
 FOLDS = 3
 BIN, BINS = 1 / 64, 1 << 12  # bins on either side of a logit of 0
 BEGINNINGS = (6, 8)
@@ -135,8 +135,9 @@ def learnt(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean:
     params = [text_cnn.trained([numbers[i] for i in np.flatnonzero(own)], label[own], len(keys) + 1, SIZE, FILTERS, epochs) for own in fitted]
     models = [Model(keys, p, languages, share.astype(np.float32), np.zeros(len(languages))) for p in params]
     counts = _counted(docs, known, models, np.unique(places))
-    common = _best_threshold(counts.sum(0)) if counts[:, 1].any() else 0.0
-    limits = [_best_threshold(own) if own[1].sum() >= MIN_TOXIC else common for own in counts]
+    common = counts.sum(0)
+    toxic_rows = common[1].sum()
+    limits = [_best_threshold(own + common * (PRIOR / toxic_rows)) if toxic_rows else 0.0 for own in counts]
     return Model(keys, params[-1], languages, models[-1].share, np.array(limits))
 
 
