@@ -20,25 +20,34 @@ from specaudit.session import cut
 
 BPE = "byte_bpe_50k.json"
 NEAR_WIDTH, NEAR_PERCENT = 5, 80  # looser than the op2 query's 3 words and 90 %
+BATCH_ROWS = 2500  # whole documents go through Python workers, which live from stage to stage: batches are kept small
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters or in no language that the model knows."""
+    _small_batches(spark)
     return in_known_language(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group linked by 5-word shingles with a Jaccard similarity of 0.8 or more."""
+    _small_batches(spark)
     return one_of_each_group(docs, NEAR_WIDTH, NEAR_PERCENT)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
+    _small_batches(spark)
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the text by a mark, and counts the characters anew where the text has changed."""
+    _small_batches(spark)
     before = docs.withColumn("n_chars", F.col("n_chars") - F.length("text"))
     clean = without_secrets(before)
     return clean.withColumn("n_chars", F.col("n_chars") + F.length("text")).select(docs.columns)
@@ -46,6 +55,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2,048 tokens."""
+    _small_batches(spark)
     return pack(docs, public_tokenizers.path(BPE))
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specaudit.llm.batches import free_name, sliced, text_bytes, window_hashes, word_borders, word_hashes
+from specaudit.llm.batches import SLICE_BYTES, free_name, sliced, text_bytes, window_hashes, word_borders, word_hashes
 from specaudit.session import cut
 
 WIDTH, LEAST, SHARE = 8, 5, 0.5
@@ -159,7 +159,9 @@ def _bitmap(windows: DataFrame) -> np.ndarray:
     return out
 
 
-def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: int = LEAST, share: float = SHARE) -> DataFrame:
+def contaminated(
+    docs: DataFrame, items: DataFrame, width: int = WIDTH, least: int = LEAST, share: float = SHARE, slice_bytes: int = SLICE_BYTES,
+) -> DataFrame:
     """(doc_id, place, item_id, n_windows, item_windows, share, verbatim): which items each document holds.
 
     `place` is a hash of the text, which tells rows with one doc_id apart.
@@ -169,7 +171,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: i
     widths = sorted(r[0] for r in known.select("width").distinct().collect())  # at most width - least + 1
 
     def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches):
+        for part in sliced(batches, most=slice_bytes):
             for w in widths:
                 hashes, text, place, at, values, slot = _windows(part.column("text"), w)
                 low = hashes & np.uint64(BITS - 1)
@@ -218,6 +220,6 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: int = LE
 def without_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, least: int = LEAST, share: float = SHARE) -> DataFrame:
     """The rows of `docs` that hold no item, with the same columns; a row with a null doc_id is judged by its text."""
     name, place = free_name(docs.columns, "bad_id"), free_name(docs.columns, "bad_place")
-    bad = contaminated(docs, items, width, least, share).select(F.col("doc_id").alias(name), F.col("place").alias(place)).distinct()
+    bad = contaminated(docs, items, width, least, share, SLICE_BYTES // 4).select(F.col("doc_id").alias(name), F.col("place").alias(place)).distinct()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(name)) & (F.xxhash64(F.col("text").cast("string")) == F.col(place))
     return docs.join(bad, same, "left_anti")
