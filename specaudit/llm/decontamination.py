@@ -2,22 +2,25 @@
 
 Canonical form: a word that starts with a digit, or is a number word, becomes NUMBER; a unit right after a number becomes
 UNIT; a capitalised word inside a sentence becomes NAME; other words are lower-cased. Windows of `WIDTH` consecutive
-template words (of all words, for shorter items) are hashed, and document windows meet item windows in a hash join. Windows
-with more placeholders than words say too little and are left out on both sides.
+words (of all words, for shorter items) are hashed, and document windows meet item windows in a hash join. Every window is
+hashed as its plain lower-cased words, so a copy in capitals, of names and numbers only or within another sentence is still
+a copy; a window with placeholders is hashed as its template too, unless it has more placeholders than words and so says
+too little.
 
 Slot consistency: windows of one document and item that lie on one diagonal (same shift between the two texts) should fill
 the item's slots consistently. A window counts if each of its item values has, at more than half of the places where the
 diagonal holds that value, the document value that the window has; a window whose slots all kept their own values counts
-always. So a slip in one mention costs the windows around it and no others, and a chance likeness, which fills its slots at
-random, is dropped. An item is found when the windows that count cover at least `SHARE` of its windows; `verbatim` tells
-whether every slot of a diagonal kept its own value.
+always, as do windows of equal plain words. So a slip in one mention costs the windows around it and no others, and a chance
+likeness, which fills its slots at random, is dropped. An item is found when the windows that count cover at least `SHARE` of
+all its positions, those without a usable template included; `verbatim` tells whether every slot of a diagonal kept its own
+value.
 
 Scale: documents are scanned once. A bitmap of the item windows of fixed size (`BITS`, filled fuller by a larger benchmark,
 never larger) goes to the tasks, which emit only windows that can match; the exact join, its choice left to the optimizer,
 decides. Aggregates are by (document, item), so a passage that a third of all documents share spreads over all of them.
 
-Edge cases: null or empty texts have no windows. Items of fewer than `LEAST` words, without text or with placeholders
-only are never found. Rows repeat in the result only if (doc_id, item_id) differ; a null doc_id is reported as null. Empty
+Edge cases: null or empty texts have no windows. Items of fewer than `LEAST` words or without text are never found, items
+of placeholders only where their plain words stand. Rows repeat in the result only if (doc_id, item_id) differ; a null doc_id is reported as null. Empty
 tables give no rows. Other columns are ignored.
 """
 
@@ -48,6 +51,15 @@ _ALPHA[ord("a") : ord("z") + 1] = _ALPHA[ord("A") : ord("Z") + 1] = _ALPHA[0x80:
 _STOP[[ord(c) for c in ".!?:\n"]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+_LATIN = 0xC3  # the first byte of the accented letters of Latin-1; the second tells which, capitals in 0x80 to 0x9E
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    out = _LOWER[data]
+    second = np.flatnonzero(data[:-1] == _LATIN) + 1
+    code = data[second]
+    out[second[(code >= 0x80) & (code <= 0x9E) & (code != 0x97)]] += 32  # 0x97 is a sign
+    return out
 
 
 def _listed(words: list[str]) -> np.ndarray:
@@ -73,7 +85,7 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     unit_cut = np.zeros(n, bool)  # 5km is a number and a unit
     unit_cut[1:] = digit[:-1] & alpha[1:]
     starts, ends, first = word_borders(digit | alpha | inner, borders, unit_cut)
-    values = word_hashes(_LOWER[data], starts, ends)
+    values = word_hashes(_lowered(data), starts, ends)
     head = np.zeros(len(starts), bool)
     head[first[:-1][np.diff(first) > 0]] = True
     number = digit[starts] | _in(values, _NUMBER_WORDS)
@@ -86,35 +98,43 @@ def templates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     opening[1:] |= stops[starts[1:]] > stops[ends[:-1]]
     code = data[starts]
     after = data[np.minimum(starts + 1, max(n - 1, 0))] if n else code
-    capital = ((code >= ord("A")) & (code <= ord("Z"))) | ((code == 0xC3) & (after >= 0x80) & (after <= 0x9E))
+    capital = ((code >= ord("A")) & (code <= ord("Z"))) | ((code == _LATIN) & (after >= 0x80) & (after <= 0x9E))
     name = capital & ~opening & ~number & ~unit
     template = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, values)))
     return template, values, number | unit | name, first
 
 
-def _windows(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, position, first word, values, slot) of the windows with at least as many words as placeholders."""
+def _windows(texts: pa.Array, width: int) -> tuple[np.ndarray, ...]:
+    """(hash, text, position, first word, slotted, values, slot) of all windows of plain words and of the usable templates.
+
+    A window that is not `slotted` is one of plain words: what would be slots are words like others.
+    """
     template, values, slot, first = templates(texts)
-    hashes, bounds = window_hashes(template, first, width)
+    plain, bounds = window_hashes(values, first, width)
     text = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    place = np.arange(len(hashes)) - bounds[text]
+    place = np.arange(len(plain)) - bounds[text]
     at = first[text] + place
     filled = np.concatenate(([0], np.cumsum(slot)))
-    keep = 2 * (filled[at + width] - filled[at]) <= width
-    return hashes[keep] ^ np.uint64(width), text[keep], place[keep], at[keep], values, slot
+    slots = filled[at + width] - filled[at]
+    usable = np.flatnonzero((slots > 0) & (2 * slots <= width))
+    hashes = np.concatenate((plain, window_hashes(template, first, width)[0][usable])) ^ np.uint64(width)
+    own = np.concatenate((np.arange(len(plain)), usable))
+    slotted = np.arange(len(own)) >= len(plain)
+    return hashes, text[own], place[own], at[own], slotted, values, slot
 
 
-def _slots(at: np.ndarray, width: int, values: np.ndarray, slot: np.ndarray) -> pa.Array:
-    """Per window, the values in its slots, in order."""
-    words = at[:, None] + np.arange(width)
-    held = slot[words]
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(held.sum(1)))), pa.int32()), pa.array(values[words[held]].view(np.int64)))
+def _held(at: np.ndarray, slotted: np.ndarray, width: int, slot: np.ndarray) -> np.ndarray:
+    return slot[at[:, None] + np.arange(width)] & slotted[:, None]
+
 
+def _lists(held: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(held.sum(1)))), pa.int32()), pa.array(values, pa.int64()))
 
-def _offsets(at: np.ndarray, width: int, slot: np.ndarray) -> pa.Array:
-    """Per window, the places of its slots in it, in order."""
-    held = slot[at[:, None] + np.arange(width)]
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(held.sum(1)))), pa.int32()), pa.array(np.nonzero(held)[1], pa.int64()))
+
+def _slots(at: np.ndarray, held: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Per window, the values in its slots, in order."""
+    row, spot = np.nonzero(held)
+    return _lists(held, values[at[row] + spot].view(np.int64))
 
 
 def _rows(table: DataFrame, key: str) -> DataFrame:
@@ -130,23 +150,24 @@ def _batch(part: pa.RecordBatch, text: np.ndarray, *columns) -> pa.RecordBatch:
 
 
 def item_windows(items: DataFrame, width: int, least: int) -> DataFrame:
-    """(id, place, at, key, slots, width, offsets, n): the windows of every item; `n` counts them."""
+    """(id, place, at, key, slots, width, offsets, n): the windows of every item; `n` counts its positions."""
 
     def cut_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
             texts = part.column("text")
             sizes = np.diff(templates(texts)[3])
             for w in range(least, width + 1):
-                hashes, text, place, at, values, slot = _windows(texts, w)
+                if not (sizes >= w).any() if w == width else not (sizes == w).any():
+                    continue
+                hashes, text, place, at, slotted, values, slot = _windows(texts, w)
                 own = sizes[text] >= width if w == width else sizes[text] == w
-                if own.any():
-                    out = _batch(part, text[own], pa.array(place[own], pa.int64()), pa.array(hashes[own].view(np.int64)), _slots(at[own], w, values, slot))
-                    out = out.append_column("width", pa.array(np.full(own.sum(), w), pa.int64()))
-                    yield out.append_column("offsets", _offsets(at[own], w, slot))
+                held = _held(at[own], slotted[own], w, slot)
+                out = _batch(part, text[own], pa.array(place[own], pa.int64()), pa.array(hashes[own].view(np.int64)), _slots(at[own], held, values))
+                out = out.append_column("width", pa.array(np.full(own.sum(), w), pa.int64()))
+                out = out.append_column("offsets", _lists(held, np.nonzero(held)[1]))
+                yield out.append_column("n", pa.array(sizes[text[own]] - w + 1, pa.int64()))
 
-    found = cut(_rows(items, "item_id").mapInArrow(cut_up, f"{_WINDOW}, width long, offsets array<long>").distinct())
-    sizes = found.groupBy("id", "place").agg(F.count(F.lit(1)).alias("n")).withColumnsRenamed({"id": "id_", "place": "place_"})
-    return found.join(sizes, F.col("id").eqNullSafe(F.col("id_")) & (F.col("place") == F.col("place_"))).drop("id_", "place_")
+    return _rows(items, "item_id").mapInArrow(cut_up, f"{_WINDOW}, width long, offsets array<long>, n long").distinct()
 
 
 def _bitmap(windows: DataFrame) -> np.ndarray:
@@ -173,11 +194,12 @@ def contaminated(
     def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, most=slice_bytes):
             for w in widths:
-                hashes, text, place, at, values, slot = _windows(part.column("text"), w)
+                hashes, text, place, at, slotted, values, slot = _windows(part.column("text"), w)
                 low = hashes & np.uint64(BITS - 1)
                 hit = ((bits[(low >> np.uint64(6)).astype(np.int64)].view(np.uint64) >> (low & np.uint64(63))) & np.uint64(1)).astype(bool)
                 if hit.any():
-                    yield _batch(part, text[hit], pa.array(place[hit], pa.int64()), pa.array(hashes[hit].view(np.int64)), _slots(at[hit], w, values, slot))
+                    held = _held(at[hit], slotted[hit], w, slot)
+                    yield _batch(part, text[hit], pa.array(place[hit], pa.int64()), pa.array(hashes[hit].view(np.int64)), _slots(at[hit], held, values))
 
     seen = _rows(docs, "doc_id").mapInArrow(candidates, _WINDOW)
     asked = known.select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("at").alias("item_at"), "key", F.col("slots").alias("item_slots"), "offsets", "n")
