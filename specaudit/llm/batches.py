@@ -5,7 +5,8 @@ Used inside tasks only. Work arrays are bounded by `SLICE_BYTES` and `BLOCK_BYTE
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,19 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             at = to
 
 
+def tidied(work: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`work`, after which free memory goes back to the system: a Python worker outlives its task and waits for another stage's."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, borders): text i is bytes[borders[i]:borders[i + 1]]; a null text is empty."""
     flat = pc.fill_null(texts, "").cast(pa.large_binary())

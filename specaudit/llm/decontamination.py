@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specaudit.llm.batches import SLICE_BYTES, free_name, sliced, text_bytes, window_hashes, word_borders, word_hashes
+from specaudit.llm.batches import SLICE_BYTES, free_name, sliced, text_bytes, tidied, window_hashes, word_borders, word_hashes
 from specaudit.session import cut
 
 WIDTH, LEAST, SHARE = 8, 5, 0.5
@@ -201,7 +201,7 @@ def contaminated(
                     held = _held(at[hit], slotted[hit], w, slot)
                     yield _batch(part, text[hit], pa.array(place[hit], pa.int64()), pa.array(hashes[hit].view(np.int64)), _slots(at[hit], held, values))
 
-    seen = _rows(docs, "doc_id").mapInArrow(candidates, _WINDOW)
+    seen = _rows(docs, "doc_id").mapInArrow(tidied(candidates), _WINDOW)
     asked = known.select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), F.col("at").alias("item_at"), "key", F.col("slots").alias("item_slots"), "offsets", "n")
     group = ["id", "place", "item_id", "item_place"]
     met = seen.join(asked, "key").withColumn("shift", F.col("at") - F.col("item_at"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from specaudit.llm import gru
-from specaudit.llm.batches import SLICE_BYTES, sliced, text_bytes, word_borders, word_hashes
+from specaudit.llm.batches import SLICE_BYTES, sliced, text_bytes, tidied, word_borders, word_hashes
 
 WINDOW = 24
 SAMPLE_DOCS, SAMPLE_WORDS = 300, 20_000  # per language
@@ -132,7 +132,7 @@ def learnt(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_words: int =
         own = usable.where(F.col("lang") == language)
         ids = own.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)  # narrow scan, then few texts
         texts = own.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text")
-        words = texts.mapInArrow(count, "key long, word binary, n long").groupBy("key", "word").agg(F.sum("n").alias("n"))
+        words = texts.mapInArrow(tidied(count), "key long, word binary, n long").groupBy("key", "word").agg(F.sum("n").alias("n"))
         for r in words.orderBy("key", "word").limit(sample_words).select("word", "n").collect():
             codes.append(np.frombuffer(r[0], np.uint8))
             labels.append(k)
@@ -181,7 +181,7 @@ def predicted(docs: DataFrame, model: Model, slice_bytes: int = SLICE_BYTES) ->
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(named, pa.string()), pa.array(score), pa.array(total[:, 0].astype(np.int64))], names=[*part.schema.names, "lang_pred", "score", "n_positions"])
 
-    return docs.mapInArrow(label, schema)
+    return docs.mapInArrow(tidied(label), schema)
 
 
 def _text_starts(texts: pa.Array) -> np.ndarray:

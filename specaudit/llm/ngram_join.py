@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specaudit.llm.batches import SLICE_BYTES, free_name, mixed, sliced, text_bytes, window_hashes, word_borders, word_hashes
+from specaudit.llm.batches import SLICE_BYTES, free_name, mixed, sliced, text_bytes, tidied, window_hashes, word_borders, word_hashes
 from specaudit.operators.graph import components
 from specaudit.session import cut
 
@@ -179,7 +179,7 @@ def sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(c) for c in found]))), pa.int32()), rows),
             ], ["doc_id", "place", "n", "fp", "id", "classes"])
 
-    return _rows(docs).mapInArrow(sketch, "doc_id long, place long, n long, fp binary, id long, classes array<struct<id: long, least: long, keys: array<long>>>")
+    return _rows(docs).mapInArrow(tidied(sketch), "doc_id long, place long, n long, fp binary, id long, classes array<struct<id: long, least: long, keys: array<long>>>")
 
 
 def _by_key(keyed: DataFrame) -> DataFrame:
@@ -226,7 +226,7 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
             part[:1] = n[0] if edge else 0  # once per partition
             yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(ids[keep]), pa.array(n[keep]), pa.array(np.full(len(part), edge)), pa.array(part)], ["key", "id", "n", "edge", "part"])
 
-    found = cut(_by_key(keyed).mapInArrow(counted, "key long, id long, n long, edge boolean, part long"))
+    found = cut(_by_key(keyed).mapInArrow(tidied(counted), "key long, id long, n long, edge boolean, part long"))
     # A run cut by a border between partitions has as many ids as its parts together.
     whole = found.where("part > 0").groupBy("key").agg(F.sum("part").alias("all")).where("all > 1")
     edges = found.where("edge").join(F.broadcast(whole), "key").select("key", "id", F.col("all").alias("n"))  # two keys a partition at most
@@ -264,7 +264,7 @@ def sharing(keyed: DataFrame) -> DataFrame:
         for key, one, other in ((pa.nulls(len(pairs), pa.int64()), [a for a, _ in pairs], [b for _, b in pairs]), (pa.array(list(edges), pa.int64()), list(edges.values()), [None] * len(edges))):
             yield pa.RecordBatch.from_arrays([key, pa.array(one, pa.int64()), pa.array(other, pa.int64())], ["key", "id", "rep"])
 
-    found = cut(_by_key(keyed).mapInArrow(stars, "key long, id long, rep long"))
+    found = cut(_by_key(keyed).mapInArrow(tidied(stars), "key long, id long, rep long"))
     border = found.where("rep is null").groupBy("key").agg(F.min("id").alias("rep"))
     across = found.where("rep is null").select("key", "id").join(border, "key").where("id <> rep").select("id", "rep")
     return found.where("rep is not null").select("id", "rep").unionByName(across)
@@ -287,12 +287,12 @@ def wanted_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     asked = wanted.select(*known, "place", "fp", "block", "chunks", "chunk", "n")
 
     def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches):
+        for part in sliced(batches, most=SLICE_BYTES // 4):
             sets = [s.tobytes() for s in shingle_sets(part.column("text"), width)]
             yield part.drop_columns(["text"]).append_column("shingles", pa.array(sets, pa.binary()))
 
     return texts.join(asked, keys).select("fp", "block", "chunks", "chunk", "n", "text").mapInArrow(
-        again, "fp binary, block long, chunks long, chunk long, n long, shingles binary")
+        tidied(again), "fp binary, block long, chunks long, chunk long, n long, shingles binary")
 
 
 # --- T-occurrence search ---------------------------------------------------------

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specaudit.llm.batches import sliced
+from specaudit.llm.batches import sliced, tidied
 from specaudit.llm.pretokens import TOKEN_SLICE, Vocabulary
 
 GROUP_TOKENS = 1 << 18
@@ -65,7 +65,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int, closing: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["row", "doc_id", "start", "length", "doc_tokens", "ids"])
 
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return numbered.mapInArrow(cut, PIECE)
+    return numbered.mapInArrow(tidied(cut), PIECE)
 
 
 def balanced(lengths: list[int], capacity: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:

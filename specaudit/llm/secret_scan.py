@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specaudit.llm.batches import sliced, text_bytes, word_borders
+from specaudit.llm.batches import sliced, text_bytes, tidied, word_borders
 from specaudit.session import cut
 
 MIN_LENGTH, GATE, FDR = 20, 1e-3, 0.01
@@ -186,7 +186,7 @@ def calibrated(docs: DataFrame, fdr: float = FDR) -> Cutoffs:
         empty = pa.nulls(len(seen), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), empty, empty, pa.array(letters[seen])], ["encoding", "n", "pairs", "times"])
 
-    rows = cut(docs.selectExpr("cast(text as string) text").mapInArrow(count, "encoding long, n long, pairs long, times long"))
+    rows = cut(docs.selectExpr("cast(text as string) text").mapInArrow(tidied(count), "encoding long, n long, pairs long, times long"))
     letters = {r[0]: r[1] for r in rows.where("n is null").groupBy("encoding").agg(F.sum("times")).collect()}  # at most 256
     ordinary = tuple(_ordinary(letters))
     s2 = F.element_at(F.array(*(F.lit(a) for a, _ in ordinary)), F.col("encoding").cast("int") + 1)
@@ -291,4 +291,4 @@ def without_secrets(docs: DataFrame, cutoffs: Cutoffs | None = None) -> DataFram
             fresh = [redacted(t, f) if f else t for t, f in zip(texts, found)]
             yield part.set_column(part.schema.get_field_index("text"), part.schema.field("text"), pa.array(fresh, part.column("text").type))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tidied(clean), docs.schema)
