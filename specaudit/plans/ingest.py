@@ -1,5 +1,8 @@
 """Queries: submissions, version histories, change events, standards, export and import."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specaudit import vocab
@@ -7,7 +10,7 @@ from specaudit.functions.normalise import norm_name
 from specaudit.operators import coverage as C
 from specaudit.operators import versioning as V
 
-from specaudit.plans.audits import current_prompts, current_rules
+from specaudit.plans.audits import current_prompts, current_rules, part_links
 from specaudit.plans.evaluation import log, vertices
 from specaudit.plans.registry import query
 from specaudit.sources import export as X
@@ -241,32 +244,64 @@ def _(m):
 
 
 def export(m):
-    return X.build_export(m.a_table, m.a_column, m.a_prompt_version, m.a_run, log(m), m.a_dependency, m.a_parameter)
+    return X.build_export(
+        m.a_table, m.a_column, m.a_prompt_version, m.a_run, log(m), m.a_dependency, m.a_parameter, bindings=m.a_binding, standards=m.a_standard,
+        instructions=m.a_instructions, coverage=m.a_run_coverage.withColumnRenamed("raw_dimension", "dimension"), assertions=m.a_assertion,
+        assertion_sources=m.a_assertion_source, requirements=m.a_requirement, requirement_parts=m.a_requirement_part, requirement_links=part_links(m))
+
+
+_when = "strftime({}, '%Y-%m-%d %H:%M:%S')".format
+# Per kind of record: its matter, its fields in the order of the body, and where they come from.
+_SENT = {
+    "table": ("matter_id", ["name", "grouping_enabled", "project"], "a_table"),
+    "column": ("t.matter_id", ["t.name", "c.name", "c.position", "native_type", "status", "role", "concept", "options"], "{columns} c JOIN a_table t USING (table_id)"),
+    "version": ("v.matter_id", ["v.table_name", "v.name", "minor", "text", _when("created_at"), "is_current"], "a_prompt_version JOIN s_vertex v USING (column_id)"),
+    "run": ("matter_id", ["name", "run_id", _when("started_at")], "a_run JOIN a_table USING (table_id)"),
+    "result": ("v.matter_id", ["v.table_name", "v.name", "run_id", "document", "passed", "failure_class", "result_id", "result_seq"], "s_eval JOIN s_vertex v USING (column_id)"),
+    "dependency": ("e.matter_id", ["a.table_name", "a.name", "b.table_name", "b.name", "e.kind"], "s_edge e JOIN s_vertex a ON a.column_id = e.src JOIN s_vertex b ON b.column_id = e.dst"),
+    "parameter": ("p.matter_id", ["p.name", "value", "p.status", "v.table_name", "v.name"], "a_parameter p LEFT JOIN s_vertex v ON v.column_id = source_column_id"),
+    "binding": ("p.matter_id", ["p.name", "t.name", "v.name", "site"], "a_binding b JOIN a_parameter p USING (parameter_id) JOIN a_table t USING (table_id) LEFT JOIN s_vertex v ON v.column_id = b.column_id"),
+    "standard": ("matter_id", X.fields("standard"), "a_standard"),
+    "instructions": ("matter_id", ["name", "version", "is_current", _when("created_at"), "text"], "a_instructions JOIN a_table USING (table_id)"),
+    "coverage": ("matter_id", ["run_id", "raw_dimension"], "a_run_coverage JOIN a_run USING (run_id) JOIN a_table USING (table_id)"),
+    "assertion": ("matter_id", X.fields("assertion"), "a_assertion"),
+    "assertion_source": ("a.matter_id", ["section", "text", "v.table_name", "v.name"], "a_assertion a JOIN a_assertion_source USING (assertion_id) JOIN s_vertex v USING (column_id)"),
+    "requirement": ("matter_id", X.fields("requirement"), "a_requirement"),
+    "requirement_part": ("p.matter_id", ["source", "ref", "part_no", "label", "p.disposition", "p.reason"], "a_requirement_part p JOIN a_requirement USING (requirement_id)"),
+    "requirement_link": ("r.matter_id", ["source", "ref", "part_no", "kind", "t.name", "l.section"], "s_part_link l JOIN a_requirement r USING (requirement_id) LEFT JOIN a_table t ON t.table_id = l.table_id"),
+}
+
+
+def _sent(columns: str) -> str:
+    """A hash of every record, with `columns` as the table of columns."""
+    def line(section, matter, told, source):
+        values = ", ".join(f"coalesce(CAST({v} AS VARCHAR), '~')" for v in told)
+        return f"SELECT {matter} AS matter_id, '{section}' AS section, CAST('0x' || substr(md5(concat_ws('|', {values})), 1, 8) AS BIGINT) AS h FROM {source.format(columns=columns)}"
+
+    return "\nUNION ALL ".join(line(section, *rest) for section, rest in _SENT.items())
+
+
+@query("build_export", f"SELECT matter_id, section, count(*) AS n, CAST(sum(h) AS BIGINT) AS digest FROM ({_sent('a_column')}) GROUP BY 1, 2")
+def _(m):
+    records = export(m)
+    kinds = [X.bodies(records, s).groupBy("matter_id").agg(F.count("*").alias("n"), X.digest(s)).withColumn("section", F.lit(s)) for s in X.BODIES]
+    return reduce(DataFrame.unionByName, kinds)
 
 
-@query("build_export", """
-SELECT matter_id, section, count(*) AS n FROM (
-  SELECT matter_id, 'table' AS section FROM a_table UNION ALL SELECT matter_id, 'column' FROM s_vertex UNION ALL SELECT matter_id, 'version' FROM a_prompt_version JOIN s_vertex USING (column_id)
-  UNION ALL SELECT matter_id, 'run' FROM a_run JOIN a_table USING (table_id) UNION ALL SELECT matter_id, 'result' FROM a_eval JOIN s_vertex USING (column_id)
-  UNION ALL SELECT matter_id, 'dependency' FROM s_edge UNION ALL SELECT matter_id, 'parameter' FROM a_parameter) GROUP BY 1, 2""")
-def _(m):
-    return export(m).groupBy("matter_id", "section").agg(F.count("body").alias("n"))
+# Of columns with one name in a table the first in order of the body is loaded.
+_loaded = "(SELECT *, row_number() OVER (PARTITION BY table_id, lower(name) ORDER BY name, position NULLS FIRST) AS copy FROM a_column QUALIFY copy = 1)"
 
 
-@query("import_export", """
-SELECT 'table' AS section, count(*) AS n FROM a_table UNION ALL SELECT 'column', count(DISTINCT (table_id, lower(name))) FROM a_column UNION ALL SELECT 'version', count(*) FROM a_prompt_version
-UNION ALL SELECT 'run', count(*) FROM a_run UNION ALL SELECT 'result', count(*) FROM a_eval UNION ALL SELECT 'dependency', count(*) FROM s_edge UNION ALL SELECT 'parameter', count(*) FROM a_parameter
-UNION ALL SELECT 'dropped', count(*) - count(DISTINCT (table_id, lower(name))) FROM a_column""")
+@query("import_export", f"""
+SELECT section, count(*) AS n, CAST(sum(h) AS BIGINT) AS digest FROM ({_sent(_loaded)}) GROUP BY 1
+UNION ALL SELECT 'dropped', count(*) - count(DISTINCT (table_id, lower(name))), NULL FROM a_column""")
 def _(m):
     path = new_folder(m.spark)
     X.write_export(export(m), path)
     loaded, dropped = X.import_export(m.spark.read.schema("body string, format_version int, matter_id bigint, section string").json(path))
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(s).alias("section"), "n") for s, df in loaded.items()]
-    parts.append(dropped.agg(F.sum("n").alias("n")).select(F.lit("dropped").alias("section"), "n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts = [df.agg(F.count("*").alias("n"), X.digest(s)).select(F.lit(s).alias("section"), "n", "digest") for s, df in loaded.items()]
+    parts.append(dropped.agg(F.sum("n").alias("n")).select(F.lit("dropped").alias("section"), "n", F.lit(None).cast("bigint").alias("digest")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("export_counts", """
