@@ -300,7 +300,7 @@ def _(m):
     X.write_export(export(m), path)
     loaded, dropped = X.import_export(m.spark.read.schema("body string, format_version int, matter_id bigint, section string").json(path))
     parts = [df.agg(F.count("*").alias("n"), X.digest(s)).select(F.lit(s).alias("section"), "n", "digest") for s, df in loaded.items()]
-    parts.append(dropped.agg(F.sum("n").alias("n")).select(F.lit("dropped").alias("section"), "n", F.lit(None).cast("bigint").alias("digest")))
+    parts.append(dropped.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("dropped").alias("section"), "n", F.lit(None).cast("bigint").alias("digest")))
     return reduce(DataFrame.unionByName, parts)
 
 
