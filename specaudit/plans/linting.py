@@ -198,7 +198,10 @@ def _union_sql(rules: list[str], where: str = "TRUE") -> str:
 
 @query("lint_prompts", _union_sql(_TEXT_RULES + _REF_RULES))
 def _(m):
-    return L.lint_prompts(prompts(m), m.a_column, cut(refs(m)))
+    # texts are read by every rule, names and references by several: each is worked out once
+    m.keep("a_column", cut(m.a_column))
+    texts = cut(prompts(m))
+    return L.lint_prompts(texts, m.a_column, cut(find_refs(texts.select("text_id", "table_id", "text"), m.a_column)))
 
 
 def live_prompts(m):
