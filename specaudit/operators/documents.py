@@ -45,22 +45,23 @@ def heading_fill(blocks: DataFrame) -> DataFrame:
         F.when(~F.col("is_heading"), "text").when(key.isin(vocab.PREAMBLE_HEADINGS), "preamble")
         .when(slot.isNotNull(), "field").otherwise("rule"))
     marked = blocks.select(
-        *DOC, "seq", "text", "is_heading", kind.alias("kind"), F.floor(F.col("seq") / _CHUNK).alias("run"),
+        *DOC, "seq", "text", "is_heading", kind.alias("kind"), F.greatest(F.floor(F.col("seq") / _CHUNK), F.lit(0)).alias("run"),
         F.when(kind.isin("rule", "preamble"), F.struct("seq", kind.alias("kind"), title.alias("title"))).alias("own"),
         F.when(kind == "field", F.struct("seq", slot.alias("slot"))).alias("fld"),
     )
-    inside = Window.partitionBy(*DOC, "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    local = marked.select(
-        *DOC, "seq", "text", "kind", "run",
-        F.last("own", ignorenulls=True).over(inside).alias("own"), F.last("fld", ignorenulls=True).over(inside).alias("fld"))
-    runs = marked.groupBy(*DOC, "run").agg(
-        F.max_by("own", F.when(F.col("own").isNotNull(), F.col("seq"))).alias("r_own"),
-        F.max_by("fld", F.when(F.col("fld").isNotNull(), F.col("seq"))).alias("r_fld"))
+    order = Window.partitionBy(*DOC, "run").orderBy("seq")
+    inside = order.rowsBetween(Window.unboundedPreceding, 0)
+    local = cut(marked.select(
+        *DOC, "seq", "text", "kind", "run", F.lead("seq").over(order).isNull().alias("at_end"),
+        F.last("own", ignorenulls=True).over(inside).alias("own"), F.last("fld", ignorenulls=True).over(inside).alias("fld")))
+    runs = local.where("at_end").select(*DOC, "run", F.col("own").alias("r_own"), F.col("fld").alias("r_fld"))
     before = Window.partitionBy(*DOC).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     carried = runs.select(
         *DOC, "run", F.last("r_own", ignorenulls=True).over(before).alias("c_own"), F.last("r_fld", ignorenulls=True).over(before).alias("c_fld"))
-    row = local.join(carried, [*DOC, "run"]).select(
+    # Nothing comes before the first run, so short documents are not sent out again.
+    later = local.where("run > 0 and kind = 'text'").join(carried, [*DOC, "run"]).select(
         *DOC, "seq", "text", "kind", F.coalesce("own", "c_own").alias("own"), F.coalesce("fld", "c_fld").alias("fld"))
+    row = local.where("run = 0").select(*DOC, "seq", "text", "kind", "own", "fld").unionByName(later)
     in_field = F.col("fld.seq") > F.coalesce(F.col("own.seq"), F.lit(-1))
     return row.where("kind = 'text'").select(
         *DOC, "seq", F.col("own.seq").alias("owner_seq"), F.col("own.kind").alias("owner_kind"), F.col("own.title").alias("heading"),

@@ -45,7 +45,7 @@ _head = "SELECT playbook_id, edition, position, name AS rule, "
 
 
 def filled(m):
-    return D.heading_fill(m.a_block)
+    return m.once("filled", lambda: D.heading_fill(m.a_block))
 
 
 def rules(m):
