@@ -89,6 +89,23 @@ def test_rerun_order_both_ways(spark):
         assert got == {1: want, 2: want}
 
 
+def test_many_small_roots_are_ordered_a_batch_per_call(spark):
+    """Roots with an order of their own each, told apart inside one batch, which is what tasks are called with."""
+    edges = [(a, b) for a in range(1, 9) for b in (a * 2, a * 2 + 1) if b < 9] + [(8, 1)]
+    rank = {n: (n % 3, -n, n) for n in range(1, 9)}
+    sets = {root: {n for n in rank if (root >> (n % 5)) & 1} for root in range(1, 200)}
+    rows = [(root, n, rank[n][0], rank[n][1]) for root, part in sets.items() for n in part]
+    affected = spark.createDataFrame(rows, "root long, node long, table_position int, position int")
+    ordered = G.rerun_order(edges_df(spark, edges), affected)
+    assert "FlatMapCoGroupsInPandas [batch" in ordered._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in sorted(ordered.collect()):
+        got.setdefault(r.root, []).append((r.seq, r.node))
+    for root, part in sets.items():
+        inner = [(a, b) for a, b in edges if a in part and b in part]
+        assert [n for _, n in sorted(got.get(root, []))] == brute_order(inner, {n: rank[n] for n in part})
+
+
 def test_closure_from_shared_root_label(spark):
     roots = spark.createDataFrame([(9, 1), (9, 2)], "root long, node long")
     got = {(r.node, r.depth) for r in G.downstream_closure(edges_df(spark, [(1, 2), (2, 3), (3, 4)]), roots).collect()}
