@@ -23,3 +23,10 @@ def test_texts_are_sent_to_their_order_and_to_their_owner_only(spark, name):
         assert 0 < len(sent) <= 2, plan
     finally:
         spark.conf.set(key, before)
+
+
+def test_text_sites_puts_the_texts_together_once(spark):
+    from specaudit.plans import all_builders
+
+    plan = all_builders()["text_sites"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan
