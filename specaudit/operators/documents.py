@@ -233,7 +233,6 @@ def preamble_restates(rules: DataFrame, filled: DataFrame) -> DataFrame:
 
 def document_level(rules: DataFrame, filled: DataFrame) -> DataFrame:
     """Document control, exhaustion default and rule count, from per-block tests folded per document."""
-    own = rules.select(*DOC, "name", "position")
     front = filled.where("text <> ''").where(
         (F.col("owner_kind") == "preamble") | ((F.col("owner_kind") == "rule") & F.col("slot").isNull()))
     in_rule = filled.where("owner_kind = 'rule' and slot is not null and text <> ''").select(*DOC, "owner_seq").distinct()
@@ -241,9 +240,8 @@ def document_level(rules: DataFrame, filled: DataFrame) -> DataFrame:
     seen = outside.groupBy(*DOC).agg(
         F.bool_or(T.matches(F.col("text"), vocab.DOCUMENT_CONTROL)).alias("control"),
         F.bool_or(T.matches(F.col("text"), "exhaustion")).alias("default_path"))
-    per = own.groupBy(*DOC).agg(F.count("*").alias("rules"))
-    paths = rules.groupBy(*DOC).agg(F.bool_or(F.col("on_exhaustion").isNotNull()).alias("rule_path"))
-    row = per.join(paths, DOC).join(seen, DOC, "left").fillna(False, ["control", "default_path"])
+    per = rules.groupBy(*DOC).agg(F.count("*").alias("rules"), F.bool_or(F.col("on_exhaustion").isNotNull()).alias("rule_path"))
+    row = per.join(seen, DOC, "left").fillna(False, ["control", "default_path"])
     codes = F.array_compact(F.array(
         F.when(~F.col("control"), F.lit("DOCUMENT_CONTROL_MISSING")),
         F.when(~F.col("default_path") & ~F.col("rule_path"), F.lit("EXHAUSTION_DEFAULT_MISSING")),

@@ -30,3 +30,10 @@ def test_text_sites_puts_the_texts_together_once(spark):
 
     plan = all_builders()["text_sites"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "row_number" not in plan
+
+
+def test_document_level_parses_the_rules_once(spark):
+    from specaudit.plans import all_builders
+
+    plan = all_builders()["document_level"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_collect_list") == 1
