@@ -14,10 +14,19 @@ MEMO_BYTES = 64 << 20  # the same bound for their bytes, in `values`
 
 # Fixed value: the split rule of the byte-level tokenizer for texts without the characters of _ODD, for which the regex
 # library and the tokenizer may differ on what is a letter, a number or a space. Texts with them are split by the tokenizer.
-_SPLIT_LATIN = re.compile(r"'(?:[stmd]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0180-\u200f\u2028-\u202f\u205f-\u20ab\u20ad-\U0010ffff]")
 
 
+def _listed(kind: str) -> str:
+    """A class of all characters of a kind that _ODD leaves: the library looks them up much faster than it judges a kind."""
+    own = (c for c in map(chr, range(0x2100)) if not _ODD.match(c) and re.match(kind, c))
+    return "[" + "".join(map(re.escape, own)) + "]"
+
+
+_LETTERS, _DIGITS, _SIGNS = map(_listed, (r"[^\W\d_]", r"\d", r"[^\s\w]|_"))
+_SPLIT_LATIN = re.compile(rf" ?{_LETTERS}+|'(?:[stmd]|ll|ve|re)| ?{_DIGITS}+| ?{_SIGNS}+|\s+(?!\S)|\s+")
+
+
 def _byte_characters() -> str:
     """The printable character by which a byte-level vocabulary writes each byte: itself, or the next free one from 256."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -28,6 +37,22 @@ def _byte_characters() -> str:
 _CHARACTERS = _byte_characters()
 
 
+class _Memo(dict):
+    """What is looked up and not held is worked out and kept; `held` counts its characters."""
+
+    def __init__(self, work_out: Callable[[str], object]):
+        self.work_out, self.held = work_out, 0
+
+    def __missing__(self, item: str) -> object:
+        self.held += len(item)
+        self[item] = value = self.work_out(item)
+        return value
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+
 class Vocabulary:
     """The tokenizer file, with a memo of `value(tokens)` per pre-token."""
 
@@ -35,8 +60,7 @@ class Vocabulary:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.value = value
-        self.memo: dict[str, object] = {}
-        self.held = 0
+        self.memo = _Memo(self._worked_out)
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = {text: value([Token(i, text, (0, len(text)))]) for text, i in added.items()}
         self._cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
@@ -59,27 +83,24 @@ class Vocabulary:
                 out.extend(self._pretokens(part))
         return out
 
+    def _worked_out(self, item: str) -> object:
+        if item in self.special:
+            return self.special[item]
+        return self.value(self.model.tokenize(charmap_decode(item.encode(), "strict", _CHARACTERS)[0]))
+
     def learn(self, items: Iterable[str]) -> dict[str, object]:
         """The memo, holding at least these items."""
         items = set(items)
         new = [x for x in items if x not in self.memo]
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
-            new = list(items)
-        memo, tokenize, value = self.memo, self.model.tokenize, self.value
+            new = items
         for x in new:
-            memo[x] = self.special[x] if x in self.special else value(tokenize(charmap_decode(x.encode(), "strict", _CHARACTERS)[0]))
-        return memo
+            self.memo[x]
+        return self.memo
 
     def values(self, items: list[str]) -> list:
-        """The value of each item, in order; one look at the memo where all are known."""
-        found = list(map(self.memo.get, items))
-        if None not in found:
-            return found
-        missing = {x for x, known in zip(items, found) if known is None}
-        if self.held > MEMO_BYTES or len(self.memo) + len(missing) > MEMO:
+        """The value of each item, in order. The memo passes its bounds by the items of one text at most."""
+        if self.memo.held > MEMO_BYTES or len(self.memo) > MEMO:
             self.memo.clear()
-            self.held, missing = 0, set(items)
-        self.held += sum(map(len, missing))
-        self.learn(missing)
         return list(map(self.memo.__getitem__, items))

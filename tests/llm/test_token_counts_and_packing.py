@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -10,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from specaudit.llm import pretokens
 from specaudit.llm.packing import balanced, pack
 from specaudit.llm.pretokens import Vocabulary
 from specaudit.llm.token_counts import token_counts
@@ -109,6 +111,31 @@ def test_values_with_a_full_memo(monkeypatch):
             assert [i for v in vocabulary.values(vocabulary.split(text)) for i in v] == ids(text)
 
 
+def test_values_are_looked_up_in_one_pass_and_worked_out_once():
+    class Items(list):
+        passes = 0
+
+        def __iter__(self):
+            self.passes += 1
+            return super().__iter__()
+
+    coded = []
+    vocabulary = Vocabulary(PATH, lambda tokens: coded.append(tokens) or [t.id for t in tokens])
+    coded.clear()  # the special tokens
+    items = Items(vocabulary.split("one two two three, one"))
+    assert [i for v in vocabulary.values(items) for i in v] == ids("one two two three, one")
+    assert items.passes == 1 and len(coded) == len(set(items))
+
+
+def test_listed_characters_split_as_their_kinds_do():
+    kinds = re.compile(r"'(?:[stmd]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+    rest = [c for c in map(chr, range(0x110000)) if not pretokens._ODD.match(c)]
+    rng = random.Random(3)
+    for c in rest:
+        text = f"a{c} {c}1{c}'{c}  {c}_" + "".join(rng.choices(rest, k=20))
+        assert pretokens._SPLIT_LATIN.findall(text) == kinds.findall(text)
+
+
 def test_packing_of_nothing(spark):
     assert pack(documents(spark, []), PATH).collect() == []
 
