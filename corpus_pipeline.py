@@ -20,7 +20,7 @@ from specaudit.session import cut
 
 BPE = "byte_bpe_50k.json"
 NEAR_WIDTH, NEAR_PERCENT = 5, 80  # looser than the op2 query's 3 words and 90 %
-BATCH_ROWS = 2500  # whole documents go through Python workers, which live from stage to stage: batches are kept small
+BATCH_ROWS = 1000  # whole documents go through Python workers, which live from stage to stage: batches are kept small
 
 
 def _small_batches(spark: SparkSession) -> None:

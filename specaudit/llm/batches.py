@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20  # texts worked on together; one longer text makes a slice of its own
 BLOCK_BYTES = 1 << 20  # bytes hashed together
+GROUP_BYTES = 1 << 20  # groups from this size on give their memory back one by one
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -40,15 +41,33 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             at = to
 
 
+def give_back() -> None:
+    """Free memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def tidied(work: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """`work`, after which free memory goes back to the system: a Python worker outlives its task and waits for another stage's."""
+    """`work`, before and after which free memory goes back to the system: a Python worker outlives its task and waits for another stage's."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
-        if trim is not None:
-            trim(0)
+        give_back()
+
+    return run
+
+
+def tidied_group(work: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """`work` on one group, after which free memory goes back to the system if the group was large."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = work(table)
+        if table.nbytes >= GROUP_BYTES:
+            give_back()
+        return out
 
     return run
 

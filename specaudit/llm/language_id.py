@@ -33,6 +33,7 @@ WINDOW = 24
 SAMPLE_DOCS, SAMPLE_WORDS = 300, 20_000  # per language
 HIDDEN, EPOCHS = 32, 3
 MEMO = 500_000  # runs remembered by one worker; beyond that it starts anew, with the same results
+TOGETHER = 1024  # windows of one length that pass through the network together
 UNKNOWN = "und"
 
 _SPACE = np.zeros(256, bool)
@@ -70,8 +71,8 @@ def pooled(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray)
     sizes = ends - starts
     for n in np.unique(sizes):
         same = np.flatnonzero(sizes == n)
-        for at in range(0, len(same), 4096):
-            own = same[at : at + 4096]
+        for at in range(0, len(same), TOGETHER):
+            own = same[at : at + TOGETHER]
             codes = data[starts[own, None] + np.arange(n)]
             prob, _ = gru.probabilities(model.params, codes)
             letter = _LETTER[codes]

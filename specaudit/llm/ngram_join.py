@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specaudit.llm.batches import SLICE_BYTES, free_name, mixed, sliced, text_bytes, tidied, window_hashes, word_borders, word_hashes
+from specaudit.llm.batches import SLICE_BYTES, free_name, mixed, sliced, text_bytes, tidied, tidied_group, window_hashes, word_borders, word_hashes
 from specaudit.operators.graph import components
 from specaudit.session import cut
 
@@ -396,7 +396,7 @@ def _grouped(sets: DataFrame, percent: int) -> DataFrame:
                 groups.join(fps[i], fps[q])
         return _members([(fp, groups.find(fp)) for fp in fps])
 
-    return _spread(sets, "block", "chunk").groupBy("block", "chunk").applyInArrow(one, _MEMBER)
+    return _spread(sets, "block", "chunk").groupBy("block", "chunk").applyInArrow(tidied_group(one), _MEMBER)
 
 
 def _links_to(sets: DataFrame, percent: int) -> DataFrame:
@@ -413,7 +413,7 @@ def _links_to(sets: DataFrame, percent: int) -> DataFrame:
         return _members(groups.pairs())
 
     keys = ["block", "chunk", "part"]
-    return _spread(sets, *keys).groupBy(*keys).applyInArrow(one, _MEMBER)
+    return _spread(sets, *keys).groupBy(*keys).applyInArrow(tidied_group(one), _MEMBER)
 
 
 def _dealt(sets: DataFrame, salt: int) -> DataFrame:

@@ -17,7 +17,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import os
 import struct
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specaudit.llm.batches import sliced, tidied
+from specaudit.llm.batches import sliced, tidied, tidied_group
 from specaudit.llm.pretokens import TOKEN_SLICE, Vocabulary
 
 GROUP_TOKENS = 1 << 18
@@ -39,9 +38,8 @@ PIECE = "row long, doc_id long, start long, length long, doc_tokens long, ids bi
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-@functools.cache
 def _vocabulary(path: str) -> Vocabulary:
-    """One per worker: what one task has learnt serves the next."""
+    """One per task: a worker that outlives the task keeps nothing of it."""
     return Vocabulary(path, lambda tokens: struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens]))
 
 
@@ -112,4 +110,4 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, closing: int = 1) ->
         return pa.table([*(pa.array(c, pa.int64()) for c in columns), pa.array(cut, pa.binary())], names=[*names, "ids"])
 
     pieces = tokenised(docs, path, capacity, closing).withColumn("grp", F.pmod(F.xxhash64("row", "start"), F.lit(groups))).drop("row")
-    return pieces.groupBy("grp").applyInArrow(one, PACKED)
+    return pieces.groupBy("grp").applyInArrow(tidied_group(one), PACKED)

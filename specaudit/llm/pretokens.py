@@ -60,9 +60,9 @@ class Vocabulary:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.value = value
-        self.memo = _Memo(self._worked_out)
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = {text: value([Token(i, text, (0, len(text)))]) for text, i in added.items()}
+        self.memo = _Memo(self._work_out())
         self._cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
         self._marks = list(added)
 
@@ -83,10 +83,13 @@ class Vocabulary:
                 out.extend(self._pretokens(part))
         return out
 
-    def _worked_out(self, item: str) -> object:
-        if item in self.special:
-            return self.special[item]
-        return self.value(self.model.tokenize(charmap_decode(item.encode(), "strict", _CHARACTERS)[0]))
+    def _work_out(self) -> Callable[[str], object]:
+        special, tokenize, value = self.special, self.model.tokenize, self.value  # without self: a cycle would outlive the task
+
+        def work_out(item: str) -> object:
+            return special[item] if item in special else value(tokenize(charmap_decode(item.encode(), "strict", _CHARACTERS)[0]))
+
+        return work_out
 
     def learn(self, items: Iterable[str]) -> dict[str, object]:
         """The memo, holding at least these items."""

@@ -38,3 +38,17 @@ def test_windows_do_not_cross_texts():
 
 def test_free_name():
     assert B.free_name(["A", "a_"], "a") == "a__"
+
+
+def test_memory_goes_back_before_and_after_a_task_and_after_a_large_group(monkeypatch):
+    done = []
+    monkeypatch.setattr(B, "give_back", lambda: done.append("back"))
+    batch = pa.RecordBatch.from_pydict({"text": ["a"]})
+    for part in B.tidied(lambda batches: iter(batches))([batch, batch]):
+        done.append(part.num_rows)
+    assert done == ["back", 1, 1, "back"]
+    done.clear()
+    for size in (1, B.GROUP_BYTES):
+        table = pa.table({"text": ["a" * size]})
+        assert B.tidied_group(lambda t: t)(table) is table
+    assert done == ["back"]

@@ -1,5 +1,7 @@
+import gc
 import random
 import re
+import weakref
 import zlib
 from collections import defaultdict
 
@@ -11,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from specaudit.llm import pretokens
+from specaudit.llm import packing, pretokens
 from specaudit.llm.packing import balanced, pack
 from specaudit.llm.pretokens import Vocabulary
 from specaudit.llm.token_counts import token_counts
@@ -136,6 +138,18 @@ def test_listed_characters_split_as_their_kinds_do():
         assert pretokens._SPLIT_LATIN.findall(text) == kinds.findall(text)
 
 
+def test_a_task_leaves_no_vocabulary_behind():
+    vocabulary = packing._vocabulary(PATH)
+    vocabulary.values(["a", "b"])
+    kept = weakref.ref(vocabulary)
+    gc.disable()  # nothing but counted references is needed
+    try:
+        del vocabulary
+        assert kept() is None
+    finally:
+        gc.enable()
+
+
 def test_packing_of_nothing(spark):
     assert pack(documents(spark, []), PATH).collect() == []
 
