@@ -32,42 +32,90 @@ def parse_rule_blocks(documents: DataFrame) -> DataFrame:
     )
 
 
+def heading_runs(blocks: DataFrame) -> DataFrame:
+    """(DOC, run, owner_seq, owner_kind, heading, fld, items, at_end, before): the texts under one heading in one run, as one row.
+
+    A run is a few thousand blocks of a document, so a very long document is spread over many tasks. `owner_seq` is the last
+    rule or preamble heading before the texts inside their run, null before the first; `items` are the texts with the field
+    they belong to, `fld` is the last field heading up to there, `at_end` marks a run's last heading and `before` counts the rules of the
+    run before this one. Texts are sent out once, and every heading is judged once, before that.
+    """
+    heading = F.coalesce("is_heading", F.lit(True))
+    row = blocks.select(*DOC, "seq", heading.alias("is_heading"), T.strip(F.col("text")).alias("text"))
+    row = row.withColumn("key", F.when(F.col("is_heading"), F.rtrim(F.lower("text"), F.lit(":"))))
+    row = row.withColumn("slot", literal_map(vocab.FIELD_HEADINGS)[F.col("key")])
+    row = row.withColumn("kind", F.when(~F.col("is_heading"), "text").when(F.col("key").isin(vocab.PREAMBLE_HEADINGS), "preamble").when(
+        F.col("slot").isNotNull(), "field").otherwise("rule"))
+    marked = row.select(
+        *DOC, F.greatest(F.floor(F.col("seq") / _CHUNK), F.lit(0)).alias("run"), "seq", "kind", F.when(F.col("kind") != "field", F.col("text")).alias("text"),
+        F.when(F.col("kind") == "field", F.struct("seq", "slot")).alias("fld"))
+    own = F.col("kind").isin("rule", "preamble")
+    inside = Window.partitionBy(*DOC, "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    placed = marked.select(
+        *DOC, "run", "seq", "kind", "text", F.max(F.when(own, F.col("seq"))).over(inside).alias("owner_seq"), F.last("fld", ignorenulls=True).over(inside).alias("fld"))
+    in_field = F.col("fld.seq") > F.coalesce(F.col("owner_seq"), F.lit(-1))
+    item = F.struct("seq", F.when(in_field, F.col("fld.seq")).alias("slot_seq"), F.when(in_field, F.col("fld.slot")).alias("slot"), "text")
+    groups = placed.groupBy(*DOC, "run", "owner_seq").agg(
+        F.first(F.when(own, F.col("kind")), ignorenulls=True).alias("owner_kind"), F.first(F.when(own, F.col("text")), ignorenulls=True).alias("heading"), F.max("fld").alias("fld"),
+        F.sort_array(F.collect_list(F.when(F.col("kind") == "text", item))).alias("items"))
+    order = Window.partitionBy(*DOC, "run").orderBy("owner_seq")
+    return cut(groups.withColumn("is_rule", _is_rule()).select(
+        *DOC, "run", "owner_seq", "owner_kind", "heading", "fld", "items", (F.row_number().over(order) == F.count("*").over(order.rowsBetween(
+            Window.unboundedPreceding, Window.unboundedFollowing))).alias("at_end"),
+        (F.count_if("is_rule").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("is_rule").cast("int")).alias("before")))
+
+
+def _is_rule() -> Column:
+    """A heading with a text in a field; one without any field is a section."""
+    return F.coalesce((F.col("owner_kind") == "rule") & F.exists("items", lambda i: (i["text"] != "") & i["slot"].isNotNull()), F.lit(False))
+
+
+def _owned(runs: DataFrame) -> DataFrame:
+    """The texts before a run's first heading get the heading and the field that earlier runs ended with."""
+    last = runs.where("at_end").select(
+        *DOC, "run", F.when(F.col("owner_seq").isNotNull(), F.struct("owner_seq", "owner_kind", "heading")).alias("own"), "fld")
+    before = Window.partitionBy(*DOC).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*DOC, "run", F.last("own", ignorenulls=True).over(before).alias("c_own"), F.last("fld", ignorenulls=True).over(before).alias("c_fld"))
+    # Nothing comes before the first run, so short documents are not sent out again.
+    open_ = "run > 0 and owner_seq is null"
+    in_field = F.col("c_fld.seq") > F.coalesce(F.col("c_own.owner_seq"), F.lit(-1))
+    items = F.transform("items", lambda i: F.when(i["slot_seq"].isNotNull() | F.coalesce(~in_field, F.lit(True)), i).otherwise(F.struct(
+        i["seq"].alias("seq"), F.col("c_fld.seq").alias("slot_seq"), F.col("c_fld.slot").alias("slot"), i["text"].alias("text"))))
+    kept = [*DOC, "run", "at_end", "before"]
+    later = runs.where(open_).join(carried, [*DOC, "run"]).select(*kept, "c_own.owner_seq", "c_own.owner_kind", "c_own.heading", items.alias("items"))
+    return runs.where(f"not ({open_})").select(*kept, "owner_seq", "owner_kind", "heading", "items").unionByName(later)
+
+
+def fill_of_runs(runs: DataFrame) -> DataFrame:
+    """Each text with the heading that owns it and the field it belongs to."""
+    return _owned(runs).select(*DOC, "owner_seq", "owner_kind", "heading", F.inline("items")).select(
+        *DOC, "seq", "owner_seq", "owner_kind", "heading", F.when(F.col("owner_kind") == "rule", F.col("slot")).alias("slot"), "slot_seq", "text")
+
+
 def heading_fill(blocks: DataFrame) -> DataFrame:
     """Each block with the heading that owns it and the field it belongs to.
 
     The last heading before a block is found in two steps: inside runs of a few thousand blocks, then
     across runs, so a very long document is spread over many tasks.
     """
-    title = T.strip(F.col("text"))
-    key = F.regexp_replace(F.lower(title), ":+$", "")
-    slot = literal_map(vocab.FIELD_HEADINGS)[key]
-    kind = (
-        F.when(~F.col("is_heading"), "text").when(key.isin(vocab.PREAMBLE_HEADINGS), "preamble")
-        .when(slot.isNotNull(), "field").otherwise("rule"))
-    marked = blocks.select(
-        *DOC, "seq", "text", "is_heading", kind.alias("kind"), F.greatest(F.floor(F.col("seq") / _CHUNK), F.lit(0)).alias("run"),
-        F.when(kind.isin("rule", "preamble"), F.struct("seq", kind.alias("kind"), title.alias("title"))).alias("own"),
-        F.when(kind == "field", F.struct("seq", slot.alias("slot"))).alias("fld"),
-    )
-    order = Window.partitionBy(*DOC, "run").orderBy("seq")
-    inside = order.rowsBetween(Window.unboundedPreceding, 0)
-    local = cut(marked.select(
-        *DOC, "seq", "text", "kind", "run", F.lead("seq").over(order).isNull().alias("at_end"),
-        F.last("own", ignorenulls=True).over(inside).alias("own"), F.last("fld", ignorenulls=True).over(inside).alias("fld")))
-    runs = local.where("at_end").select(*DOC, "run", F.col("own").alias("r_own"), F.col("fld").alias("r_fld"))
-    before = Window.partitionBy(*DOC).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    carried = runs.select(
-        *DOC, "run", F.last("r_own", ignorenulls=True).over(before).alias("c_own"), F.last("r_fld", ignorenulls=True).over(before).alias("c_fld"))
-    # Nothing comes before the first run, so short documents are not sent out again.
-    later = local.where("run > 0 and kind = 'text'").join(carried, [*DOC, "run"]).select(
-        *DOC, "seq", "text", "kind", F.coalesce("own", "c_own").alias("own"), F.coalesce("fld", "c_fld").alias("fld"))
-    row = local.where("run = 0").select(*DOC, "seq", "text", "kind", "own", "fld").unionByName(later)
-    in_field = F.col("fld.seq") > F.coalesce(F.col("own.seq"), F.lit(-1))
-    return row.where("kind = 'text'").select(
-        *DOC, "seq", F.col("own.seq").alias("owner_seq"), F.col("own.kind").alias("owner_kind"), F.col("own.title").alias("heading"),
-        F.when(in_field & (F.col("own.kind") == "rule"), F.col("fld.slot")).alias("slot"),
-        F.when(in_field, F.col("fld.seq")).alias("slot_seq"), T.strip(F.col("text")).alias("text"),
-    )
+    return fill_of_runs(heading_runs(blocks))
+
+
+def rules_of_runs(runs: DataFrame) -> DataFrame:
+    """The rules that `parse_rules` finds in the same blocks.
+
+    Only the last heading of a document's first run, and later runs, can have texts in several rows; these are put together and
+    numbered after the others, which are whole and numbered already, so their texts are not sent out again.
+    """
+    owned = _owned(runs)
+    whole = owned.where("run = 0 and not at_end").where(_is_rule()).select(*DOC, (F.col("before") + 1).cast("int").alias("position"), F.col("heading").alias("name"), "items")
+    joined = owned.where("run > 0 or at_end").groupBy(*DOC, "owner_seq").agg(
+        F.first("owner_kind").alias("owner_kind"), F.first("heading").alias("name"), F.sort_array(F.flatten(F.collect_list("items"))).alias("items"),
+        F.max(F.when(F.col("run") == 0, F.col("before"))).alias("before")).withColumn("is_rule", _is_rule())
+    document = Window.partitionBy(*DOC)
+    number = F.count_if("is_rule").over(document.orderBy("owner_seq").rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.max("before").over(document), F.lit(0))
+    rest = joined.withColumn("position", number.cast("int")).where("is_rule").select(*DOC, "position", "name", "items")
+    return _fields(whole.unionByName(rest).withColumn("items", F.filter("items", lambda i: i["text"] != "")))
 
 
 def parse_rules(filled: DataFrame) -> DataFrame:
@@ -75,6 +123,13 @@ def parse_rules(filled: DataFrame) -> DataFrame:
     body = filled.where("owner_kind = 'rule' and text <> ''")
     item = F.struct("seq", "slot_seq", "slot", "text")
     rules = body.groupBy(*DOC, "owner_seq").agg(F.first("heading").alias("name"), F.sort_array(F.collect_list(item)).alias("items"))
+    w = Window.partitionBy(*DOC).orderBy("owner_seq")
+    found = rules.where(F.exists("items", lambda i: i["slot"].isNotNull())).withColumn("position", F.row_number().over(w))
+    return _fields(found)
+
+
+def _fields(rules: DataFrame) -> DataFrame:
+    """The fields of each rule, from its items (seq, slot_seq, slot, text) in order."""
 
     def texts(slot: str) -> Column:
         return F.transform(F.filter("items", lambda i: i["slot"] == slot), lambda i: i["text"])
@@ -82,7 +137,7 @@ def parse_rules(filled: DataFrame) -> DataFrame:
     def last_part(*slots: str) -> Column:
         """The items of the last non-empty occurrence of a field, which replaces earlier ones."""
         mine = F.filter("items", lambda i: i["slot"].isin(*slots))
-        return F.filter(mine, lambda i: i["slot_seq"] == F.array_max(F.transform(mine, lambda j: j["slot_seq"])))
+        return T.let(mine, lambda m: F.filter(m, lambda i: i["slot_seq"] == F.element_at(m, -1)["slot_seq"]))
 
     def joined(slot: str) -> Column:
         return F.array_join(F.transform(last_part(slot), lambda i: i["text"]), "\n")
@@ -91,13 +146,10 @@ def parse_rules(filled: DataFrame) -> DataFrame:
     yes = F.startswith(F.lower(flag["text"]), F.lit("y"))
     required = F.when(flag["slot"] == "required", yes).when(flag["slot"] == "optional", ~yes)
     wide = rules.select(
-        *DOC, "owner_seq", "name", joined("standard").alias("standard"), texts("acceptable").alias("acceptable"),
+        *DOC, "position", "name", joined("standard").alias("standard"), texts("acceptable").alias("acceptable"),
         texts("unacceptable").alias("unacceptable"), joined("guidance").alias("guidance"), texts("workflow").alias("workflow"),
-        required.alias("required"), F.exists("items", lambda i: i["slot"].isNotNull()).alias("is_rule"),
-    ).where("is_rule").drop("is_rule")
-    w = Window.partitionBy(*DOC).orderBy("owner_seq")
-    g = T.guidance_fields(F.col("guidance"))
-    return wide.withColumn("position", F.row_number().over(w)).withColumn("g", g).select(
+        required.alias("required"))
+    return wide.withColumn("g", T.guidance_fields(F.col("guidance"))).select(
         *DOC, "position", "name", "standard", "acceptable", "unacceptable", "guidance", "workflow", "required",
         "g.rule_id", "g.depends_on", "g.precedence", "g.on_exhaustion", "g.source", "g.reviewed",
     )
@@ -288,7 +340,11 @@ def pair_rules(before: DataFrame, after: DataFrame) -> DataFrame:
     choice no earlier rule could still claim; the result is that of going one by one.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select("playbook_id", F.col("position").alias(name), "rule_id", T.norm_rule_name(F.col("name")).alias("name_key"), T.content_tokens(_body(df)).alias("tokens"))
+        return df.select("playbook_id", F.col("position").alias(name), "rule_id", T.norm_rule_name(F.col("name")).alias("name_key"))
+
+    def texts(df: DataFrame, rest: DataFrame, name: str) -> DataFrame:
+        row = df.withColumnRenamed("position", name).join(cut(rest.select("playbook_id", name)), ["playbook_id", name])
+        return row.select("playbook_id", F.concat(F.lit(name[0]), name).alias("id"), _body(df).alias("body"))
 
     b, a = cut(side(before, "before")), cut(side(after, "after"))
 
@@ -301,9 +357,11 @@ def pair_rules(before: DataFrame, after: DataFrame) -> DataFrame:
     b1 = b.join(by_id, ["playbook_id", "before"], "left_anti")
     a1 = a.join(by_id, ["playbook_id", "after"], "left_anti")
     by_name = cut(match(b1, a1, "name_key", "name"))
-    b2 = b1.join(by_name, ["playbook_id", "before"], "left_anti").select("playbook_id", F.concat(F.lit("b"), "before").alias("id"), "tokens")
-    a2 = a1.join(by_name, ["playbook_id", "after"], "left_anti").select("playbook_id", F.concat(F.lit("a"), "after").alias("id"), "tokens")
-    both = cut(b2.unionByName(a2).where(F.size("tokens") > 0))
+    b2 = texts(before, b1.join(by_name, ["playbook_id", "before"], "left_anti"), "before")
+    a2 = texts(after, a1.join(by_name, ["playbook_id", "after"], "left_anti"), "after")
+    # Written first, or all rules would be taken apart into tokens before that join, for the sake of the filter.
+    rest = cut(b2.unionByName(a2))
+    both = cut(rest.select("playbook_id", "id", T.content_tokens(F.col("body")).alias("tokens")).where(F.size("tokens") > 0))
     links = similar_sets(both, ["playbook_id"], vocab.RENAME_SIMILARITY).where("a like 'a%' and b like 'b%'")
     left = cut(links.select(
         "playbook_id", F.expr("cast(substring(b, 2) as int)").alias("before"), F.expr("cast(substring(a, 2) as int)").alias("after"), "score"))
@@ -319,14 +377,16 @@ def pair_rules(before: DataFrame, after: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, settled)
 
 
-def _sides(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    b = before.select("playbook_id", F.col("position").alias("before"), F.struct("name", "rule_id", "guidance", "required", _body(before).alias("body"), T.norm_rule_name(F.col("name")).alias("key")).alias("b"))
-    a = after.select("playbook_id", F.col("position").alias("after"), F.struct("name", "rule_id", "guidance", "required", _body(after).alias("body"), T.norm_rule_name(F.col("name")).alias("key")).alias("a"))
+def _sides(pairs: DataFrame, before: DataFrame, after: DataFrame, *more: Column) -> DataFrame:
+    fields = ["name", "rule_id", T.norm_rule_name(F.col("name")).alias("key"), *more]
+    b = before.select("playbook_id", F.col("position").alias("before"), F.struct(*fields).alias("b"))
+    a = after.select("playbook_id", F.col("position").alias("after"), F.struct(*fields).alias("a"))
     return b.join(pairs, ["playbook_id", "before"], "left").join(a, ["playbook_id", "after"], "full")
 
 
 def diff_counts(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    row = _sides(pairs, before, after)
+    # Digests meet instead of the texts, which are only compared for being the same.
+    row = _sides(pairs, before, after, F.col("required"), F.sha2(_body(before), 256).alias("body"), F.sha2("guidance", 256).alias("guidance"))
     c = F.col
     matched = c("a").isNotNull() & c("b").isNotNull()
     exact = matched & (c("matched_by") != "content")

@@ -44,16 +44,21 @@ ON a.playbook_id = b.playbook_id AND a.edition = b.edition AND a.position <> b.p
 _head = "SELECT playbook_id, edition, position, name AS rule, "
 
 
+def runs(m):
+    return m.once("heading_runs", lambda: D.heading_runs(m.a_block))
+
+
 def filled(m):
-    return m.once("filled", lambda: D.heading_fill(m.a_block))
+    return m.once("filled", lambda: D.fill_of_runs(runs(m)))
 
 
 def rules(m):
-    return D.parse_rules(filled(m))
+    return D.rules_of_runs(runs(m))
 
 
-def editions(m):
-    r = cut(rules(m))
+def editions(m, *columns):
+    """Both editions with no other fields of the rules than these, or all; fields left out are not even looked for."""
+    r = cut(rules(m).select(*D.DOC, "position", "name", *columns) if columns else rules(m))
     return r.where("edition = 1"), r.where("edition = 2")
 
 
@@ -204,7 +209,7 @@ def _(m):
 
 
 def paired(m):
-    b, a = editions(m)
+    b, a = editions(m, "standard", "acceptable", "unacceptable", "guidance", "required", "rule_id", "precedence")
     return cut(D.pair_rules(b, a)), b, a
 
 
