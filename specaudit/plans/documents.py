@@ -208,8 +208,8 @@ def _(m):
     return D.remedy_lookup(D.deviation_missing(rules(m))).select("playbook_id", "edition", "position", "code", "remedy")
 
 
-def paired(m):
-    b, a = editions(m, "standard", "acceptable", "unacceptable", "guidance", "required", "rule_id", "precedence")
+def paired(m, *columns):
+    b, a = editions(m, "standard", "acceptable", "unacceptable", "rule_id", *columns)
     return cut(D.pair_rules(b, a)), b, a
 
 
@@ -220,7 +220,7 @@ def _(m):
 
 @query("diff_counts")
 def _(m):
-    return D.diff_counts(*paired(m))
+    return D.diff_counts(*paired(m, "guidance", "required"))
 
 
 @query("rename_findings")
@@ -243,9 +243,9 @@ def _(m):
 
 @query("former_name_mentions")
 def _(m):
-    return D.former_name_mentions(*paired(m))
+    return D.former_name_mentions(*paired(m, "guidance", "precedence"))
 
 
 @query("rule_removed")
 def _(m):
-    return D.rule_removed(*paired(m))
+    return D.rule_removed(*paired(m, "guidance", "required", "precedence"))
