@@ -248,4 +248,4 @@ def _(m):
 
 @query("rule_removed")
 def _(m):
-    return D.rule_removed(*paired(m, "guidance", "required", "precedence"))
+    return D.rule_removed(*paired(m, "precedence"))
