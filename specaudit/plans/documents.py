@@ -126,14 +126,14 @@ def _(m):
 
 @query("rule_name_mentions", "SELECT * FROM s_mention")
 def _(m):
-    return D.rule_name_mentions(cut(rules(m)))
+    return D.rule_name_mentions(cut(rules(m).select(*D.DOC, "position", "name", "precedence")))
 
 
 @query("precedence_one_sided", """
 SELECT playbook_id, edition, position, rule_a AS rule, 'PRECEDENCE_ONE_SIDED' AS code, rule_b AS evidence FROM s_mention a
 WHERE NOT EXISTS (SELECT 1 FROM s_mention b WHERE b.playbook_id = a.playbook_id AND b.edition = a.edition AND b.position = a.position_b AND b.position_b = a.position)""")
 def _(m):
-    return D.precedence_one_sided(cut(rules(m)))
+    return D.precedence_one_sided(cut(rules(m).select(*D.DOC, "position", "name", "precedence")))
 
 
 @query("rule_name_prefix_pairs", "SELECT * FROM s_prefix")

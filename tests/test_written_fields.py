@@ -9,7 +9,7 @@ from specaudit.sources.views import Model
 BODY = ["standard", "acceptable", "unacceptable", "rule_id"]
 
 
-@pytest.mark.parametrize("name, fields", [("rename_findings", BODY), ("rule_removed", [*BODY, "precedence"])])
+@pytest.mark.parametrize("name, fields", [("rename_findings", BODY), ("rule_removed", [*BODY, "precedence"]), ("precedence_one_sided", ["precedence"])])
 def test_written_fields(spark, monkeypatch, name, fields):
     seen, write = [], P.cut
     monkeypatch.setattr(P, "cut", lambda df: seen.append(df.columns) or write(df))
