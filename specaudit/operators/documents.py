@@ -32,13 +32,14 @@ def parse_rule_blocks(documents: DataFrame) -> DataFrame:
     )
 
 
-def heading_runs(blocks: DataFrame) -> DataFrame:
+def heading_runs(blocks: DataFrame, akin: bool = False) -> DataFrame:
     """(DOC, run, owner_seq, owner_kind, heading, fld, items, at_end, before): the texts under one heading in one run, as one row.
 
     A run is a few thousand blocks of a document, so a very long document is spread over many tasks. `owner_seq` is the last
     rule or preamble heading before the texts inside their run, null before the first; `items` are the texts with the field
     they belong to, `fld` is the last field heading up to there, `at_end` marks a run's last heading and `before` counts the rules of the
-    run before this one. Texts are sent out once, and every heading is judged once, before that.
+    run before this one. Texts are sent out once, and every heading is judged once, before that. With `akin`, a column says
+    whether a heading starts or continues another of its run, or stands in its preamble (see `akin_texts`).
     """
     heading = F.coalesce("is_heading", F.lit(True))
     row = blocks.select(*DOC, "seq", heading.alias("is_heading"), T.strip(F.col("text")).alias("text"))
@@ -59,12 +60,27 @@ def heading_runs(blocks: DataFrame) -> DataFrame:
         F.first(F.when(own, F.col("kind")), ignorenulls=True).alias("owner_kind"), F.first(F.when(own, F.col("text")), ignorenulls=True).alias("heading"), F.max("fld").alias("fld"),
         F.sort_array(F.collect_list(F.when(F.col("kind") == "text", item))).alias("items"))
     order = Window.partitionBy(*DOC, "run").orderBy("owner_seq")
+    more = [_akin().alias("akin")] if akin else []
     return cut(groups.withColumn("is_rule", _is_rule()).select(
-        *DOC, "run", "owner_seq", "owner_kind", "heading", "fld", "items", (F.row_number().over(order) == F.count("*").over(order.rowsBetween(
+        *more, *DOC, "run", "owner_seq", "owner_kind", "heading", "fld", "items", (F.row_number().over(order) == F.count("*").over(order.rowsBetween(
             Window.unboundedPreceding, Window.unboundedFollowing))).alias("at_end"),
         (F.count_if("is_rule").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("is_rule").cast("int")).alias("before")))
 
 
+def _short_name(name: Column) -> Column:
+    return T.strip(F.substring_index(F.lower(name), " / ", 1))
+
+
+def _akin() -> Column:
+    """Whether the heading starts or continues another of its run, or stands in the run's preamble."""
+    run = Window.partitionBy(*DOC, "run")
+    low = F.when(F.col("owner_kind") == "rule", F.lower("heading"))
+    names = F.collect_set(low).over(run)
+    front = F.collect_list(F.when(F.col("owner_kind") == "preamble", F.transform("items", lambda i: i["text"]))).over(run)
+    kin = F.exists(names, lambda n: F.startswith(low, F.concat(n, F.lit(" "))) | F.startswith(n, F.concat(low, F.lit(" "))))
+    return F.coalesce(kin | F.contains(F.lower(F.array_join(F.flatten(front), "\n")), _short_name(F.col("heading"))), F.lit(True))
+
+
 def _is_rule() -> Column:
     """A heading with a text in a field; one without any field is a section."""
     return F.coalesce((F.col("owner_kind") == "rule") & F.exists("items", lambda i: (i["text"] != "") & i["slot"].isNotNull()), F.lit(False))
@@ -81,7 +97,7 @@ def _owned(runs: DataFrame) -> DataFrame:
     in_field = F.col("c_fld.seq") > F.coalesce(F.col("c_own.owner_seq"), F.lit(-1))
     items = F.transform("items", lambda i: F.when(i["slot_seq"].isNotNull() | F.coalesce(~in_field, F.lit(True)), i).otherwise(F.struct(
         i["seq"].alias("seq"), F.col("c_fld.seq").alias("slot_seq"), F.col("c_fld.slot").alias("slot"), i["text"].alias("text"))))
-    kept = [*DOC, "run", "at_end", "before"]
+    kept = [*DOC, "run", "at_end", "before", *(c for c in ("akin",) if c in runs.columns)]
     later = runs.where(open_).join(carried, [*DOC, "run"]).select(*kept, "c_own.owner_seq", "c_own.owner_kind", "c_own.heading", items.alias("items"))
     return runs.where(f"not ({open_})").select(*kept, "owner_seq", "owner_kind", "heading", "items").unionByName(later)
 
@@ -107,15 +123,35 @@ def rules_of_runs(runs: DataFrame) -> DataFrame:
     Only the last heading of a document's first run, and later runs, can have texts in several rows; these are put together and
     numbered after the others, which are whole and numbered already, so their texts are not sent out again.
     """
+    whole, rest = _whole_rules(runs)
+    return _fields(whole.unionByName(rest))
+
+
+def _whole_rules(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rules that are whole in a document's first run, and the others; each with its texts."""
     owned = _owned(runs)
-    whole = owned.where("run = 0 and not at_end").where(_is_rule()).select(*DOC, (F.col("before") + 1).cast("int").alias("position"), F.col("heading").alias("name"), "items")
+    more = [c for c in ("akin",) if c in runs.columns]
+    whole = owned.where("run = 0 and not at_end").where(_is_rule()).select(*DOC, (F.col("before") + 1).cast("int").alias("position"), F.col("heading").alias("name"), "items", *more)
     joined = owned.where("run > 0 or at_end").groupBy(*DOC, "owner_seq").agg(
         F.first("owner_kind").alias("owner_kind"), F.first("heading").alias("name"), F.sort_array(F.flatten(F.collect_list("items"))).alias("items"),
-        F.max(F.when(F.col("run") == 0, F.col("before"))).alias("before")).withColumn("is_rule", _is_rule())
+        F.max(F.when(F.col("run") == 0, F.col("before"))).alias("before"), *(F.lit(True).alias(c) for c in more)).withColumn("is_rule", _is_rule())
     document = Window.partitionBy(*DOC)
     number = F.count_if("is_rule").over(document.orderBy("owner_seq").rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.max("before").over(document), F.lit(0))
-    rest = joined.withColumn("position", number.cast("int")).where("is_rule").select(*DOC, "position", "name", "items")
-    return _fields(whole.unionByName(rest).withColumn("items", F.filter("items", lambda i: i["text"] != "")))
+    rest = joined.withColumn("position", number.cast("int")).where("is_rule").select(*DOC, "position", "name", "items", *more)
+    told = F.filter("items", lambda i: i["text"] != "")
+    return whole.withColumn("items", told), rest.withColumn("items", told)
+
+
+def akin_texts(runs: DataFrame) -> DataFrame:
+    """(DOC, position, standard, acceptable) of all rules that another rule or the preamble may be compared with, and of some more.
+
+    Which these are was seen where a run was put in order (`heading_runs` with `akin`), so texts that nothing is compared with
+    are not sent out. Of documents of several runs, and of a run's last heading, all are taken.
+    """
+    whole, rest = _whole_rules(runs)
+    several = cut(runs.where("run > 0").select(*DOC).distinct())
+    others = whole.where("not akin").join(several, DOC, "left_semi")
+    return _fields(whole.where("akin").unionByName(others).unionByName(rest)).select(*DOC, "position", "standard", "acceptable")
 
 
 def parse_rules(filled: DataFrame) -> DataFrame:
@@ -256,11 +292,13 @@ def rule_name_prefix_pairs(rules: DataFrame) -> DataFrame:
     return child.join(parent, [*DOC, "key"]).where("position <> position_b").select(*DOC, "position", "position_b", "rule_a", "rule_b")
 
 
-def parent_child_duplication(rules: DataFrame) -> DataFrame:
+def parent_child_duplication(rules: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """`texts`: DOC, position, standard, acceptable of the rules that are in pairs, or of more (`akin_texts`); else those of `rules`."""
+    texts = rules if texts is None else texts
     pairs = rule_name_prefix_pairs(rules)
     blob = F.array_join(F.concat("acceptable", F.array("standard")), " ")
-    up = rules.select(*DOC, "position", T.content_tokens(blob).alias("up"))
-    down = rules.where("standard <> ''").select(*DOC, F.col("position").alias("position_b"), T.content_tokens(F.col("standard")).alias("down"))
+    up = texts.select(*DOC, "position", T.content_tokens(blob).alias("up"))
+    down = texts.where("standard <> ''").select(*DOC, F.col("position").alias("position_b"), T.content_tokens(F.col("standard")).alias("down"))
     row = pairs.join(up, [*DOC, "position"]).join(down, [*DOC, "position_b"]).withColumn("overlap", T.token_containment(F.col("down"), F.col("up")))
     return row.where(F.col("overlap") >= vocab.CHILD_CONTAINMENT).select(
         *DOC, F.col("position_b").alias("position"), F.col("rule_b").alias("rule"), F.col("rule_a").alias("parent"), F.round("overlap", 2).alias("overlap"))
@@ -271,11 +309,12 @@ def preambles(filled: DataFrame) -> DataFrame:
     return filled.where("owner_kind = 'preamble' and text <> ''").groupBy(*DOC).agg(F.array_join(lines, "\n").alias("preamble"))
 
 
-def preamble_restates(rules: DataFrame, filled: DataFrame) -> DataFrame:
-    """Rules whose position the preamble repeats near the first mention of their name."""
-    name = T.strip(F.substring_index(F.lower("name"), " / ", 1))
-    row = rules.join(preambles(filled), DOC).withColumns({"low": F.lower("preamble"), "short": name})
+def preamble_restates(rules: DataFrame, filled: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Rules whose position the preamble repeats near the first mention of their name. `texts` as in `parent_child_duplication`."""
+    names = rules if texts is None else rules.select(*DOC, "position", "name")
+    row = names.join(preambles(filled), DOC).withColumns({"low": F.lower("preamble"), "short": _short_name(F.col("name"))})
     row = row.where((F.length("short") >= vocab.PREAMBLE_NAME_MIN) & F.contains("low", "short"))
+    row = row if texts is None else row.join(texts, [*DOC, "position"])
     at = F.expr("locate(short, low)")
     window = F.substring(F.col("low"), at, F.lit(vocab.PREAMBLE_WINDOW))
     body = F.array_join(F.concat(F.array("standard"), "acceptable"), " ")
@@ -309,14 +348,14 @@ def rule_counts(rules: DataFrame) -> DataFrame:
         F.count_if(F.coalesce("required", F.lit(False))).alias("required"))
 
 
-def document_findings(rules: DataFrame, filled: DataFrame) -> DataFrame:
-    """Every check of the document audit in one table."""
+def document_findings(rules: DataFrame, filled: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Every check of the document audit in one table. `texts` as in `parent_child_duplication`."""
     dup = duplicate_rule_ids(rules).select(*DOC, F.lit(0).alias("position"), F.col("name").alias("rule"), F.lit("RULE_ID_DUPLICATE").alias("code"), F.col("other").alias("evidence"))
-    kids = parent_child_duplication(rules).select(*DOC, "position", "rule", F.lit("PARENT_CHILD_DUPLICATION").alias("code"), F.col("parent").alias("evidence"))
+    kids = parent_child_duplication(rules, texts).select(*DOC, "position", "rule", F.lit("PARENT_CHILD_DUPLICATION").alias("code"), F.col("parent").alias("evidence"))
     whole = document_level(rules, filled).select(*DOC, F.lit(0).alias("position"), F.lit("").alias("rule"), "code", F.lit("").alias("evidence"))
     parts = [
         dup, rule_id_missing(rules), absence_missing(rules), deviation_missing(rules), deviation_unspecified(rules), prose_gate(rules),
-        depends_unresolved(rules), ladder_gap(rules), precedence_one_sided(rules), kids, preamble_restates(rules, filled), whole,
+        depends_unresolved(rules), ladder_gap(rules), precedence_one_sided(rules), kids, preamble_restates(rules, filled, texts), whole,
     ]
     return reduce(DataFrame.unionByName, parts)
 

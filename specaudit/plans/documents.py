@@ -48,6 +48,10 @@ def runs(m):
     return m.once("heading_runs", lambda: D.heading_runs(m.a_block))
 
 
+def akin_runs(m):
+    return m.once("heading_runs", lambda: D.heading_runs(m.a_block, akin=True))
+
+
 def filled(m):
     return m.once("filled", lambda: D.fill_of_runs(runs(m)))
 
@@ -150,7 +154,8 @@ SELECT playbook_id, edition, position, rule, parent, round(o, 2) AS overlap FROM
   FROM s_prefix p JOIN s_rule a ON a.playbook_id = p.playbook_id AND a.edition = p.edition AND a.position = p.position
   JOIN s_rule b ON b.playbook_id = p.playbook_id AND b.edition = p.edition AND b.position = p.position_b WHERE b.standard <> '') WHERE o >= 0.5""")
 def _(m):
-    return D.parent_child_duplication(cut(rules(m)))
+    texts = cut(D.akin_texts(akin_runs(m)))
+    return D.parent_child_duplication(cut(rules(m).select(*D.DOC, "position", "name")), texts)
 
 
 _win, _pos = _words.replace("{x}", "win"), _words.replace("{x}", "concat_ws(' ', standard, array_to_string(acceptable, ' '))")
@@ -195,7 +200,8 @@ def _document_sql() -> str:
 
 @query("document_findings", _document_sql())
 def _(m):
-    return D.document_findings(cut(rules(m)), cut(filled(m)))
+    texts = cut(D.akin_texts(akin_runs(m)))
+    return D.document_findings(cut(rules(m)), filled(m), texts)
 
 
 _remedies = ", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in vocab.REMEDIES.items())
