@@ -33,3 +33,15 @@ def test_documents_of_several_runs_keep_their_texts(spark, monkeypatch):
     texts, rules, filled = D.akin_texts(runs), D.rules_of_runs(D.heading_runs(blocks(spark))), D.heading_fill(blocks(spark))
     assert {r.position for r in texts.collect()} == {1, 2, 3, 4, 5}
     assert rows(D.document_findings(rules, filled, texts)) == rows(D.document_findings(rules, filled)) != []
+
+
+def test_the_document_audit_writes_no_filled_blocks(spark, monkeypatch):
+    from specaudit.plans import documents as P
+    from specaudit.plans.registry import result
+    from specaudit.sources.views import Model
+
+    seen, write = [], P.cut
+    monkeypatch.setattr(P, "cut", lambda df: seen.append(df.columns) or write(df))
+    result("document_findings", Model(spark, "/root/testdata/sf0.001"))
+    assert seen and not any("owner_seq" in columns for columns in seen)
+    assert [*D.DOC, "position", "standard", "acceptable"] in seen
